@@ -319,3 +319,23 @@ def jaccard_join(
         "n_shingles",
     )
     return able.drop("bands").join(known, ["k1", "k2"]).select(columns).unionByName(alone.select(columns))
+
+
+#: The exact join by shared shingles.
+SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS gram
+      FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 3))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS size FROM g GROUP BY doc_id),
+s AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b, x.size + y.size - shared = shared AS same FROM s JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+      WHERE shared >= 0.8 * (x.size + y.size - shared)),
+copy AS (SELECT n.doc_id, least(n.doc_id, coalesce(min(e.b), n.doc_id)) AS copy_id FROM n LEFT JOIN e ON e.a = n.doc_id AND e.same GROUP BY n.doc_id),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT a, min(b) AS class_id FROM r GROUP BY a),
+l AS (SELECT e.a, count(*) AS n_links, count(DISTINCT y.copy_id) FILTER (WHERE y.copy_id <> x.copy_id) AS n_partners
+      FROM e JOIN copy x ON x.doc_id = e.a JOIN copy y ON y.doc_id = e.b GROUP BY e.a)
+SELECT w.doc_id, coalesce(class_id, w.doc_id) AS class_id, coalesce(copy_id, w.doc_id) AS copy_id,
+       coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_partners, 0)::BIGINT AS n_partners, coalesce(size, 0)::BIGINT AS n_shingles
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN copy ON copy.doc_id = w.doc_id LEFT JOIN c ON c.a = w.doc_id LEFT JOIN l ON l.a = w.doc_id
+"""

@@ -5,22 +5,29 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, mil, mixing, spans
-from tessera.llm.jaccard import jaccard_join
+from tessera.llm import bpe, jaccard, license, mil, mixing, neardup, rules, shard, spans, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard.assign(_table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(_table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.digest(bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
@@ -30,10 +37,23 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_warc_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return warc.fixity_audit(pages, warc.damaged(warc.ordered(pages)))
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.embedding_near_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -42,14 +62,26 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_sharding": op1_sharding,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_mixing": op3_mixing,
+        "op4_quality_rules": op4_quality_rules,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_quality_classifier": op6_quality_classifier,
+        "op7_warc_fixity_audit": op7_warc_fixity_audit,
+        "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op9_substring_dedup": op9_substring_dedup,
+        "op10_license_scan": op10_license_scan,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.SQL}
+    return {
+        "op1_sharding": shard.SQL,
+        "op2_ngram_jaccard_join": jaccard.SQL,
+        "op3_mixing": mixing.SQL,
+        "op4_quality_rules": rules.SQL,
+        "op7_warc_fixity_audit": warc.SQL,
+        "op8_embedding_near_dedup": neardup.SQL,
+    }
