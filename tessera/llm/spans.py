@@ -88,6 +88,10 @@ def run_hashes(words: np.ndarray, begin: np.ndarray, a: np.ndarray, b: np.ndarra
     return textnp.mix((total[end[b]] - total[begin[a]]) * down[begin[a]] + (end[b] - begin[a]).astype(U64))
 
 
+#: Of each text: its different runs at their first places, and the places of runs that it had before.
+SPAN_COLUMNS = ["hashes", "starts", "lengths", "again_starts", "again_lengths"]
+
+
 def _list(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(values))
 
@@ -99,20 +103,16 @@ def _spans(rule: tuple[int, int, int]):
                 starts, ends, first = textnp.words(raw, offsets)
                 begin, of_text = sentences(raw, offsets, starts, ends, first)
                 a, b = runs(begin, len(starts), of_text, *rule)
-                hashes = run_hashes(textnp.word_hashes(raw, starts, ends), begin, a, b) if len(a) else np.zeros(0, U64)
+                h = run_hashes(textnp.word_hashes(raw, starts, ends), begin, a, b) if len(a) else np.zeros(0, U64)
                 text = np.searchsorted(of_text, a, "right") - 1
-                order = np.argsort(text, kind="stable")
-                counts = np.bincount(text, minlength=y - x)
-                at = (a - of_text[text])[order].astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id").slice(x, y - x),
-                        _list(hashes[order].view(np.int64), counts),
-                        _list(at, counts),
-                        _list((b - a + 1)[order].astype(np.int32), counts),
-                    ],
-                    names=["doc_id", "hashes", "starts", "lengths"],
-                )
+                order = np.lexsort((a, h, text))
+                a, b, h, text = a[order], b[order], h[order], text[order]
+                again = np.zeros(len(a), dtype=bool)
+                again[1:] = (text[1:] == text[:-1]) & (h[1:] == h[:-1])
+                at, n = (a - of_text[text]).astype(np.int32), (b - a + 1).astype(np.int32)
+                once, more = (np.bincount(text[m], minlength=y - x) for m in (~again, again))
+                columns = [_list(h[~again].view(np.int64), once), _list(at[~again], once), _list(n[~again], once), _list(at[again], more), _list(n[again], more)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(x, y - x), *columns], names=["doc_id", *SPAN_COLUMNS])
 
     return run
 
@@ -159,33 +159,40 @@ def _cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def covered_sentences(docs: DataFrame, sentences_: int = 3, least_words: int = 15, long_words: int = 50) -> DataFrame:
-    """(doc_id, covered: array of (at, n)): the stretches of sentences that a non-first repeated run covers."""
+    """(doc_id, covered: array of (at, n)): the stretches of sentences that a non-first repeated run covers.
+
+    A run that its own document had before is no first occurrence anywhere, so it
+    needs no join; documents meet in their different runs only.
+    """
     small_batches(docs.sparkSession)
     spans = materialize(
         docs.where("doc_id IS NOT NULL")
         .select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         .mapInArrow(
             _spans((sentences_, least_words, long_words)),
-            "doc_id long, hashes array<long>, starts array<int>, lengths array<int>",
+            "doc_id long, hashes array<long>, starts array<int>, lengths array<int>, again_starts array<int>, again_lengths array<int>",
         ),
         "spans",
     )
-    each = spans.select("doc_id", F.explode(F.arrays_zip("hashes", "starts", "lengths")).alias("s")).select(
-        "doc_id", F.col("s.hashes").alias("hash"), F.col("s.starts").alias("at"), F.col("s.lengths").alias("n")
-    )
-    first = (
+
+    def exploded(columns: list[str], names: list[str]) -> DataFrame:
+        return spans.select("doc_id", F.explode(F.arrays_zip(*columns)).alias("s")).select(
+            "doc_id", *(F.col(f"s.{c}").alias(n) for c, n in zip(columns, names, strict=True))
+        )
+
+    each = exploded(SPAN_COLUMNS[:3], ["hash", "at", "n"])
+    first = materialize(  # a table of its own, so that the join's large partitions can be split
         each.groupBy("hash")
         .agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "at")).alias("first"))
         .where("times > 1")
-        .select("hash", F.col("first.doc_id").alias("doc0"), F.col("first.at").alias("at0"))
+        .select("hash", F.col("first.doc_id").alias("doc0"), F.col("first.at").alias("at0")),
+        "first",
     )
+    later = each.join(first, "hash").where("doc_id <> doc0 OR at <> at0").select("doc_id", "at", "n")
     return (
-        each.join(first, "hash")
-        .where("doc_id <> doc0 OR at <> at0")
-        .select("doc_id", "at", "n")
-        .distinct()
+        later.unionByName(exploded(SPAN_COLUMNS[3:], ["at", "n"]))
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("at", "n")).alias("covered"))
+        .agg(F.array_distinct(F.collect_list(F.struct("at", "n"))).alias("covered"))
     )
 
 
