@@ -1,11 +1,18 @@
-"""Scalar functions on text, all JVM-side."""
+"""Scalar functions on text, JVM-side but for SimHash."""
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.schemas import ZERO, ZERO_SIGN
+from tessera.scratch import ship
+
+ship(__name__)
 
 SENTENCE = "[^。！？!?；;]+[。！？!?；;]?"
 
@@ -54,15 +61,13 @@ def char_tokens(sentence: Column | str, skip_space: bool = True) -> Column:
 
 
 def ngrams(s: Column | str, n: int) -> Column:
-    """The distinct character n-grams without white space; none if shorter than n."""
+    """The distinct character n-grams without white space; none if shorter than n. Characters are split once: substring would start over for each gram."""
 
-    def cut(t: Column) -> Column:
-        return F.when(
-            F.length(t) >= n,
-            F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))),
-        ).otherwise(F.array().cast("array<string>"))
+    def cut(c: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*(F.get(c, i + k) for k in range(n))))
+        return F.when(F.size(c) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
-    return let(normalize_space(s), cut)
+    return let(F.filter(F.split(normalize_space(s), ""), lambda c: c != ""), cut)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -78,26 +83,24 @@ def stable_hash64(s: Column) -> Column:
     return F.conv(turned, 16, -10).cast("long")
 
 
-def simhash(s: Column | str, n: int = 3) -> Column:
-    """A 64-bit SimHash over all n-grams, repeats counted: a bit is set where more hashes have it than not."""
-
-    def votes(t: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: stable_hash64(F.substring(t, i, F.lit(n))))
-        return let(
-            grams,
-            lambda hs: F.aggregate(
-                F.sequence(F.lit(0), F.lit(63)),
-                F.lit(0).cast("long"),
-                lambda sig, b: sig.bitwiseOR(
-                    F.when(
-                        F.aggregate(hs, F.lit(0), lambda v, h: v + F.when(F.call_function("getbit", h, b) == 1, 1).otherwise(-1)) > 0,
-                        F.call_function("shiftleft", F.lit(1).cast("long"), b),
-                    ).otherwise(F.lit(0).cast("long"))
-                ),
-            ),
-        )
+@F.pandas_udf("long")
+def _simhash3(texts: pd.Series) -> pd.Series:
+    def one(t: str | None) -> int:
+        t = t or ""
+        if len(t) < 3:
+            return 0
+        grams, times = np.unique([t[i : i + 3] for i in range(len(t) - 2)], return_counts=True)
+        raw = np.frombuffer(b"".join(hashlib.md5(g.encode()).digest()[:8] for g in grams.tolist()), dtype=np.uint8).reshape(-1, 8)
+        bits = np.unpackbits(raw, axis=1, bitorder="little").astype(np.int64)
+        votes = times @ bits * 2 - times.sum()
+        return int(np.packbits(votes > 0, bitorder="little").view("<i8")[0])
+
+    return texts.map(one).astype("int64")
+
 
-    return let(normalize_space(s), lambda t: F.when(F.length(t) >= n, votes(t)).otherwise(F.lit(0).cast("long")))
+def simhash(s: Column | str) -> Column:
+    """A 64-bit SimHash over all 3-grams, repeats counted: a bit is set where more hashes have it than not. The 64 votes per gram run in numpy, a batch at a time."""
+    return _simhash3(F.coalesce(normalize_space(s), F.lit("")))
 
 
 def hamming(a: Column, b: Column) -> Column:
