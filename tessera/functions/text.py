@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tessera.schemas import ZERO, ZERO_SIGN
 from tessera.scratch import ship
@@ -83,7 +84,7 @@ def stable_hash64(s: Column) -> Column:
     return F.conv(turned, 16, -10).cast("long")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _simhash3(texts: pd.Series) -> pd.Series:
     def one(t: str | None) -> int:
         t = t or ""
