@@ -79,6 +79,16 @@ def runs(begin: np.ndarray, n_words: int, owner_first: np.ndarray, sentences_: i
     return np.concatenate([at[ok], start[back]]), np.concatenate([stop[ok], at[back]])
 
 
+def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The unions of stretches a..b that overlap. Stretches of different texts never do."""
+    if not len(a):
+        return a, b
+    order = np.argsort(a, kind="stable")
+    a, reach = a[order], np.maximum.accumulate(b[order])
+    head = np.flatnonzero(np.concatenate(([True], a[1:] > reach[:-1])))
+    return a[head], reach[np.append(head[1:], len(a)) - 1]
+
+
 def run_hashes(words: np.ndarray, begin: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A 64-bit hash over the words of sentences a..b of each run."""
     n = len(words)
@@ -88,7 +98,7 @@ def run_hashes(words: np.ndarray, begin: np.ndarray, a: np.ndarray, b: np.ndarra
     return textnp.mix((total[end[b]] - total[begin[a]]) * down[begin[a]] + (end[b] - begin[a]).astype(U64))
 
 
-#: Of each text: its different runs at their first places, and the places of runs that it had before.
+#: Of each text: its different runs at their first places, and the stretches covered by runs that it had before.
 SPAN_COLUMNS = ["hashes", "starts", "lengths", "again_starts", "again_lengths"]
 
 
@@ -109,9 +119,13 @@ def _spans(rule: tuple[int, int, int]):
                 a, b, h, text = a[order], b[order], h[order], text[order]
                 again = np.zeros(len(a), dtype=bool)
                 again[1:] = (text[1:] == text[:-1]) & (h[1:] == h[:-1])
-                at, n = (a - of_text[text]).astype(np.int32), (b - a + 1).astype(np.int32)
-                once, more = (np.bincount(text[m], minlength=y - x) for m in (~again, again))
-                columns = [_list(h[~again].view(np.int64), once), _list(at[~again], once), _list(n[~again], once), _list(at[again], more), _list(n[again], more)]
+                a2, b2 = merged(a[again], b[again])
+                a, b, h, text = a[~again], b[~again], h[~again], text[~again]
+                columns = [_list(h.view(np.int64), np.bincount(text, minlength=y - x))]
+                for p, q in ((a, b), (a2, b2)):
+                    owner = np.searchsorted(of_text, p, "right") - 1
+                    counts = np.bincount(owner, minlength=y - x)
+                    columns += [_list((p - of_text[owner]).astype(np.int32), counts), _list((q - p + 1).astype(np.int32), counts)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(x, y - x), *columns], names=["doc_id", *SPAN_COLUMNS])
 
     return run
@@ -175,12 +189,9 @@ def covered_sentences(docs: DataFrame, sentences_: int = 3, least_words: int = 1
         "spans",
     )
 
-    def exploded(columns: list[str], names: list[str]) -> DataFrame:
-        return spans.select("doc_id", F.explode(F.arrays_zip(*columns)).alias("s")).select(
-            "doc_id", *(F.col(f"s.{c}").alias(n) for c, n in zip(columns, names, strict=True))
-        )
-
-    each = exploded(SPAN_COLUMNS[:3], ["hash", "at", "n"])
+    each = spans.select("doc_id", F.explode(F.arrays_zip(*SPAN_COLUMNS[:3])).alias("s")).select(
+        "doc_id", F.col("s.hashes").alias("hash"), F.col("s.starts").alias("at"), F.col("s.lengths").alias("n")
+    )
     first = materialize(  # a table of its own, so that the join's large partitions can be split
         each.groupBy("hash")
         .agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "at")).alias("first"))
@@ -188,12 +199,15 @@ def covered_sentences(docs: DataFrame, sentences_: int = 3, least_words: int = 1
         .select("hash", F.col("first.doc_id").alias("doc0"), F.col("first.at").alias("at0")),
         "first",
     )
-    later = each.join(first, "hash").where("doc_id <> doc0 OR at <> at0").select("doc_id", "at", "n")
-    return (
-        later.unionByName(exploded(SPAN_COLUMNS[3:], ["at", "n"]))
+    later = (
+        each.join(first, "hash")
+        .where("doc_id <> doc0 OR at <> at0")
         .groupBy("doc_id")
         .agg(F.array_distinct(F.collect_list(F.struct("at", "n"))).alias("covered"))
     )
+    pairs = F.zip_with("again_starts", "again_lengths", lambda at, n: F.struct(at.alias("at"), n.alias("n"))).alias("covered")
+    own = spans.where(F.size("again_starts") > 0).select("doc_id", pairs)
+    return later.unionByName(own).groupBy("doc_id").agg(F.flatten(F.collect_set("covered")).alias("covered"))
 
 
 def substring_dedup(
