@@ -161,3 +161,35 @@ def scan(docs: DataFrame) -> DataFrame:
         F.when(longer, F.col("b")).otherwise(F.col("a")).alias("sentences"),
         F.array_join(F.array_sort(F.array_distinct(F.when((F.col("a") != "") | (F.col("b") != ""), hits).otherwise(none))), ",").alias("licenses"),
     )
+
+
+def _sql() -> str:
+    known = ", ".join(f"('{s}', '{k}')" for s, k in known_sentences().items())
+    anchor = f"'{ANCHOR}'"
+
+    def hit(ids: tuple[str, ...], side: str) -> str:
+        return f"regexp_matches({side}, '(^|,){'(,|,.*,)'.join(ids)}(,|$)')"
+
+    names = ", ".join(f"CASE WHEN {hit(ids, 'a')} OR {hit(ids, 'b')} THEN '{name}' END" for name, ids in RULES)
+    return rf"""
+WITH known(s, k) AS (VALUES {known}),
+able AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, {anchor})),
+parts AS (
+  SELECT doc_id, 'a' AS reading, unnest(range(0, len(x))) AS li, unnest(x) AS part FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM able)
+  UNION ALL SELECT doc_id, 'b', unnest(range(0, len(x))), unnest(x) FROM (SELECT doc_id, regexp_split_to_array(text, '\n\s*\n') AS x FROM able)),
+pieces AS (
+  SELECT doc_id, reading, li, unnest(range(0, len(x))) AS pi, unnest(x) AS piece FROM (
+    SELECT doc_id, reading, li, regexp_split_to_array(CASE reading WHEN 'a' THEN part ELSE regexp_replace(part, '[\s*#/]+', ' ', 'g') END, '[.!?;:](\s|$)') AS x
+    FROM parts WHERE regexp_matches(part, {anchor}))),
+n AS (SELECT *, trim(regexp_replace(lower(piece), '[^a-z0-9]+', ' ', 'g')) AS s FROM pieces),
+w AS (SELECT *, lead(s, 1) OVER o AS s1, lead(s, 2) OVER o AS s2 FROM n WINDOW o AS (PARTITION BY doc_id, reading, li ORDER BY pi)),
+i AS (SELECT doc_id, reading, li, pi, coalesce(x.k, y.k, z.k) AS id FROM w LEFT JOIN known x ON x.s = w.s LEFT JOIN known y ON y.s = concat_ws(' ', w.s, s1) LEFT JOIN known z ON z.s = concat_ws(' ', w.s, s1, s2)),
+q AS (SELECT doc_id, coalesce(string_agg(id, ',' ORDER BY li, pi) FILTER (WHERE reading = 'a'), '') AS a, coalesce(string_agg(id, ',' ORDER BY li, pi) FILTER (WHERE reading = 'b'), '') AS b,
+        count(id) FILTER (WHERE reading = 'a') AS na, count(id) FILTER (WHERE reading = 'b') AS nb FROM i GROUP BY doc_id)
+SELECT d.doc_id, coalesce(CASE WHEN nb > na THEN b ELSE a END, '') AS sentences,
+  coalesce(array_to_string(list_sort(list_distinct(list_filter([{names}], lambda x: x IS NOT NULL))), ','), '') AS licenses
+FROM documents d LEFT JOIN q ON q.doc_id = d.doc_id
+"""
+
+
+SQL = _sql()

@@ -84,4 +84,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality_rules": rules.SQL,
         "op7_warc_fixity_audit": warc.SQL,
         "op8_embedding_near_dedup": neardup.SQL,
+        "op10_license_scan": license.SQL,
     }
