@@ -1,8 +1,9 @@
 """Mention pairs: generation, windows, sampling, score joins.
 
 A mention table has doc_id, sentence_id, token_id (or start and end) and chain_id.
-All joins carry doc_id as an equi-key, so pairs form within a document's
-partition; a residual condition bounds them where the caller gives one.
+All joins carry doc_id as an equi-key. All pairs of a document form in cells of
+two blocks of its mentions, so a long document spreads over many tasks; with a
+sentence gap a residual condition bounds them instead.
 """
 
 from __future__ import annotations
@@ -10,8 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BLOCK = 512
 
-def mention_pairs(mentions: DataFrame, max_sentence_gap: int | None = None, carry: tuple[str, ...] = ("mention_type", "semantics")) -> DataFrame:
+
+def mention_pairs(
+    mentions: DataFrame, max_sentence_gap: int | None = None, carry: tuple[str, ...] = ("mention_type", "semantics"), block: int = BLOCK
+) -> DataFrame:
     """All unordered pairs of a document's mentions in (sentence, token) order, optionally within a sentence gap: doc_id, s1, t1, c1, s2, t2, c2, label."""
     present = [c for c in carry if c in mentions.columns]
 
@@ -25,9 +30,19 @@ def mention_pairs(mentions: DataFrame, max_sentence_gap: int | None = None, carr
         )
 
     after = (F.col("s2") > F.col("s1")) | ((F.col("s2") == F.col("s1")) & (F.col("t2") > F.col("t1")))
+    label = F.col("c1") == F.col("c2")
     if max_sentence_gap is not None:
-        after = after & (F.col("s2") <= F.col("s1") + max_sentence_gap)
-    return side(1).join(side(2), "doc_id").where(after).withColumn("label", F.col("c1") == F.col("c2"))
+        return side(1).join(side(2), "doc_id").where(after & (F.col("s2") <= F.col("s1") + max_sentence_gap)).withColumn("label", label)
+
+    def dealt(i: int, cells: str) -> DataFrame:
+        """Each row once for each cell that its block stands in; the first mention's block is never the later one."""
+        doc = Window.partitionBy("doc_id")
+        placed = side(i).withColumn("_at", F.floor((F.row_number().over(doc.orderBy(f"s{i}", f"t{i}")) - 1) / block).cast("int"))
+        return placed.withColumn("_last", F.max("_at").over(doc)).withColumn("_cell", F.explode(F.expr(cells))).drop("_at", "_last").select("*", "_cell.*").drop("_cell")
+
+    first = dealt(1, "transform(sequence(_at, _last), x -> struct(_at AS _b1, x AS _b2))")
+    second = dealt(2, "transform(sequence(0, _at), x -> struct(x AS _b1, _at AS _b2))")
+    return first.join(second, ["doc_id", "_b1", "_b2"]).where(after).drop("_b1", "_b2").withColumn("label", label)
 
 
 def centered_window(n: Column, left: Column, right: Column, most: int) -> Column:

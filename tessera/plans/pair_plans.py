@@ -12,12 +12,13 @@ from tessera.operators import pairs as P
 from tessera.plans import views as V
 from tessera.schemas import EVENT_MENTION, ZERO
 
-GAP = 3
+#: The bound that the SQL still has; the queries have none.
+SQL_GAP = 3
 KEYS = ["doc_id", "s1", "t1", "s2", "t2"]
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return P.mention_pairs(V.mentions(spark, sf), GAP)
+    return P.mention_pairs(V.mentions(spark, sf))
 
 
 def score(p: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ v_pair AS (
   SELECT a.doc_id, a.sentence_id AS s1, a.token_id AS t1, a.chain_id AS c1, b.sentence_id AS s2, b.token_id AS t2, b.chain_id AS c2,
     a.mention_type AS mention_type1, b.mention_type AS mention_type2, a.split, a.tok AS tok1, b.tok AS tok2, a.chain_id = b.chain_id AS label
   FROM v_mention a JOIN v_mention b ON a.doc_id = b.doc_id AND (b.sentence_id > a.sentence_id OR (b.sentence_id = a.sentence_id AND b.token_id > a.token_id))
-   AND b.sentence_id <= a.sentence_id + {GAP})"""
+   AND b.sentence_id <= a.sentence_id + {SQL_GAP})"""
 SCORED = PAIR + f""",
 v_scored AS (
   SELECT *, p >= 0.5 AS pred FROM (
@@ -70,9 +71,8 @@ GLOBAL = ", v_glob AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER B
 
 def _windows(spark: SparkSession, sf: str, most: int) -> DataFrame:
     g = _global(spark, sf).withColumn("n", F.count("*").over(Window.partitionBy("doc_id")).cast("int"))
-    a = g.select("doc_id", F.col("sentence_id").alias("s1"), F.col("token_id").alias("t1"), F.col("idx").alias("g1"), "n")
-    b = g.select("doc_id", F.col("sentence_id").alias("s2"), F.col("token_id").alias("t2"), F.col("idx").alias("g2"))
-    p = pairs(spark, sf).join(a, ["doc_id", "s1", "t1"]).join(b, ["doc_id", "s2", "t2"])
+    placed = V.mentions(spark, sf).join(g.select("doc_id", "sentence_id", "token_id", "idx", "n"), ["doc_id", "sentence_id", "token_id"])
+    p = P.mention_pairs(placed, carry=("mention_type", "semantics", "idx", "n")).withColumnsRenamed({"idx1": "g1", "idx2": "g2", "n1": "n"})
     return p.withColumn("w", P.centered_window(F.col("n"), F.col("g1"), F.col("g2"), most))
 
 
@@ -123,7 +123,7 @@ def pair_stats(s, d):
 
 def pair_train_sample(s, d):
     train = V.mentions(s, d).where("split = 'train'")
-    p = P.mention_pairs(train, GAP).select(*KEYS, "label")
+    p = P.mention_pairs(train).select(*KEYS, "label")
     return P.sample_negatives(p, V.draw(F.lit("seed"), *KEYS), 1.0)
 
 
@@ -227,7 +227,7 @@ def empty_response(s, d):
 
 
 def exact_string_scores(s, d):
-    m = P.mention_pairs(V.mentions(s, d), GAP, carry=("tok",))
+    m = P.mention_pairs(V.mentions(s, d), carry=("tok",))
     return m.select(*KEYS, F.when(norm_text("tok1") == norm_text("tok2"), 1.0).otherwise(0.0).alias("p_coref"))
 
 
