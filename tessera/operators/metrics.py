@@ -116,13 +116,10 @@ def most_common(df: DataFrame, by: list[str], value: str, position: Column) -> D
 # Zero pronouns --------------------------------------------------------------------------------------------------------
 
 
-def _partners(members: DataFrame, zeros: DataFrame, cluster: str) -> DataFrame:
-    """(zero, partner) pairs: members of a zero's cluster that are no zeros."""
-    z = zeros.join(members.select(*SPAN, F.col(cluster).alias("c")), SPAN)
-    others = members.join(zeros, SPAN, "left_anti").select(
-        "doc_id", F.col("sentence_id").alias("ps"), F.col("token_id").alias("pt"), F.col(cluster).alias("c")
-    )
-    return z.join(others, ["doc_id", "c"]).select(*SPAN, "ps", "pt")
+def _partners(zeros: DataFrame, others: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Per zero how many of the others share its clusters ``by``: counted by cluster, not paired."""
+    sizes = others.groupBy("doc_id", *by).agg(F.count("*").alias("n"))
+    return zeros.join(sizes, ["doc_id", *by]).groupBy(*SPAN).agg(F.sum("n").alias(name))
 
 
 def zero_detail(gold: DataFrame, pred: DataFrame, zeros: DataFrame) -> DataFrame:
@@ -130,14 +127,14 @@ def zero_detail(gold: DataFrame, pred: DataFrame, zeros: DataFrame) -> DataFrame
 
     gold: SPAN, chain_id; pred: SPAN, pred_id; zeros: SPAN. Partners exclude every zero.
     """
-    g = _partners(gold, zeros, "chain_id").withColumn("g", F.lit(1))
-    p = _partners(pred, zeros, "pred_id").withColumn("p", F.lit(1))
-    both = g.join(p, [*SPAN, "ps", "pt"], "full_outer").groupBy(*SPAN).agg(
-        F.count("g").alias("gold_pairs"), F.count("p").alias("pred_pairs"), F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("correct_pairs")
-    )
+    g, p = gold.select(*SPAN, F.col("chain_id").alias("g")), pred.select(*SPAN, F.col("pred_id").alias("p"))
+    both = g.join(p, SPAN)
+    counts = zeros.select(SPAN).distinct()
+    for side, by, name in ((g, ["g"], "gold_pairs"), (p, ["p"], "pred_pairs"), (both, ["g", "p"], "correct_pairs")):
+        counts = counts.join(_partners(side.join(zeros.select(SPAN), SPAN, "left_semi"), side.join(zeros, SPAN, "left_anti"), by, name), SPAN, "left")
     covered = zeros.join(pred.select(*SPAN, F.lit(True).alias("covered")).distinct(), SPAN, "left")
     zero = F.lit(0).cast("long")
-    return covered.join(both, SPAN, "left").select(
+    return covered.join(counts, SPAN, "left").select(
         *SPAN,
         F.coalesce("covered", F.lit(False)).alias("covered"),
         (F.coalesce("gold_pairs", zero) > 0).alias("resolvable"),
@@ -222,13 +219,20 @@ def literal_audit(gold: DataFrame, pred: DataFrame, zeros: DataFrame) -> DataFra
     A zero that isn't predicted has pred_size 0.
     """
     z = zeros.join(gold.select(*SPAN, "chain_id"), SPAN).join(pred.select(*SPAN, "pred_id"), SPAN, "left")
-    same = gold.select("doc_id", "chain_id", F.col("sentence_id").alias("gs"), F.col("token_id").alias("gt"))
-    at = pred.select("doc_id", F.col("sentence_id").alias("gs"), F.col("token_id").alias("gt"), F.col("pred_id").alias("other_pred"))
-    pairs = z.join(same, ["doc_id", "chain_id"]).where("gs <> sentence_id OR gt <> token_id").join(at, ["doc_id", "gs", "gt"], "left")
-    prior = (F.col("gs") < F.col("sentence_id")) | ((F.col("gs") == F.col("sentence_id")) & (F.col("gt") < F.col("token_id")))
-    joined = F.coalesce(F.col("other_pred") == F.col("pred_id"), F.lit(False))
-    own = pairs.groupBy(*SPAN).agg(
-        F.count_if(prior).alias("n_prior"), F.bool_or(prior & joined).alias("antecedent_hit"), F.bool_or(joined).alias("co_cluster_hit")
+    # counts over each chain in order, and over its members in one predicted cluster: members before, and all but the zero
+    at = F.struct("sentence_id", "token_id")
+    chain = Window.partitionBy("doc_id", "chain_id")
+    both = Window.partitionBy("doc_id", "chain_id", "pred_id")
+    before = lambda w: F.rank().over(w.orderBy(at)) - 1
+    other = F.count("*").over(both) - F.count("*").over(Window.partitionBy("doc_id", "chain_id", "pred_id", "sentence_id", "token_id"))
+    told = F.col("pred_id").isNotNull()
+    members = gold.select(*SPAN, "chain_id").join(pred.select(*SPAN, "pred_id"), SPAN, "left")
+    own = (
+        members.withColumn("prior", before(chain))
+        .withColumn("hit", told & (before(both) > 0))
+        .withColumn("any", told & (other > 0))
+        .groupBy(*SPAN)
+        .agg(F.max("prior").alias("n_prior"), F.bool_or("hit").alias("antecedent_hit"), F.bool_or("any").alias("co_cluster_hit"))
     )
     label = pred.join(gold.select(*SPAN, "chain_id"), SPAN, "left").groupBy("doc_id", "pred_id").agg(
         F.count("*").alias("pred_size"), F.count_distinct("chain_id").alias("n_chains")

@@ -1,9 +1,12 @@
 """The registered queries do the whole job: brute force on small tables with what a cap would cut."""
 
+import re
+from collections import Counter
 from itertools import combinations
 
+from tessera.operators import metrics as M
 from tessera.operators import pairs as P
-from tessera.plans import pair_plans
+from tessera.plans import corpus_plans, pair_plans
 from tessera.plans import views as V
 
 
@@ -44,3 +47,29 @@ def test_blocks_give_each_pair_once(spark):
     want = sorted(tuple(x) for x in P.mention_pairs(m, 10**6).select(*pair_plans.KEYS, "c1", "c2", "label").collect())
     for block in (1, 2, 7, 512):
         assert sorted(tuple(x) for x in P.mention_pairs(m, block=block).select(*pair_plans.KEYS, "c1", "c2", "label").collect()) == want
+
+
+def test_chains_of_any_size(spark, tmp_path):
+    texts = ["Planet and garden. " * 9 + "Planet here, meadow. " * 3 + "Meadow.", "Window. " * 40, "Single mention, planet."]
+    d = folder(spark, tmp_path, texts)
+    got = V.mentions(spark, d).collect()
+    want = Counter((i, w) for i, t in enumerate(texts) for w in re.findall("[a-z]{6,}", t.lower()))
+    assert Counter((m.doc_id, m.tok.lower()) for m in got) == {k: n for k, n in want.items() if n > 1}
+    assert len({(m.doc_id, m.chain_id) for m in got}) == 4
+    at = lambda m: (m.doc_id, m.sentence_id, m.token_id)
+    pred = {at(m): m.pred_id for m in V.predicted(spark, d).collect()}
+    zeros = {at(m) for m in got if m.is_zero}
+    rows = {at(m): m for m in got}
+    detail = corpus_plans.zero_detail(spark, d).collect()
+    assert {at(x) for x in detail} == zeros
+    for x in detail:
+        others = [k for k in rows if k[0] == x.doc_id and k not in zeros]
+        gold = {k for k in others if rows[k].chain_id == rows[at(x)].chain_id}
+        said = {k for k in others if k in pred and pred[k] == pred.get(at(x), -1)}
+        assert (x.covered, x.gold_pairs, x.pred_pairs, x.correct_pairs) == (at(x) in pred, len(gold), len(said), len(gold & said))
+    audit = M.literal_audit(V.mentions(spark, d), V.predicted(spark, d), V.mentions(spark, d).where("is_zero").select(*M.SPAN)).collect()
+    assert {at(x) for x in audit} == zeros
+    for x in audit:
+        same = [k for k in rows if k[0] == x.doc_id and k != at(x) and rows[k].chain_id == rows[at(x)].chain_id]
+        hit = [k for k in same if at(x) in pred and pred.get(k) == pred[at(x)]]
+        assert (x.n_prior, x.antecedent_hit, x.co_cluster_hit) == (sum(k < at(x) for k in same), any(k < at(x) for k in hit), bool(hit))
