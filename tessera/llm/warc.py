@@ -1,12 +1,15 @@
 """WARC records and a Merkle fixity audit between replicas.
 
 Records stand in an order and have offset ranges. They are numbered by a
-distributed prefix count; ``per_file`` records make a file. A leaf is the hash
-of a record; ``fan_out`` consecutive leaves, their first and last offset
-included, make a node of the next level, and so on up to one root. The audit
-compares the two roots and descends only into children whose hashes differ, so
-where replicas agree it reads nothing below the top, and ends at the records
-that are corrupt, missing or surplus.
+distributed prefix count; ``per_file`` records make a file. A replica is WARC
+files and an index of its slots (page_id, position, file, offset, length); what
+is audited are the hashes of the bytes read back. Records are keyed by page_id:
+the hashes of a bucket of keys make a leaf, ``fan_out`` consecutive nodes a node
+of the next level, and so on up to one root. So a lost or added record changes
+its own branch only. The audit compares the two roots and descends only into
+children whose hashes differ, and ends at the records that are corrupt, missing
+or surplus: within a page_id equal records cancel out, the rest are paired as
+corrupt, and what has no counterpart is missing or surplus.
 
 Defined results: a null url or html counts as empty text; page_ids may be null or
 repeat (ordered by page_id, url, html; null first); equal rows are equal records;
@@ -15,6 +18,8 @@ an empty table has no tree and no differences; further columns are ignored.
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -22,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.scratch import materialize, ship, small_batches
+from tessera.scratch import materialize, scratch_path, ship, small_batches
 
 ship(__name__)
 
@@ -52,48 +57,72 @@ def write_warc(pages: DataFrame, path: str) -> None:
 def _records(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         for path, data in zip(part.column("path").to_pylist(), part.column("content").to_pylist(), strict=True):
+            data = gzip.decompress(data) if path.endswith(".gz") else data
             at, rows = 0, []
             while at < len(data):
                 end = data.find(b"\r\n\r\n", at)
                 head = data[at:end].decode("utf-8", "replace") if end >= 0 else ""
                 size = re.search(r"(?im)^Content-Length:\s*(\d+)", head)
-                if not size:
-                    rows.append((path, at, len(data) - at, None, None))
-                    break
-                stop = end + 4 + int(size[1])
-                url = re.search(r"(?im)^WARC-Target-URI:[ \t]*(.*?)\r?$", head)
-                body = data[end + 4 : stop].partition(b"\r\n\r\n")[2]
-                rows.append((path, at, stop - at, url[1] if url else None, body.decode("utf-8", "replace")))
-                at = stop
-                while data[at : at + 2] == b"\r\n":
-                    at += 2
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "offset", "length", "url", "html"])
+                stop = end + 4 + int(size[1]) if size else -1
+                if not size or stop > len(data) or data[stop : stop + 4] not in (b"", b"\r\n\r\n") or data[stop + 4 : stop + 9] not in (b"", b"WARC/"):
+                    # the length is damaged: go on at the next record
+                    after = data.find(b"\r\n\r\nWARC/1.1\r\n", at)
+                    stop = after if after >= 0 else len(data) - 4 * data.endswith(b"\r\n\r\n")
+                    stop = max(stop, at)
+                url = re.search(r"(?im)^WARC-Target-URI:[ \t]*(.*?)\r?$", head) if size else None
+                body = data[end + 4 : stop].partition(b"\r\n\r\n")[2].decode("utf-8", "replace") if size else None
+                rows.append((path, at, stop - at, url[1] if url else None, body, hashlib.sha256(data[at:stop]).hexdigest()))
+                at = stop + 4
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "offset", "length", "url", "html", "leaf"])
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """path, offset, length, url, html of each record of the WARC files below path; a record without a length ends its file, with null url."""
+    """path, offset, length, url, html, leaf (SHA-256 of the stored bytes) of each record of the WARC files below path.
+
+    Offsets are those of the unpacked file. A record without a length has null url and html and ends where the next one starts.
+    """
     small_batches(spark, 1)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,warc}").load(path).select("path", "content")
-    return files.mapInArrow(_records, "path string, offset long, length long, url string, html string")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,warc,txt.gz,warc.gz}").load(path).select("path", "content")
+    return files.mapInArrow(_records, "path string, offset long, length long, url string, html string, leaf string")
+
+
+def write_replica(records: DataFrame, path: str, per_file: int = PER_FILE) -> None:
+    """Write records (page_id, position, record) as packed WARC files below path/files and the index of their slots as path/index."""
+    spark = records.sparkSession
+    placed = records.withColumn("file", F.floor(F.col("position") / per_file))
+    dealt = placed.select("file", "position", F.col("record").alias("value")).repartition("file").sortWithinPartitions("file", "position").select("file", "value")
+    dealt.write.partitionBy("file").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(f"{path}/files")
+    slots = records.select("page_id", "position", (F.octet_length("record") + 4).cast("long").alias("length"))
+    with_offsets(slots, per_file).write.parquet(f"{path}/index")
 
 
-def ordered(pages: DataFrame, partitions: int | None = None) -> DataFrame:
-    """page_id, position (0, 1, ... over all rows), length (bytes and separator), leaf (SHA-256 of the record)."""
+def read_replica(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, position, file, offset, length, leaf of the records that a replica's files hold; those in no slot of its index have null page_id and position."""
+    found = read_warc(spark, f"{path}/files").select(
+        F.regexp_extract("path", "/file=([0-9]+)/", 1).cast("long").alias("file"), "offset", (F.col("length") + 4).alias("length"), "leaf"
+    )
+    slots = spark.read.parquet(f"{path}/index").select("file", "offset", "page_id", "position")
+    return found.join(slots, ["file", "offset"], "left").select("page_id", "position", "file", "offset", "length", "leaf")
+
+
+def ordered(pages: DataFrame, partitions: int | None = None, carry: bool = False) -> DataFrame:
+    """page_id, position (0, 1, ... over all rows), length (bytes and separator), leaf (SHA-256 of the record); with carry the record too."""
     spark = pages.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = materialize(
+    text = ["record"] if carry else []
+    rows = (
         pages.select(
             F.col("page_id").cast("long").alias("page_id"),
             F.xxhash64("url", "html").alias("tie"),
             record(F.col("url").cast("string"), F.col("html").cast("string")).alias("record"),
             F.monotonically_increasing_id().alias("row"),
         ).select(
-            "page_id", "tie", "row", (F.octet_length("record") + 4).cast("long").alias("length"), F.sha2(F.col("record").cast("binary"), 256).alias("leaf")
-        ),
-        "records",
+            "page_id", "tie", "row", (F.octet_length("record") + 4).cast("long").alias("length"), F.sha2(F.col("record").cast("binary"), 256).alias("leaf"), *text
+        )
     )
+    rows = rows if carry else materialize(rows, "records")
     # equal pages are told apart by row alone, so a page_id that repeats can't fill one partition
     dealt = materialize(
         rows.repartitionByRange(n, F.col("page_id").asc_nulls_first(), "leaf", "row").withColumn("part", F.spark_partition_id()),
@@ -104,7 +133,7 @@ def ordered(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     inside = F.row_number().over(Window.partitionBy("part").orderBy(F.col("page_id").asc_nulls_first(), "leaf", "row")) - 1
     # one row per partition
     return dealt.withColumn("inside", inside).join(F.broadcast(starts), "part").select(
-        "page_id", (F.col("start") + F.col("inside")).alias("position"), "length", "leaf"
+        "page_id", (F.col("start") + F.col("inside")).alias("position"), "length", "leaf", *text
     )
 
 
@@ -116,41 +145,33 @@ def with_offsets(records: DataFrame, per_file: int = PER_FILE) -> DataFrame:
     )
 
 
+def _key() -> Column:
+    return F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64(_key()), F.lit(buckets))
+
+
 def _parents(nodes: DataFrame, fan_out: int) -> DataFrame:
-    """The next level: a hash over the children's numbers, hashes and offset ranges, in order."""
+    """The next level: a hash over the children's numbers and hashes, in order."""
     return (
         nodes.groupBy(F.floor(F.col("node") / fan_out).alias("node"))
-        .agg(F.array_sort(F.collect_list(F.struct("node", "hash", "file", "first", "last"))).alias("children"))
-        .select(
-            "node",
-            F.sha2(
-                F.array_join(
-                    F.transform("children", lambda c: F.concat_ws(":", c["node"], c["hash"], c["file"], c["first"], c["last"])), "|"
-                ),
-                256,
-            ).alias("hash"),
-            F.col("children")[0]["file"].alias("file"),
-            F.col("children")[0]["first"].alias("first"),
-            F.element_at("children", -1)["last"].alias("last"),
-        )
+        .agg(F.array_sort(F.collect_list(F.struct("node", "hash"))).alias("children"))
+        .select("node", F.sha2(F.array_join(F.transform("children", lambda c: F.concat_ws(":", c["node"], c["hash"])), "|"), 256).alias("hash"))
     )
 
 
 def tree(records: DataFrame, count: int, fan_out: int = FAN_OUT) -> list[DataFrame]:
-    """The levels of the tree from leaves to root, of records with file and offset; count: of all records, of the larger replica."""
-    levels = [
-        materialize(
-            records.select(
-                F.col("position").alias("node"),
-                F.col("leaf").alias("hash"),
-                "file",
-                F.col("offset").alias("first"),
-                (F.col("offset") + F.col("length") - 1).alias("last"),
-                "page_id",
-            ),
-            "leaves",
-        )
-    ]
+    """The levels of the tree from buckets of keys to root; count: of buckets, the same for both replicas.
+
+    A bucket's hash is over sums of its records' hashes, so its rows are added up in part before the shuffle and a page_id
+    that repeats fills no task.
+    """
+    own = records.select(_bucket(count).alias("node"), F.sha2(F.concat_ws(":", _key(), "length", "leaf"), 256).alias("h"))
+    words = [F.sum(F.conv(F.substring("h", i, 15), 16, 10).cast("decimal(20,0)")).alias(f"w{i}") for i in (1, 16, 31, 46)]
+    sums = own.groupBy("node").agg(F.count("*").alias("n"), *words)
+    levels = [materialize(sums.select("node", F.sha2(F.concat_ws(":", "n", "w1", "w16", "w31", "w46"), 256).alias("hash")), "leaves")]
     while count > 1:
         levels.append(materialize(_parents(levels[-1], fan_out), "nodes"))
         count = -(-count // fan_out)
@@ -158,7 +179,7 @@ def tree(records: DataFrame, count: int, fan_out: int = FAN_OUT) -> list[DataFra
 
 
 def differences(ours: list[DataFrame], theirs: list[DataFrame], fan_out: int = FAN_OUT) -> DataFrame:
-    """The leaves that differ: node, ours, theirs (hashes; null where a replica has no such record). Descends from the roots."""
+    """The buckets that differ: node, ours, theirs (hashes; null where a replica has no record in it). Descends from the roots."""
 
     def differ(a: DataFrame, b: DataFrame) -> DataFrame:
         return (
@@ -182,25 +203,69 @@ def differences(ours: list[DataFrame], theirs: list[DataFrame], fan_out: int = F
     return found
 
 
-def fixity_audit(pages: DataFrame, replica: DataFrame, per_file: int = PER_FILE, fan_out: int = FAN_OUT) -> DataFrame:
-    """position, file, offset, length, page_id, leaf and status (intact, corrupt, missing, surplus) of each record of pages, and of surplus records of the replica.
+def _unmatched(mine: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The records of either side that have no equal one in the other, numbered within their page_id: side's columns, key, rank."""
+    same = ["key", "length", "leaf"]
+    keyed = [x.withColumn("key", _key()) for x in (mine, other)]
+    # equal copies in the same place cancel out first, so that of a repeated record the damaged copy is named
+    apart = [x.join(y.select(*same, "position"), [*same, "position"], "left_anti") for x, y in (keyed, keyed[::-1])]
+    sides = [x.withColumn("copy", F.row_number().over(Window.partitionBy(*same).orderBy("position", "file", "offset"))) for x in apart]
+    counts = [x.groupBy(*same).agg(F.count("*").alias("there")) for x in sides]
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("position", "file", "offset"))
+    a, b = (
+        x.join(c, same, "left").where(F.col("copy") > F.coalesce("there", F.lit(0))).withColumn("rank", rank).drop("copy", "there")
+        for x, c in zip(sides, reversed(counts), strict=True)
+    )
+    return a, b
 
-    replica: its records as (position, length, leaf, page_id), as ordered() gives them.
+
+def compare(mine: DataFrame, other: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
+    """position, file, offset, length, page_id, leaf and status (intact, corrupt, missing, surplus) of each record of mine, and of surplus records of other.
+
+    Both: page_id, position (null without a slot), file, offset, length, leaf.
     """
-    mine = with_offsets(materialize(ordered(pages), "ordered"), per_file)
-    other = with_offsets(materialize(replica, "replica"), per_file)
-    mine, other = materialize(mine, "placed"), materialize(other, "placed")
-    count = max(mine.count(), other.count())
-    bad = differences(tree(mine, count, fan_out), tree(other, count, fan_out), fan_out)
-    status = F.when(F.col("node").isNull(), "intact").when(F.col("theirs").isNull(), "missing").when(F.col("ours").isNull(), "surplus").otherwise("corrupt")
+    count = max(mine.count(), other.count(), 1)
+    bad = differences(tree(mine, count, fan_out), tree(other, count, fan_out), fan_out).select("node")
+    inside = (materialize(x.withColumn("node", _bucket(count)).join(bad, "node", "left_semi").drop("node"), "inside") for x in (mine, other))
+    ours, theirs = (materialize(x, "unmatched") for x in _unmatched(*inside))
     columns = ["position", "file", "offset", "length", "page_id", "leaf"]
-    own = mine.join(bad, mine.position == bad.node, "left").select(*columns, status.alias("status"))
-    more = other.join(bad.where("ours IS NULL"), other.position == bad.node).select(*columns, F.lit("surplus").alias("status"))
-    return own.unionByName(more)
+    pair = ["key", "rank"]
+    lost = ours.join(theirs.select(*pair, F.lit("corrupt").alias("status")), pair, "left").select("position", F.coalesce("status", F.lit("missing")).alias("status"))
+    own = mine.join(lost, "position", "left").select(*columns, F.coalesce("status", F.lit("intact")).alias("status"))
+    return own.unionByName(theirs.join(ours.select(pair), pair, "left_anti").select(*columns, F.lit("surplus").alias("status")))
+
+
+def fixity_audit(pages: DataFrame, replica: DataFrame, per_file: int = PER_FILE, fan_out: int = FAN_OUT) -> DataFrame:
+    """compare() of the records that pages should have with a replica: its records as read_replica() gives them, or as ordered() does."""
+    mine = materialize(with_offsets(materialize(ordered(pages), "ordered"), per_file), "placed")
+    other = materialize(replica, "replica")
+    return compare(mine, other if "file" in other.columns else materialize(with_offsets(other, per_file), "placed"), fan_out)
+
+
+def damaged_records(records: DataFrame) -> DataFrame:
+    """The records (page_id, position, record) of a drill: a header byte of each 97th altered, the 51st of every 101 holding its neighbour's bytes."""
+    p = F.col("position")
+    hit, swapped = p % 97 == 13, p % 101 == 50
+    kept = records.where(~swapped | hit).withColumn("record", F.when(hit, F.expr(f"replace(record, 'WARC-Date: {DATE}', 'WARC-Date: X{DATE[1:]}')")).otherwise(F.col("record")))
+    donors = records.where(p % 101 == 51).select((p - 1).alias("position"), F.col("record").alias("other"))
+    taken = records.where(swapped & ~hit).join(donors, "position", "left").withColumn("record", F.coalesce("other", F.lit("")))
+    return kept.select("page_id", "position", "record").unionByName(taken.select("page_id", "position", "record"))
+
+
+def drill(pages: DataFrame, per_file: int = PER_FILE, fan_out: int = FAN_OUT) -> DataFrame:
+    """Write pages as a replica and as a damaged one, read the bytes of both back, and compare them."""
+    spark = pages.sparkSession
+    records = materialize(ordered(pages, carry=True).select("page_id", "position", "record"), "ordered")
+    sides = []
+    for name, side in (("replica", records), ("damaged", damaged_records(records))):
+        path = scratch_path(spark, name)
+        write_replica(side, path, per_file)
+        sides.append(materialize(read_replica(spark, path), "read"))
+    return compare(*sides, fan_out)
 
 
 def damaged(records: DataFrame) -> DataFrame:
-    """A replica with faults in known places, for drills: each 97th record altered, the last of every 101 records swapped with its neighbour's bytes."""
+    """Hashes as of a replica with faults in known places, for tests: each 97th record altered, the last of every 101 records swapped with its neighbour's bytes."""
     p = F.col("position")
     neighbour = F.lead("leaf").over(Window.partitionBy(F.floor(p / 101)).orderBy("position"))
     return records.select(
