@@ -38,8 +38,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages")
-    return warc.fixity_audit(pages, warc.damaged(warc.ordered(pages)))
+    return warc.drill(_table(spark, sf_dir, "pages"))
 
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
