@@ -76,15 +76,16 @@ def _windows(spark: SparkSession, sf: str, most: int) -> DataFrame:
     return p.withColumn("w", P.centered_window(F.col("n"), F.col("g1"), F.col("g2"), most))
 
 
-MOST = 60
+#: max_seq_len 300 less 2, as in the reference; the SQL still has 60.
+MOST, SQL_MOST = 298, 60
 WINDOWS = PAIR + GLOBAL + f""",
 v_win AS (
   SELECT p.*, a.idx AS g1, b.idx AS g2, a.n,
-    CASE WHEN b.idx - a.idx + 1 <= {MOST} THEN greatest(0, a.idx - ({MOST} - (b.idx - a.idx + 1)) // 2) END AS st
+    CASE WHEN b.idx - a.idx + 1 <= {SQL_MOST} THEN greatest(0, a.idx - ({SQL_MOST} - (b.idx - a.idx + 1)) // 2) END AS st
   FROM v_pair p JOIN v_glob a ON a.doc_id = p.doc_id AND a.sentence_id = p.s1 AND a.token_id = p.t1
     JOIN v_glob b ON b.doc_id = p.doc_id AND b.sentence_id = p.s2 AND b.token_id = p.t2),
 v_window AS (
-  SELECT *, CASE WHEN least(n, st + {MOST}) - st < {MOST} THEN greatest(0, least(n, st + {MOST}) - {MOST}) ELSE st END AS w_start, least(n, st + {MOST}) AS w_stop FROM v_win)"""
+  SELECT *, CASE WHEN least(n, st + {SQL_MOST}) - st < {SQL_MOST} THEN greatest(0, least(n, st + {SQL_MOST}) - {SQL_MOST}) ELSE st END AS w_start, least(n, st + {SQL_MOST}) AS w_stop FROM v_win)"""
 
 
 def mention_pairs(s, d):

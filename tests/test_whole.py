@@ -73,3 +73,11 @@ def test_chains_of_any_size(spark, tmp_path):
         same = [k for k in rows if k[0] == x.doc_id and k != at(x) and rows[k].chain_id == rows[at(x)].chain_id]
         hit = [k for k in same if at(x) in pred and pred.get(k) == pred[at(x)]]
         assert (x.n_prior, x.antecedent_hit, x.co_cluster_hit) == (sum(k < at(x) for k in same), any(k < at(x) for k in hit), bool(hit))
+
+
+def test_windows_of_298_tokens(spark, tmp_path):
+    text = "Planet " + "is so " * 148 + "planet " + "we go " * 10 + "planet."
+    d = folder(spark, tmp_path, [text])
+    got = {(x.t1, x.t2): (x.w_start, x.w_stop, x.local1, x.local2) for x in pair_plans.pair_windows(spark, d).collect()}
+    assert set(got) == {(0, 297), (297, 318)} and got[0, 297] == (0, 298, 0, 297)
+    assert [tuple(x)[-1] for x in pair_plans.pair_rejected_long(spark, d).collect()] == [319]
