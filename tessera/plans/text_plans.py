@@ -173,7 +173,7 @@ def topic_plan(s, d):
     brief = T.topic_brief(*(F.col(c) for c in ("domain", "topic", "action", "conflict", "evidence")))
     sig = T.topic_signature(brief)
     history = space.where(V.draw("domain", "topic", "action", "conflict", "evidence") % 3 == 0).select(sig.alias("signature"))
-    targets = quota_targets(s, d).select("domain", F.least(F.lit(25), F.col("target")).alias("target"))
+    targets = quota_targets(s, d).select("domain", "target")
     return G.plan_topics(space, sig, history, ["T3", "C1"], targets, V.draw(F.lit("o"), "domain", "topic", "action", "conflict", "evidence"))
 
 

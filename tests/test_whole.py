@@ -6,7 +6,7 @@ from itertools import combinations
 
 from tessera.operators import metrics as M
 from tessera.operators import pairs as P
-from tessera.plans import corpus_plans, pair_plans
+from tessera.plans import corpus_plans, pair_plans, text_plans
 from tessera.plans import views as V
 
 
@@ -81,3 +81,10 @@ def test_windows_of_298_tokens(spark, tmp_path):
     got = {(x.t1, x.t2): (x.w_start, x.w_stop, x.local1, x.local2) for x in pair_plans.pair_windows(spark, d).collect()}
     assert set(got) == {(0, 297), (297, 318)} and got[0, 297] == (0, 298, 0, 297)
     assert [tuple(x)[-1] for x in pair_plans.pair_rejected_long(spark, d).collect()] == [319]
+
+
+def test_topics_up_to_the_quota(spark, tmp_path):
+    d = folder(spark, tmp_path, ["One text."] * 650)
+    target = {x.domain: x.target for x in text_plans.quota_targets(spark, d).collect()}
+    got = Counter(x.domain for x in text_plans.topic_plan(spark, d).collect())
+    assert max(target.values()) > 25 and got == {k: n for k, n in target.items() if n}
