@@ -1,16 +1,21 @@
 """Substring dedup over sliding runs of consecutive sentences.
 
 A sentence ends at a word that ends in . ! ? … 。 ！ ？ (closing quotes and
-brackets may follow) or stands before a line break. A run is the shortest
-stretch of consecutive sentences, from each start forwards and from each end
-backwards, that holds either ``sentences`` sentences and ``least_words`` words
+brackets may follow) or stands before a line break. A repeated passage may begin
+and end inside long sentences, of which few are whole in it; so a clause end, a
+word that ends in , ; : ， 、 ； or ：, closes a sentence too. A boundary depends
+on its word alone, so equal words are cut alike wherever they stand. A run is the
+shortest stretch of consecutive sentences, from each start forwards and from each
+end backwards, that holds either ``sentences`` sentences and ``least_words`` words
 or ``long_words`` words; so each sentence of a repeated passage that holds a run
 lies in a run that repeats. Runs are hashed over their words (white space does
 not count) and grouped over all documents; the first occurrence is the one with
-the least (doc_id, position). Sentences covered by any other occurrence go.
+the least (doc_id, hash of the text, position). Sentences covered by any other
+occurrence go.
 
 Defined results: null and empty texts, and rows without doc_id, come back as
-they are; repeated rows of one doc_id are each other's first occurrence and stay
+they are; rows of one doc_id with different texts are different documents; rows
+of one doc_id with the same text are each other's first occurrence and stay
 alike; a table without rows gives none; further columns are ignored.
 """
 
@@ -20,8 +25,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from tessera.llm import textnp
 from tessera.scratch import materialize, ship, small_batches
@@ -33,7 +39,11 @@ STOP = np.zeros(256, dtype=bool)
 STOP[list(b".!?")] = True
 CLOSING = np.zeros(256, dtype=bool)
 CLOSING[list(b"\"')]}")] = True
-WIDE_STOPS = ("…".encode(), "。".encode(), "！".encode(), "？".encode())
+CLAUSE = np.zeros(256, dtype=bool)
+CLAUSE[list(b",;:")] = True
+WIDE_STOPS = tuple(x.encode() for x in "…。！？，、；：")
+#: Of a run: the least number of sentences and of words, and the number of words that is enough for any.
+SENTENCES, LEAST_WORDS, LONG_WORDS = 2, 30, 50
 INVERSE = U64(pow(int(textnp.BASE), -1, 1 << 64))
 
 
@@ -46,7 +56,7 @@ def sentences(raw: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np
     for _ in range(3):
         step = CLOSING[raw[last]] & (last > starts)
         last = np.where(step, last - 1, last)
-    over = STOP[raw[last]]
+    over = STOP[raw[last]] | CLAUSE[raw[last]]
     wide = np.flatnonzero((raw[last] >= 0x80) & (last - starts >= 2))
     if len(wide):
         three = np.stack([raw[last[wide] - 2], raw[last[wide] - 1], raw[last[wide]]], axis=1)
@@ -98,6 +108,8 @@ def run_hashes(words: np.ndarray, begin: np.ndarray, a: np.ndarray, b: np.ndarra
     return textnp.mix((total[end[b]] - total[begin[a]]) * down[begin[a]] + (end[b] - begin[a]).astype(U64))
 
 
+#: What tells documents apart: a doc_id may come with several texts.
+IDENTITY = ["doc_id", "tag"]
 #: Of each text: its different runs at their first places, and the stretches covered by runs that it had before.
 SPAN_COLUMNS = ["hashes", "starts", "lengths", "again_starts", "again_lengths"]
 
@@ -126,7 +138,8 @@ def _spans(rule: tuple[int, int, int]):
                     owner = np.searchsorted(of_text, p, "right") - 1
                     counts = np.bincount(owner, minlength=y - x)
                     columns += [_list((p - of_text[owner]).astype(np.int32), counts), _list((q - p + 1).astype(np.int32), counts)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(x, y - x), *columns], names=["doc_id", *SPAN_COLUMNS])
+                ids = [part.column(c).slice(x, y - x) for c in IDENTITY]
+                yield pa.RecordBatch.from_arrays([*ids, *columns], names=[*IDENTITY, *SPAN_COLUMNS])
 
     return run
 
@@ -159,7 +172,7 @@ def _cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out[i] = b"".join(data[edge[s] : edge[s + 1]] for s in np.flatnonzero(~drop)).decode()
                 gone[i] = drop.sum()
                 words_gone[i] = (bounds[lo + 1 : hi + 1] - bounds[lo:hi])[drop].sum()
-        kept = [c for c in part.schema.names if c not in ("text", "covered")]
+        kept = [c for c in part.schema.names if c not in ("tag", "text", "covered")]
         yield pa.RecordBatch.from_arrays(
             [
                 *(part.column(c) for c in kept),
@@ -172,55 +185,66 @@ def _cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def covered_sentences(docs: DataFrame, sentences_: int = 3, least_words: int = 15, long_words: int = 50) -> DataFrame:
-    """(doc_id, covered: array of (at, n)): the stretches of sentences that a non-first repeated run covers.
+def _identified(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, the text's hash, the text, and more."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"), *more)
+
+
+def covered_sentences(docs: DataFrame, sentences_: int = SENTENCES, least_words: int = LEAST_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
+    """(doc_id, tag, covered: array of (at, n)): the stretches of sentences that a non-first repeated run covers.
 
     A run that its own document had before is no first occurrence anywhere, so it
-    needs no join; documents meet in their different runs only.
+    needs no join; documents meet in their different runs only. All runs are
+    shuffled by hash twice: to count them, without their places, and to find
+    those that repeat; only these go on.
     """
     small_batches(docs.sparkSession)
+    lists = "array<long>", "array<int>", "array<int>", "array<int>", "array<int>"
     spans = materialize(
-        docs.where("doc_id IS NOT NULL")
-        .select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .mapInArrow(
+        _identified(docs.where("doc_id IS NOT NULL")).mapInArrow(
             _spans((sentences_, least_words, long_words)),
-            "doc_id long, hashes array<long>, starts array<int>, lengths array<int>, again_starts array<int>, again_lengths array<int>",
+            "doc_id long, tag long, " + ", ".join(f"{c} {kind}" for c, kind in zip(SPAN_COLUMNS, lists, strict=True)),
         ),
         "spans",
     )
-
-    each = spans.select("doc_id", F.explode(F.arrays_zip(*SPAN_COLUMNS[:3])).alias("s")).select(
-        "doc_id", F.col("s.hashes").alias("hash"), F.col("s.starts").alias("at"), F.col("s.lengths").alias("n")
+    repeated = materialize(
+        spans.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash"), "repeated"
+    )
+    each = spans.select(*IDENTITY, F.explode(F.arrays_zip(*SPAN_COLUMNS[:3])).alias("s")).select(
+        *IDENTITY, F.col("s.hashes").alias("hash"), F.col("s.starts").alias("at"), F.col("s.lengths").alias("n")
     )
+    common = materialize(each.join(repeated, "hash"), "common")
     first = materialize(  # a table of its own, so that the join's large partitions can be split
-        each.groupBy("hash")
-        .agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "at")).alias("first"))
-        .where("times > 1")
-        .select("hash", F.col("first.doc_id").alias("doc0"), F.col("first.at").alias("at0")),
-        "first",
+        common.groupBy("hash").agg(F.min(F.struct(*IDENTITY, "at")).alias("first")), "first"
     )
     later = (
-        each.join(first, "hash")
-        .where("doc_id <> doc0 OR at <> at0")
-        .groupBy("doc_id")
+        common.join(first, "hash")
+        .where(F.struct(*IDENTITY, "at") != F.col("first"))
+        .groupBy(*IDENTITY)
         .agg(F.collect_list(F.struct("at", "n")).alias("covered"))
     )
     pairs = F.zip_with("again_starts", "again_lengths", lambda at, n: F.struct(at.alias("at"), n.alias("n"))).alias("covered")
-    own = spans.where(F.size("again_starts") > 0).select("doc_id", pairs)
-    return later.unionByName(own).groupBy("doc_id").agg(F.flatten(F.collect_set("covered")).alias("covered"))
+    own = spans.where(F.size("again_starts") > 0).select(*IDENTITY, pairs)
+    return later.unionByName(own).groupBy(*IDENTITY).agg(F.flatten(F.collect_set("covered")).alias("covered"))
 
 
 def substring_dedup(
-    docs: DataFrame, sentences_: int = 3, least_words: int = 15, long_words: int = 50, carry: bool = False
+    docs: DataFrame, sentences_: int = SENTENCES, least_words: int = LEAST_WORDS, long_words: int = LONG_WORDS, carry: bool = False
 ) -> DataFrame:
     """doc_id, text without the covered sentences, n_sentences, n_removed, n_words_removed; one row per document.
 
     With carry, also the struct ``row`` of all other columns of docs.
     """
-    others = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
+    others = [F.col(_quoted(c)) for c in docs.columns if c not in ("doc_id", "text")]
     row = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *([row.alias("row")] if carry else []))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields if f.name != "text")
-    return texts.join(covered_sentences(docs, sentences_, least_words, long_words), "doc_id", "left").mapInArrow(
-        _cut, f"{fields}, text string, n_sentences long, n_removed long, n_words_removed long"
-    )
+    kept = [row.alias("row")] if carry else []
+    own = _identified(docs, *kept)
+    schema = StructType([f for f in own.schema.fields if f.name not in ("tag", "text")]).add("text", "string")
+    for c in ("n_sentences", "n_removed", "n_words_removed"):
+        schema = schema.add(c, LongType())
+    return own.join(covered_sentences(docs, sentences_, least_words, long_words), IDENTITY, "left").mapInArrow(_cut, schema)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

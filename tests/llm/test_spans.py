@@ -2,6 +2,9 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import xxhash
+
 from tessera.llm.spans import substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -20,14 +23,18 @@ def split(text):
         for _ in range(3):
             if len(bare) > 1 and bare[-1] in "\"')]}":
                 bare = bare[:-1]
-        if bare[-1] in ".!?…。！？" or "\n" in gap:
+        if bare[-1] in ".!?…。！？,;:，、；：" or "\n" in gap:
             out.append((start, words))
             words = []
     return out
 
 
-def brute(rows, k=3, least=15, long=50):
-    parts = {d: split(t or "") for d, t in rows if d is not None}
+def tag(text):
+    return int(np.uint64(xxhash.xxh64((text or "").encode(), seed=42).intdigest()).view(np.int64))
+
+
+def brute(rows, k=2, least=30, long=50):
+    parts = {(d, tag(t)): split(t or "") for d, t in rows if d is not None}
     seen = defaultdict(set)
     for d, s in parts.items():
         enough = lambda a, b: (b - a + 1 >= k and (w := sum(len(x[1]) for x in s[a : b + 1])) >= least) or sum(len(x[1]) for x in s[a : b + 1]) >= long
@@ -42,27 +49,28 @@ def brute(rows, k=3, least=15, long=50):
                     break
     gone = defaultdict(set)
     for at in seen.values():
-        first = min((d, a) for d, a, _ in at)
+        first = min((d, a) for d, a, _ in at)  # d: (doc_id, tag)
         for d, a, e in at:
             if (d, a) != first:
                 gone[d] |= set(range(a, e + 1))
     out = []
     for d, t in rows:
-        if d is None or not gone[d]:
+        own = gone[d, tag(t)]
+        if d is None or not own:
             out.append((d, t, 0))
             continue
-        s = parts[d]
+        s = parts[d, tag(t)]
         edge = [0, *(x[0] for x in s[1:]), len(t)]
-        out.append((d, "".join(t[edge[i] : edge[i + 1]] for i in range(len(s)) if i not in gone[d]), len(gone[d])))
+        out.append((d, "".join(t[edge[i] : edge[i + 1]] for i in range(len(s)) if i not in own), len(own)))
     return sorted(out, key=str)
 
 
 def corpus():
     r = random.Random(3)
     word = lambda: "".join(r.choice("abcdeéß漢") for _ in range(r.randint(1, 6)))
-    sentence = lambda n: " ".join(word() for _ in range(n)) + r.choice([".", "!", "?", "…", '."'])
+    sentence = lambda n: " ".join(word() for _ in range(n)) + r.choice([".", "!", "?", "…", '."', ",", ";", "，"])
     para = lambda m: r.choice([" ", "\n"]).join(sentence(r.randint(1, 14)) for _ in range(m))
-    shared = [para(r.randint(1, 9)) for _ in range(8)] + [sentence(60), sentence(49)]
+    shared = [para(r.randint(1, 12)) for _ in range(8)] + [sentence(60), sentence(49)]
     rows = []
     for d in range(80):
         parts = [para(r.randint(0, 6)) for _ in range(2)]
@@ -91,3 +99,29 @@ def test_passage_stays_once(spark):
     out = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [x.doc_id for x in out if passage in x.text] == [0]
     assert all(f"u{x.doc_id}x0." in x.text and f"u{x.doc_id}x8." in x.text for x in out)
+
+
+def test_one_doc_id_with_different_texts(spark):
+    r = random.Random(2)
+    long = " ".join(" ".join(f"a{r.randrange(9999)}" for _ in range(6)) + "." for _ in range(9))
+    other = " ".join(" ".join(f"b{r.randrange(9999)}" for _ in range(6)) + "." for _ in range(12))
+    rows = [(1, long), (2, "Short."), (2, long), (2, other), (3, other + " " + long), (2, other), (4, None), (4, other)]
+    got = sorted(((x.doc_id, x.text, x.n_removed) for x in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute(rows)
+    assert sum(t == other for _, t, _ in got) == 2 and (2, "Short.", 0) in got
+
+
+def test_passage_that_begins_and_ends_inside_sentences(spark):
+    r = random.Random(4)
+    word = lambda: f"w{r.randrange(10**6)}"
+    clause = lambda n: " ".join(word() for _ in range(n)) + ","
+    passage = " ".join([word(), word(), clause(3), clause(14), clause(15), clause(12), word(), word()])
+    rows = [(i, f"{clause(9)} {word()} {passage} {word()} {clause(8)}") for i in range(3)]
+    got = {x.doc_id: x for x in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].n_removed == 0 and all(got[i].n_words_removed == 41 for i in (1, 2))
+
+
+def test_odd_column_names_are_carried(spark):
+    docs = spark.createDataFrame([(1, "a b.", ("x", 2), 5, 6)], "doc_id long, text string, `a b:c` struct<`d e`: string, `f:g`: int>, `tag` int, `x.y` int")
+    row = substring_dedup(docs, carry=True).first()
+    assert row.text == "a b." and row.row.asDict(True) == {"a b:c": {"d e": "x", "f:g": 2}, "tag": 5, "x.y": 6}
