@@ -10,8 +10,9 @@ bucket of any size is spread over tasks, and a cell emits one row for each class
 with links, never its pairs.
 
 Defined results: an empty or null text, and a null doc_id, links with nothing
-(n_links 0; class_id is its own doc_id); repeated rows of one doc_id count as
-copies, each with its own row; further columns of the input are ignored.
+(n_links 0; class_id is its own doc_id); rows of one doc_id each keep their row,
+as copies where their shingle sets are equal and as different documents where
+not; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -78,27 +79,33 @@ def least_matches(threshold: float, tolerance: float) -> np.ndarray:
     return np.array(out)
 
 
+def _set_keys(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell shingle sets apart."""
+    return int(shingles.sum(dtype=U64).view(np.int64)), int(textnp.mix(shingles + U64(7)).sum(dtype=U64).view(np.int64))
+
+
 def _digest(ngram: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             keys, sizes, bands = [], [], []
+            ids = [part.column("doc_id"), part.column("tag")]
             for _, _, raw, offsets in textnp.batches(part.column("text")):
                 starts, ends, first = textnp.words(raw, offsets)
                 for s in textnp.shingles(textnp.word_hashes(raw, starts, ends), first, ngram):
                     sizes.append(len(s))
-                    keys.append((int(s.sum(dtype=U64).view(np.int64)), int(textnp.mix(s + U64(7)).sum(dtype=U64).view(np.int64))))
+                    keys.append(_set_keys(s))
                     bands.append(signature(s))
             table = band_keys(np.array(bands)) if bands else np.zeros((0, BANDS), np.int64)
             k = np.array(keys, dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("doc_id"),
+                    *ids,
                     pa.array(k[:, 0]),
                     pa.array(k[:, 1]),
                     pa.array(np.array(sizes, dtype=np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, table.size + 1, BANDS, dtype=np.int32)), pa.array(table.ravel())),
                 ],
-                names=["doc_id", "k1", "k2", "n_shingles", "bands"],
+                names=["doc_id", "tag", "k1", "k2", "n_shingles", "bands"],
             )
 
     return run
@@ -110,12 +117,14 @@ def _payload(ngram: int):
             ids = part.column("doc_id")
             for a, b, raw, offsets in textnp.batches(part.column("text"), 2 << 20):
                 starts, ends, first = textnp.words(raw, offsets)
-                sets, sigs = [], []
+                sets, sigs, keys = [], [], []
                 for s in textnp.shingles(textnp.word_hashes(raw, starts, ends), first, ngram):
+                    keys.append(_set_keys(s)[0])
                     sets.append(s.tobytes())
                     sigs.append(signature(s).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary())], names=["rep", "grams", "sig"]
+                    [ids.slice(a, b - a), pa.array(keys, pa.int64()), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary())],
+                    names=["rep", "k1", "grams", "sig"],
                 )
 
     return run
@@ -196,8 +205,8 @@ def _cells(threshold: float, tolerance: float):
     fewest = least_matches(threshold, tolerance)
 
     def one(cell: pd.DataFrame, out: list[pd.DataFrame]) -> None:
-        cell = cell.sort_values("rep", kind="stable")
-        ids, weight, side = cell["rep"].to_numpy(), cell["copies"].to_numpy(), cell["side"].to_numpy()
+        cell = cell.sort_values(["rep", "k1"], kind="stable")
+        ids, keys, weight, side = (cell[c].to_numpy() for c in ("rep", "k1", "copies", "side"))
         sets = [np.frombuffer(x, dtype=U64) for x in cell["grams"]]
         sigs = np.stack([np.frombuffer(x, dtype=np.uint32) for x in cell["sig"]])
         band = int(cell["key"].iat[0] & (BANDS - 1))
@@ -213,8 +222,8 @@ def _cells(threshold: float, tolerance: float):
         links = np.bincount(pairs[:, 0], weight[pairs[:, 1]], len(ids)) + np.bincount(pairs[:, 1], weight[pairs[:, 0]], len(ids))
         partners = np.bincount(pairs.ravel(), minlength=len(ids))
         hit = np.flatnonzero(partners)
-        root = ids[_roots(len(ids), pairs)]  # ids ascend with the index
-        out.append(pd.DataFrame({"rep": ids[hit], "root": root[hit], "linked": links[hit].astype(np.int64), "partners": partners[hit]}))
+        root = _roots(len(ids), pairs)[hit]  # (rep, k1) ascend with the index
+        out.append(pd.DataFrame({"rep": ids[hit], "k1": keys[hit], "root": ids[root], "root_k1": keys[root], "linked": links[hit].astype(np.int64), "partners": partners[hit]}))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[pd.DataFrame] = []
@@ -244,72 +253,87 @@ def _cells(threshold: float, tolerance: float):
 
 
 def jaccard_join(
-    docs: DataFrame, threshold: float = 0.8, ngram: int = 5, tolerance: float = 1e-7, chunk: int = CHUNK
+    docs: DataFrame, threshold: float = 0.8, ngram: int = 5, tolerance: float = 1e-7, chunk: int = CHUNK, leaders: bool = False
 ) -> DataFrame:
     """One row per document: doc_id, class_id (least doc_id reachable by links), copy_id (least doc_id with an equal shingle set),
-    n_links (other documents at the threshold or above, copies included), n_partners (different texts among them), n_shingles."""
+    n_links (other documents at the threshold or above, copies included), n_partners (different texts among them), n_shingles.
+
+    With leaders also tag (xxhash64 of the text) and leads: whether the row is the first of its class by (doc_id, set, tag); what links with nothing leads.
+    A class in this code is told by its least doc_id and k1, as a doc_id may come with several texts.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     digest = materialize(
-        texts.mapInArrow(_digest(ngram), "doc_id long, k1 long, k2 long, n_shingles long, bands array<long>"), "digest"
+        texts.mapInArrow(_digest(ngram), "doc_id long, tag long, k1 long, k2 long, n_shingles long, bands array<long>"), "digest"
     )
     able = digest.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(
-        able.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes"
+        able.groupBy("k1", "k2")
+        .agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.count("*").alias("copies"))
+        .select("k1", "k2", F.col("first.doc_id").alias("rep"), F.col("first.tag").alias("tag"), "copies"),
+        "classes",
     )
-    reps = able.withColumnRenamed("doc_id", "rep").join(classes, ["k1", "k2", "rep"]).dropDuplicates(["rep"])
-    banded = reps.select("rep", "copies", F.explode("bands").alias("key"))
+    reps = able.withColumnRenamed("doc_id", "rep").join(classes, ["k1", "k2", "rep", "tag"]).dropDuplicates(["rep", "k1", "k2"])
+    banded = reps.select("rep", "k1", "copies", F.explode("bands").alias("key"))
     buckets = (
         banded.groupBy("key")
-        .agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("f1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("f2"))
+        .agg(
+            F.count("*").alias("n"),
+            F.bit_xor(F.xxhash64("rep", "k1")).alias("f1"),
+            F.bit_xor(F.xxhash64("rep", "k1", F.lit(1))).alias("f2"),
+        )
         .where("n > 1")
         .groupBy("n", "f1", "f2")  # bands with the same members: the first will do
         .agg(F.min(F.struct(F.expr(f"key & {BANDS - 1}"), "key")).alias("x"))
         .select(F.col("x.key").alias("key"), F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
     )
     members = materialize(
-        banded.join(buckets, "key").withColumn("own", F.expr("cast(pmod(xxhash64(rep, key), chunks) as int)")), "members"
+        banded.join(buckets, "key").withColumn("own", F.expr("cast(pmod(xxhash64(rep, k1, key), chunks) as int)")), "members"
     )
     wanted = members.select("rep").distinct()
     few = members.agg(F.approx_count_distinct("rep").alias("n")).first().n <= BROADCAST_IDS
     payload = (
         texts.join(F.broadcast(wanted) if few else wanted, texts.doc_id == wanted.rep, "left_semi")
-        .mapInArrow(_payload(ngram), "rep long, grams binary, sig binary")
-        .dropDuplicates(["rep"])
+        .mapInArrow(_payload(ngram), "rep long, k1 long, grams binary, sig binary")
+        .dropDuplicates(["rep", "k1"])
     )
     cells = members.select(
-        "key", "rep", "copies", "own", F.explode(F.expr("sequence(0, chunks - 1)")).alias("other")
+        "key", "rep", "k1", "copies", "own", F.explode(F.expr("sequence(0, chunks - 1)")).alias("other")
     ).select(
         "key",
         F.least("own", "other").alias("ci"),
         F.greatest("own", "other").alias("cj"),
         "rep",
+        "k1",
         "copies",
         F.expr("cast(CASE WHEN own = other THEN 2 WHEN own < other THEN 0 ELSE 1 END AS int)").alias("side"),
     )
     linked = materialize(
-        cells.join(payload, "rep")
+        cells.join(payload, ["rep", "k1"])
         .repartition("key", "ci", "cj")
         .sortWithinPartitions("key", "ci", "cj")
-        .mapInPandas(_cells(threshold, tolerance), "rep long, root long, linked long, partners long"),
+        .mapInPandas(_cells(threshold, tolerance), "rep long, k1 long, root long, root_k1 long, linked long, partners long"),
         "linked",
     )
-    sums = linked.groupBy("rep").agg(F.sum("linked").alias("linked"), F.sum("partners").alias("n_partners"))
-    roots = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    sums = linked.groupBy("rep", "k1").agg(F.sum("linked").alias("linked"), F.sum("partners").alias("n_partners"))
+    node = [F.struct(F.col(a).alias("rep"), F.col(b).alias("k1")) for a, b in (("rep", "k1"), ("root", "root_k1"))]
+    roots = components(linked.select(node[0].alias("a"), node[1].alias("b"))).select("node.rep", "node.k1", "root")
     known = (
-        classes.join(sums, "rep", "left")
-        .join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
+        classes.join(sums, ["rep", "k1"], "left")
+        .join(roots, ["rep", "k1"], "left")
         .select(
             "k1",
             "k2",
             F.col("rep").alias("copy_id"),
-            F.coalesce("root", "rep").alias("class_id"),
+            F.coalesce("root.rep", "rep").alias("class_id"),
             (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
             F.coalesce("n_partners", F.lit(0)).cast("long").alias("n_partners"),
+            F.when(F.col("root").isNull() | (F.col("root") == F.struct("rep", "k1")), F.col("tag")).alias("lead"),
         )
     )
-    columns = ["doc_id", "class_id", "copy_id", "n_links", "n_partners", "n_shingles"]
+    columns = ["doc_id", "class_id", "copy_id", "n_links", "n_partners", "n_shingles", *(["tag", "leads"] if leaders else [])]
     alone = digest.where("n_shingles = 0 OR doc_id IS NULL").select(
         "doc_id",
         F.col("doc_id").alias("class_id"),
@@ -317,8 +341,12 @@ def jaccard_join(
         F.lit(0).cast("long").alias("n_links"),
         F.lit(0).cast("long").alias("n_partners"),
         "n_shingles",
+        "tag",
+        F.lit(True).alias("leads"),
     )
-    return able.drop("bands").join(known, ["k1", "k2"]).select(columns).unionByName(alone.select(columns))
+    leads = F.coalesce((F.col("doc_id") == F.col("copy_id")) & (F.col("tag") == F.col("lead")), F.lit(False))
+    every = able.drop("bands").join(known, ["k1", "k2"]).withColumn("leads", leads)
+    return every.select(columns).unionByName(alone.select(columns))
 
 
 #: The exact join by shared shingles.

@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import corpus_pipeline
+
 from tessera.llm.jaccard import jaccard_join, least_matches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -78,3 +80,17 @@ def test_pruning_keeps_pairs_at_the_threshold():
     fewest = least_matches(0.8, 1e-7)
     for n in (32, 64, 96, 128):
         assert sum(comb(n, m) * 0.8**m * 0.2 ** (n - m) for m in range(fewest[n])) < 1e-6
+
+
+def test_one_doc_id_with_different_texts(spark):
+    r = random.Random(9)
+    words = [[f"{x}{r.randrange(9999)}" for _ in range(60)] for x in "ab"]
+    near = [[*w[:30], "new", *w[31:]] for w in words]
+    a, b, c, d = (" ".join(w) for w in (*words, *near))
+    for rows in ([(1, a), (1, b), (2, c), (3, d)], [(1, a), (1, b), (1, c), (2, b), (2, d), (2, d)], [(5, a), (5, b), (4, d), (5, "alone in it"), (6, c), (4, c)]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted(((x.doc_id, x.class_id, x.n_links) for x in jaccard_join(docs).collect()), key=str) == brute(rows)
+        kept = sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, "").collect()))
+        first = {k: min(i for i, t in rows if t in pair) for k, pair in {"a": (a, c), "b": (b, d)}.items()}
+        assert len(kept) == len({t for _, t in rows if t not in (a, b, c, d)}) + 2
+        assert all(any((first[k], t) in kept for t in pair) for k, pair in {"a": (a, c), "b": (b, d)}.items())
