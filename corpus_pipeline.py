@@ -30,13 +30,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least doc_id of each class of near duplicates."""
-    groups = materialize(jaccard_join(docs).select("doc_id", "class_id"), "groups")
-    gone = groups.where("doc_id <> class_id").select("doc_id").distinct()
-    repeated = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(gone.unionByName(repeated), "doc_id", "left_anti")
-    once = docs.join(repeated.join(gone, "doc_id", "left_anti"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(once.select(docs.columns))
+    """Keep one document of each class of near duplicates, the one with the least doc_id; texts without words stay."""
+    groups = materialize(jaccard_join(docs, leaders=True).where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "tag", "leads"), "groups")
+    key = [F.col("doc_id").cast("long").eqNullSafe(F.col("_near_doc_id")), F.xxhash64(F.col("text").cast("string")) == F.col("_near_tag")]
+
+    def rows(of: DataFrame) -> DataFrame:
+        return of.select(F.col("doc_id").alias("_near_doc_id"), F.col("tag").alias("_near_tag"))
+
+    gone = rows(groups.where("NOT leads").select("doc_id", "tag").distinct())
+    repeated = rows(groups.where("leads").groupBy("doc_id", "tag").count().where("count > 1"))
+    kept = docs.join(gone.unionByName(repeated), key, "left_anti")
+    once = docs.join(repeated, key, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(once)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
