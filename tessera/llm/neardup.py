@@ -1,19 +1,24 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products, one representative per group.
 
-Centroids are fitted on at most ``sample`` vectors (the least hashes of vec_id).
-Every vector has one home cell, its nearest centroid's, and visits each further
-cell that can hold a vector linked with it: beyond the bisector of two centroids
-the best cosine is sqrt(1 - s^2), s being the vector's distance from it, so cells
-with s > sqrt(1 - threshold^2) hold no link and the rest are compared. No link is
-lost, whatever the centroids. Cells are split into blocks of ``block`` homes by
-``block`` visitors. Equal vectors are collapsed before, and a block gives one row
-for each vector with links, never its pairs.
-
-Vectors are compared only where labels are equal and not null, and lengths are
-equal. Defined results: vectors that are null, empty, zero or hold null or
-non-finite components, and rows without vec_id, link with nothing (n_links 0,
-component_id their own vec_id, kept true); repeated rows count as other vectors;
-an empty table gives no rows; further columns are ignored.
+Centroids are fitted on at most ``sample`` vectors (the least hashes of vec_id)
+and SAMPLE_BYTES. Every vector has one home cell, its nearest centroid's, and
+visits each further cell that can hold a vector linked with it, by two bounds:
+beyond the bisector of two centroids the best cosine is sqrt(1 - s^2), s being
+the vector's distance from it; and no vector of a cell is further from its
+centroid than the cell's radius, so the vector may be at most that and the
+threshold's angle away. Two cells meet in the vectors that each may send to the
+other, and every pair is compared once. No link is lost, whatever the centroids.
+Cells are dealt to groups of ``block`` vectors and compared group by group: in
+single precision with a margin for its rounding, then the pairs found in double.
+Equal vectors are collapsed before, and a block gives one row for each vector
+with links, never its pairs.
+
+Vectors are compared only where labels are equal (as text) and not null, and
+lengths are equal. Defined results: vectors that are null, empty, zero or hold
+null or non-finite components, and rows without vec_id, link with nothing
+(n_links 0, component_id their own vec_id, kept true); repeated rows, also of one
+vec_id with different vectors or labels, count as other vectors; an empty table
+gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from tessera.llm.components import components
 from tessera.llm.jaccard import _roots
@@ -31,9 +38,9 @@ from tessera.scratch import materialize, ship, small_batches
 
 ship(__name__)
 
-SAMPLE = 20_000
-BLOCK = 2_048
-CELL = 1_024
+SAMPLE, SAMPLE_BYTES = 20_000, 64 << 20
+BLOCK = 4_096
+CELL = 4_096
 MOST_CELLS = 1_024
 
 
@@ -52,66 +59,84 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 15, seed: int = 3) ->
     return c
 
 
-def _units(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _vectors(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components' bytes of each vector that can be compared, else null."""
     for part in parts:
-        out = []
-        for v in part["embedding"]:
-            u = None if v is None or len(v) == 0 else np.array(v, dtype=np.float64)
-            if u is not None:
-                top = np.abs(u).max()
-                u = u / top if np.isfinite(top) and top > 0 else None  # scaled first, so that no square over- or underflows
-            out.append(None if u is None else (u / np.linalg.norm(u)).tobytes())
-        yield pd.DataFrame({"vec_id": part["vec_id"], "label": part["label"], "unit": out})
+        column = part.column("embedding")
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        values = column.values.to_numpy(zero_copy_only=False)  # null components are NaN
+        at = column.offsets.to_numpy()
+        bad, some = (np.concatenate(([0], np.cumsum(x))) for x in (~np.isfinite(values), values != 0))
+        able = column.is_valid().to_numpy(zero_copy_only=False) & (bad[at[1:]] == bad[at[:-1]]) & (some[at[1:]] > some[at[:-1]])
+        out = [values[x:y].tobytes() if ok else None for x, y, ok in zip(at[:-1], at[1:], able, strict=True)]
+        yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("label"), pa.array(out, pa.binary())], names=["vec_id", "label", "vector"])
+
 
+def units(vectors: list[bytes], kind: str) -> np.ndarray:
+    """Unit vectors of one length, in double precision; scaled first, so that no square over- or underflows."""
+    x = np.frombuffer(b"".join(vectors), dtype=kind).reshape(len(vectors), -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-def _cells(centroids: np.ndarray, threshold: float):
+
+def _place(centroids: np.ndarray, threshold: float, kind: str):
     reach = np.sqrt(max(0.0, 1 - threshold * threshold)) + 1e-9
     gap = np.sqrt(np.maximum(2 - 2 * (centroids @ centroids.T), 0)) if len(centroids) else None
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            home = np.zeros(len(part), dtype=np.int32)
-            visits: list[list[int]] = [[0]] * len(part)
+            home, own = np.zeros(len(part), dtype=np.int32), np.ones(len(part))
+            visits: list[list[dict]] = [[{"cell": 0, "dot": 1.0}]] * len(part)
             known = np.flatnonzero((part["dim"] == (centroids.shape[1] if len(centroids) else -1)).to_numpy())
             if len(known):
-                dots = np.stack([np.frombuffer(part["unit"].iat[i]) for i in known]) @ centroids.T
-                own = dots.argmax(axis=1)
-                home[known] = own
-                seen = dots[np.arange(len(known)), own][:, None] - dots <= reach * gap[own] + 1e-12
-                for i, row in zip(known, seen, strict=True):
-                    visits[i] = np.flatnonzero(row).tolist()
-            yield part.assign(home=home, visits=visits)
+                dots = units([part["vector"].iat[i] for i in known], kind) @ centroids.T
+                best = dots.argmax(axis=1)
+                home[known], own[known] = best, dots[np.arange(len(known)), best]
+                seen = own[known][:, None] - dots <= reach * gap[best] + 1e-12
+                for i, row, dot in zip(known, seen, dots, strict=True):
+                    visits[i] = [{"cell": int(c), "dot": float(dot[c])} for c in np.flatnonzero(row)]
+            yield part.assign(home=home, own=own, visits=visits)
 
     return run
 
 
-def _compare(threshold: float):
+def linked_pairs(x: np.ndarray, y: np.ndarray, same: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (i of x, j of y) with a cosine of at least threshold, in slices; with same, x is y and i < j."""
+    x32, y32 = x.astype(np.float32), y.astype(np.float32)
+    least = np.float32(threshold - 1e-6 - 2e-7 * x.shape[1])  # a margin for single precision
+    for a in range(0, len(x), 512):
+        i, j = np.nonzero(x32[a : a + 512] @ y32.T >= least)
+        i += a
+        if same:
+            i, j = i[i < j], j[i < j]
+        for b in range(0, len(i), 1 << 16):
+            p, q = i[b : b + (1 << 16)], j[b : b + (1 << 16)]
+            sure = np.einsum("ij,ij->i", x[p], y[q]) >= threshold
+            if sure.any():
+                yield p[sure], q[sure]
+
+
+def _compare(threshold: float, kind: str):
     def one(block: pd.DataFrame, out: list[pd.DataFrame]) -> None:
-        at_home = block["role"].to_numpy() == 0
-        if at_home.all() or not at_home.any():
+        block = block.sort_values(["rep", "tag"], kind="stable")
+        ids, tags, weight, role = (block[c].to_numpy() for c in ("rep", "tag", "copies", "role"))
+        left, right = (np.arange(len(ids)),) * 2 if (role == 2).all() else (np.flatnonzero(role == 0), np.flatnonzero(role == 1))
+        if not len(left) or not len(right):
             return
-        homes, guests = block[at_home], block[~at_home]
-        h, g = homes["rep"].to_numpy(), guests["rep"].to_numpy()
-        ids, number = np.unique(np.concatenate([h, g]), return_inverse=True)
-        weight = homes["copies"].to_numpy()
-        x = np.stack([np.frombuffer(u) for u in homes["unit"]])
-        linked, pairs = np.zeros(len(ids), dtype=np.int64), []
-        for a in range(0, len(g), 512):
-            y = np.stack([np.frombuffer(u) for u in guests["unit"].iloc[a : a + 512]])
-            i, j = np.nonzero(y @ x.T >= threshold)
-            mine, theirs = number[len(h) + a + i], number[j]
-            other = mine != theirs
-            mine, theirs = mine[other], theirs[other]
-            np.add.at(linked, mine, weight[j[other]])
-            if len(mine):
-                pairs.append(np.unique(np.stack([mine, theirs], axis=1), axis=0))
-        if pairs:
-            root = ids[_roots(len(ids), np.concatenate(pairs))]
-            hit = np.flatnonzero((root != ids) | (linked > 0))
-            out.append(pd.DataFrame({"rep": ids[hit], "root": root[hit], "linked": linked[hit]}))
+        all_units = units(block["vector"].tolist(), kind)
+        linked, root = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
+        for i, j in linked_pairs(all_units[left], all_units[right], left is right, threshold):
+            i, j = left[i], right[j]
+            np.add.at(linked, i, weight[j])
+            np.add.at(linked, j, weight[i])
+            # so far's groups and the new pairs; indices ascend with (rep, tag)
+            root = _roots(len(ids), np.concatenate([np.stack([np.arange(len(ids)), root], axis=1), np.stack([i, j], axis=1)]))
+        hit = np.flatnonzero(linked)
+        if len(hit):
+            out.append(pd.DataFrame({"rep": ids[hit], "tag": tags[hit], "root": ids[root[hit]], "root_tag": tags[root[hit]], "linked": linked[hit]}))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["label", "dim", "cell", "hc", "vc"]
+        names = ["block"]
         rest: list[pd.DataFrame] = []
         for part in parts:
             if not len(part):
@@ -136,13 +161,14 @@ def _compare(threshold: float):
     return run
 
 
-def fit_centroids(reps: DataFrame, n: int, n_labels: int, sample: int = SAMPLE) -> np.ndarray:
-    """Centroids for the most frequent vector length; the number of cells follows the number of vectors per label."""
-    drawn = [np.frombuffer(r.unit) for r in reps.orderBy(F.xxhash64("rep"), "rep").select("unit").limit(sample).collect()]
+def fit_centroids(reps: DataFrame, n: int, n_labels: int, dim: int, kind: str, sample: int = SAMPLE) -> np.ndarray:
+    """Centroids for the most frequent vector length; the number of cells follows the number of vectors per label. dim: the greatest length."""
+    most = max(1, min(sample, SAMPLE_BYTES // (8 * max(1, dim))))
+    drawn = [bytes(r.vector) for r in reps.orderBy(F.xxhash64("rep"), "rep", "tag").select("vector").limit(most).collect()]
     if not drawn:
         return np.zeros((0, 0))
-    dims, counts = np.unique([len(v) for v in drawn], return_counts=True)
-    x = np.stack([v for v in drawn if len(v) == dims[counts.argmax()]])
+    lengths, counts = np.unique([len(v) for v in drawn], return_counts=True)
+    x = units([v for v in drawn if len(v) == lengths[counts.argmax()]], kind)
     k = min(MOST_CELLS, max(2, -(-n // (max(1, n_labels) * CELL))), max(1, len(x) // 8))
     return spherical_kmeans(x, k)
 
@@ -151,79 +177,83 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.93, block: int
     """vec_id, n_links, component_id, kept; one row per vector."""
     spark = vectors.sparkSession
     small_batches(spark, 2048)
-    units = materialize(
+    single = vectors.schema["embedding"].dataType == ArrayType(FloatType(), vectors.schema["embedding"].dataType.containsNull)
+    kind = "<f4" if single else "<f8"
+    found = materialize(
         vectors.select(
-            F.col("vec_id").cast("long"),
-            F.col("label").cast("int"),
-            F.when(F.forall("embedding", lambda x: x.isNotNull()), F.col("embedding").cast("array<double>")).alias("embedding"),
+            F.col("vec_id").cast("long").alias("vec_id"),
+            F.col("label").cast("string").alias("label"),
+            F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"),
         )
-        .select("vec_id", "label", F.expr("CASE WHEN NOT exists(embedding, x -> isnan(x) OR abs(x) = double('Infinity')) THEN embedding END AS embedding"))
-        .mapInPandas(_units, "vec_id long, label int, unit binary")
-        .select("*", F.xxhash64("unit").alias("k1"), F.xxhash64("unit", F.lit(1)).alias("k2")),
-        "units",
-    )
-    able = units.where("unit IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL")
-    classes = materialize(
-        able.groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes"
+        .mapInArrow(_vectors, "vec_id long, label string, vector binary")
+        .select("*", F.xxhash64("vector").alias("k1"), F.xxhash64("vector", F.lit(1)).alias("k2")),
+        "vectors",
     )
-    reps = (
-        able.withColumnRenamed("vec_id", "rep")
-        .join(classes, ["label", "k1", "k2", "rep"])
-        .dropDuplicates(["label", "k1", "k2"])
-        .select("rep", "copies", "label", "unit", (F.octet_length("unit") / 8).cast("int").alias("dim"))
+    usable = F.col("vector").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+    able = found.where(usable)
+    # equal vectors of a label are one class, told by its least vec_id and tag, as a vec_id may come with several vectors
+    classes = ["label", "k1", "k2"]
+    reps = materialize(
+        able.groupBy(classes)
+        .agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+        .withColumn("tag", F.xxhash64(*classes))
+        .withColumn("dim", (F.octet_length("vector") / np.dtype(kind).itemsize).cast("int")),
+        "reps",
     )
-    n, n_labels = classes.agg(F.count("*"), F.count_distinct("label")).first()
-    centroids = fit_centroids(reps, n, n_labels, sample)
+    n, n_labels, dim = reps.agg(F.count("*"), F.count_distinct("label"), F.coalesce(F.max("dim"), F.lit(0))).first()
+    centroids = fit_centroids(reps, n, n_labels, dim, kind, sample)
     placed = materialize(
-        reps.mapInPandas(
-            _cells(centroids, threshold),
-            "rep long, copies long, label int, unit binary, dim int, home int, visits array<int>",
+        reps.select("rep", "tag", "copies", "label", "dim", "vector").mapInPandas(
+            _place(centroids, threshold, kind),
+            "rep long, tag long, copies long, label string, dim int, vector binary, home int, own double, visits array<struct<cell: int, dot: double>>",
         ),
         "placed",
     )
-    key = ["label", "dim", "cell"]
-    homes = placed.withColumn("cell", F.col("home"))
-    guests = placed.withColumn("cell", F.explode("visits"))
-    counts = (
-        homes.groupBy(key)
-        .agg(F.count("*").alias("nh"))
-        .join(guests.groupBy(key).agg(F.count("*").alias("nv")), key)
-        .select(*key, F.ceil(F.col("nh") / block).cast("int").alias("h"), F.ceil(F.col("nv") / block).cast("int").alias("v"))
+    key = ["label", "dim"]
+    cells = materialize(
+        placed.groupBy(*key, "home").agg(F.ceil(F.count("*") / block).cast("int").alias("groups"), F.min("own").alias("edge")), "cells"
     )
-
-    def dealt(rows: DataFrame, role: int, own: str, other: str, n_own: str, n_other: str) -> DataFrame:
-        return (
-            rows.join(counts, key)
-            .withColumn(own, F.expr(f"cast(pmod(xxhash64(rep, {role}), {n_own}) as int)"))
-            .withColumn(other, F.explode(F.expr(f"sequence(0, {n_other} - 1)")))
-            .select(*key, "hc", "vc", "rep", "copies", "unit", F.lit(role).alias("role"))
+    theta = float(np.arccos(min(1.0, max(-1.0, threshold))))
+    angle = lambda c: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(c))))
+    same = F.col("cell") == F.col("home")
+    mine, theirs = F.col("mine"), F.col("theirs")
+    dealt = (
+        placed.join(cells.select(*key, "home", "groups"), [*key, "home"])
+        .withColumn("mine", F.expr("cast(pmod(xxhash64(rep, tag), groups) as int)"))
+        .select("*", F.explode("visits").alias("visit"))
+        .select(*key, "rep", "tag", "copies", "vector", "home", "mine", F.col("visit.cell").alias("cell"), F.col("visit.dot").alias("dot"))
+        .join(cells.select(*key, F.col("home").alias("cell"), F.col("groups").alias("others"), "edge"), [*key, "cell"])
+        .where(same | (angle("dot") <= angle("edge") + theta + 1e-6))
+        .withColumn("theirs", F.explode(F.expr("sequence(0, others - 1)")))
+        .withColumn("first", F.when(same, mine <= theirs).otherwise(F.col("home") < F.col("cell")))
+        .select(
+            # what the two groups have in common: a hash would do for dealing but not for telling blocks apart
+            F.concat_ws(
+                "|", F.when(F.col("first"), F.concat_ws(".", "home", mine, "cell", theirs)).otherwise(F.concat_ws(".", "cell", theirs, "home", mine)), "dim", "label"
+            ).alias("block"),
+            "rep",
+            "tag",
+            "copies",
+            "vector",
+            F.when(same & (mine == theirs), 2).when(F.col("first"), 0).otherwise(1).alias("role"),
         )
-
-    pairs = dealt(homes, 0, "hc", "vc", "h", "v").unionByName(dealt(guests, 1, "vc", "hc", "v", "h"))
+    )
     linked = materialize(
-        pairs.repartition(*key, "hc", "vc")
-        .sortWithinPartitions(*key, "hc", "vc")
-        .mapInPandas(_compare(threshold), "rep long, root long, linked long"),
+        dealt.repartition("block").sortWithinPartitions("block").mapInPandas(_compare(threshold, kind), "rep long, tag long, root long, root_tag long, linked long"),
         "links",
     )
-    sums = linked.groupBy("rep").agg(F.sum("linked").alias("linked"))
-    roots = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    sums = linked.groupBy("rep", "tag").agg(F.sum("linked").alias("linked"))
+    node = [F.struct(F.col(a).alias("rep"), F.col(b).alias("tag")) for a, b in (("rep", "tag"), ("root", "root_tag"))]
+    roots = components(linked.select(node[0].alias("a"), node[1].alias("b"))).select("node.rep", "node.tag", "root")
     known = (
-        classes.join(sums, "rep", "left")
-        .join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-        .select(
-            "label",
-            "k1",
-            "k2",
-            (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
-            F.coalesce("root", "rep").alias("component_id"),
-        )
-    )
-    alone = units.where("NOT (unit IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL)").select(
-        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
+        reps.select(*classes, "rep", "tag", "copies")
+        .join(sums, ["rep", "tag"], "left")
+        .join(roots, ["rep", "tag"], "left")
+        .select(*classes, (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("root.rep", "rep").alias("component_id"))
     )
+    alone = found.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return (
-        able.join(known, ["label", "k1", "k2"])
+        able.join(known, classes)
         .select("vec_id", "n_links", "component_id")
         .unionByName(alone)
         .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

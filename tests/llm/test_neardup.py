@@ -57,3 +57,24 @@ def test_whole_table_has_every_link(spark):
 
 def test_empty_table(spark):
     assert neardup.embedding_near_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
+
+
+def test_one_vec_id_with_different_vectors_and_labels(spark):
+    x, y = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    near = lambda v: [c + 0.1 for c in v]
+    rows = [(1, x, "a"), (1, y, "a"), (2, near(x), "a"), (3, near(y), "a"), (1, x, "b"), (4, near(x), "b"), (4, near(x), "b"), (1, x, "a")]
+    got = neardup.embedding_near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert sorted((tuple(x) for x in got), key=str) == brute(rows)
+
+
+def test_tight_clusters_visit_few_cells(spark):
+    r = np.random.default_rng(4)
+    base = r.normal(size=(40, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    x = np.repeat(base, 30, axis=0) + r.normal(size=(1200, 32)) * 0.02
+    c = neardup.spherical_kmeans(x / np.linalg.norm(x, axis=1, keepdims=True), 40)
+    import pandas as pd
+
+    part = pd.DataFrame({"vector": [v.astype("<f4").tobytes() for v in x], "dim": 32})
+    (placed,) = neardup._place(c, 0.93, "<f4")(iter([part]))
+    assert placed.visits.map(len).mean() < 20
