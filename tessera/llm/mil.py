@@ -4,16 +4,19 @@ A text is a bag of passages of ``PASSAGE`` words (the last one may be shorter).
 Each passage gives a feature vector of byte statistics; a learned tanh layer
 encodes it, a learned gate (tanh times sigmoid) weighs it by a softmax over the
 bag, and the weighted sum of the encodings is scored by a logistic unit. Only
-document labels are needed. Training runs on the driver over the passages of at
-most ``sample`` labelled documents (the ones with the least hash of doc_id among
-those offered; the bound is documented and the same at every size); scoring runs
-over every passage of every text on the executors. Nothing but the text enters
-a score.
+document labels are needed. Training runs on the driver over at most ``sample``
+labelled documents, the ones with the least hash of doc_id among those offered,
+and of these over as many, in that order, as hold ``most_passages`` passages
+together (a document that doesn't fit is passed over, so the driver's memory is
+bounded; both bounds are the same at every size). Scoring runs over every passage
+of every text on the executors. Nothing but the text enters a score.
 
 Defined results: empty, blank and null texts are a bag of one passage without
-words and get that bag's score; repeated rows each keep their row; a null doc_id
-is scored and never trained on (held_out null); without labels of both classes
-every score is the share of label 1 (0.5 without any labels).
+words and get that bag's score; repeated rows each keep their row, and of a
+doc_id with several texts the one with the least hash is trained on; of
+contradicting labels for a doc_id the least counts; a null doc_id is scored and
+never trained on (held_out null); without labels of both classes every score is
+the share of label 1 (0.5 without any labels).
 """
 
 from __future__ import annotations
@@ -24,15 +27,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.llm import textnp
-from tessera.scratch import ship, small_batches
+from tessera.llm.names import quoted
+from tessera.scratch import materialize, ship, small_batches
 
 ship(__name__)
 
 PASSAGE = 64
 PAIR_BUCKETS = 96
-SAMPLE = 5000
+SAMPLE, MOST_PASSAGES = 5000, 100_000
 HIDDEN, GATE = 24, 12
 #: The fixed byte classes: every printable ASCII character that isn't a letter or digit has one of its own.
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -81,14 +86,17 @@ def passages(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     of_word = bag[text] + (np.arange(len(starts)) - first[text]) // PASSAGE
     head = np.flatnonzero(np.concatenate(([True], of_word[1:] != of_word[:-1])))
     full, begin = of_word[head], starts[head]
-    # a passage reaches from its first word to the next passage's
-    sizes = np.diff(np.append(begin, len(raw)))
-    of_byte = np.repeat(np.arange(len(full)), sizes)
-    body = raw[begin[0] :]
     m = len(full)
-    counts = np.bincount(of_byte * CLASSES + _byte_classes()[body], minlength=m * CLASSES).reshape(m, CLASSES)
-    pairs = _pair_buckets()[body[:-1].astype(np.int64) * 256 + body[1:]]
-    grams = np.bincount(of_byte[:-1] * PAIR_BUCKETS + pairs, minlength=m * PAIR_BUCKETS).reshape(m, PAIR_BUCKETS)
+    # a passage reaches from its first word to the next passage's or the end of its text; other bytes are no one's
+    sizes = np.minimum(np.append(begin[1:], len(raw)), offsets[text[head] + 1]) - begin
+    stretches = np.stack([sizes, np.append(begin[1:], len(raw)) - begin - sizes], axis=1).ravel()
+    owners = np.stack([np.arange(m), np.full(m, -1)], axis=1).ravel()
+    of_byte = np.concatenate((np.full(begin[0], -1), np.repeat(owners, stretches)))
+    mine = of_byte >= 0
+    counts = np.bincount(of_byte[mine] * CLASSES + _byte_classes()[raw[mine]], minlength=m * CLASSES).reshape(m, CLASSES)
+    both = mine[:-1] & (of_byte[:-1] == of_byte[1:])
+    pairs = _pair_buckets()[raw[:-1][both].astype(np.int64) * 256 + raw[1:][both]]
+    grams = np.bincount(of_byte[:-1][both] * PAIR_BUCKETS + pairs, minlength=m * PAIR_BUCKETS).reshape(m, PAIR_BUCKETS)
     words = np.diff(np.append(head, len(starts)))
     hashes = textnp.word_hashes(raw, starts, ends)
     order = np.lexsort((hashes, of_word))
@@ -98,7 +106,10 @@ def passages(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     letters = np.add.reduceat(lengths, head)
     spread = np.sqrt(np.maximum(np.add.reduceat(lengths**2, head) / words - (letters / words) ** 2, 0))
     top = np.maximum.reduceat(lengths, head)
-    upper = np.add.reduceat(((raw[ends - 1] == 0x21) | (raw[starts] == 0x7C)).astype(np.float64), head)
+    # the share of words in capitals: two ASCII capitals or more, no small letter
+    capitals = np.add.reduceat(((raw >= 0x41) & (raw <= 0x5A)).astype(np.int64), starts)
+    small = np.add.reduceat(((raw >= 0x61) & (raw <= 0x7A)).astype(np.int64), starts)
+    upper = np.add.reduceat(((capitals >= 2) & (small == 0)).astype(np.float64), head)
     x[full] = np.concatenate(
         [
             np.sqrt(counts / np.maximum(sizes, 1)[:, None]),
@@ -185,6 +196,15 @@ def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 24, batch: i
     return model
 
 
+def _sizes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        out = np.zeros(part.num_rows, dtype=np.int64)
+        for a, b, raw, offsets in textnp.batches(part.column("text")):
+            _, _, first = textnp.words(raw, offsets)
+            out[a:b] = np.maximum(1, -(-(first[1:] - first[:-1]) // PASSAGE))
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"), pa.array(out)], names=["doc_id", "tag", "n"])
+
+
 def _features(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         out = []
@@ -194,41 +214,61 @@ def _features(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "bag"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on docs (doc_id, text) and labels (doc_id, label 0 or 1); at most ``sample`` labelled documents, chosen by hash of doc_id."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_passages: int = MOST_PASSAGES) -> Model:
+    """Train on docs (doc_id, text) and labels (doc_id, label 0 or 1), within the bounds on documents and on passages."""
     small_batches(docs.sparkSession)
     clean = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
     # at most ``sample`` rows: the order is by hash, so the choice doesn't depend on partitions
     chosen = clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = (
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
-        .mapInArrow(_features, "doc_id long, bag binary")
-        .dropDuplicates(["doc_id"])
+    text = F.col("text").cast("string")
+    # the rows of these documents only
+    rows = materialize(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag"))
+        .join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"),
+        "labelled",
+    )
+    least = (
+        rows.mapInArrow(_sizes, "doc_id long, tag long, n long")
+        .groupBy("doc_id")
+        .agg(F.min(F.struct("tag", "n")).alias("x"))
         .join(F.broadcast(chosen), "doc_id")
-        .orderBy("doc_id")
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .select("doc_id", "x.tag", "x.n", "label")
+        .collect()
+    )
+    taken, room = [], most_passages
+    for x in least:
+        if x.n <= room:
+            taken.append((x.doc_id, x.tag, x.label))
+            room -= x.n
+    # at most ``sample`` rows again
+    few = docs.sparkSession.createDataFrame(taken, "doc_id long, tag long, label int")
+    found = (
+        rows.join(F.broadcast(few), ["doc_id", "tag"], "left_semi")
+        .dropDuplicates(["doc_id"])
+        .mapInArrow(_features, "doc_id long, bag binary")
         .collect()
     )
-    bags = [np.frombuffer(x.bag, dtype=np.float32).reshape(-1, FEATURES).astype(np.float64) for x in rows]
-    return train(bags, np.array([float(x.label) for x in rows]))
+    bags = {x.doc_id: np.frombuffer(x.bag, dtype=np.float32).reshape(-1, FEATURES).astype(np.float64) for x in found}
+    return train([bags[d] for d, _, _ in sorted(taken)], np.array([float(y) for _, _, y in sorted(taken)]))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs but score, and score."""
+def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
+    """All columns of docs and the column ``into`` with the score; a column of that name is replaced."""
     small_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c != "score"]
+    fields = [f for f in docs.schema.fields if f.name.lower() != into.lower()]
     flat = (model.mean, model.scale, model.weights)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*flat)
         for part in parts:
             out = np.zeros(part.num_rows)
-            for a, b, raw, offsets in textnp.batches(part.column("text")):
+            for a, b, raw, offsets in textnp.batches(part.column("text").cast(pa.string())):
                 out[a:b] = own.score(*passages(raw, offsets))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out)], names=[*part.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out)], names=[*part.schema.names, into])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(kept).schema.fields)
-    return docs.select(kept).mapInArrow(run, f"{fields}, score double")
+    names = [F.col(quoted(f.name)) for f in fields]
+    return docs.select(names).mapInArrow(run, StructType(fields).add(into, "double"))
 
 
 def held_out(doc_id):

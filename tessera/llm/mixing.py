@@ -9,6 +9,11 @@ each, so no task holds a source. Each document is taken once for every whole
 epoch of its source, and in the last, partial epoch up to the exact budget: the
 document at the cut gives its first tokens only.
 
+The key hashes doc_id and text, so rows without doc_id, or of one, spread like the
+others; only rows equal in both share a key. Ties go by doc_id and, where whole
+rows are mixed, by the row's JSON, so reruns agree; rows equal in all columns are
+interchangeable.
+
 Defined results: null texts have size 0 and are never taken; a null source is a
 source of its own and comes last; repeated rows count each; a null doc_id is
 kept; an empty table gives no rows; further columns are ignored.
@@ -19,21 +24,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.names import quoted
 from tessera.scratch import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
-RANGES = 4096
+#: Rows that a range of a source may hold on average, and the fewest ranges there are.
+PER_RANGE, RANGES = 500_000, 4096
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def random_key(doc_id: Column, seed: int) -> Column:
-    """60 bits of a hash of doc_id."""
-    hex15 = F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f"|{seed}")).cast("binary")), 1, 15)
-    return F.conv(hex15, 16, 10).cast("long")
+def random_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """60 bits of a hash of doc_id and the text."""
+    parts = (F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f"|{seed}|"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(F.concat(*parts).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
@@ -75,22 +82,31 @@ def mix(
     share: float = 1.5,
     most: int = 2,
     seed: int = 0,
-    ranges: int = RANGES,
+    ranges: int | None = None,
     carry: bool = False,
 ) -> DataFrame:
     """doc_id, source, size, source_size, target (of the source), taken (tokens of this document in the mix).
 
-    With carry, also the struct ``row`` of all columns of docs.
+    ranges: of a source's keys; by default as many as the rows need. With carry, also the struct ``row`` of all columns of docs.
     """
 
     def keyed(*more: Column) -> DataFrame:
+        text = F.col("text").cast("string")
         return docs.select(
-            F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text").cast("string")).alias("size"), *more
-        ).withColumn("key", random_key(F.col("doc_id"), seed)).withColumn(
-            "range", F.floor(F.col("key") / F.lit((1 << 60) // ranges)).cast("int")
+            F.col("doc_id").cast("long").alias("doc_id"),
+            F.col("source").cast("string").alias("source"),
+            n_words(text).alias("size"),
+            random_key(F.col("doc_id").cast("long"), text, seed).alias("key"),
+            *more,
         )
 
     rows = materialize(keyed(), "sizes")
+    width = (1 << 60) // (ranges or max(RANGES, rows.count() // PER_RANGE))
+
+    def ranged(keyed_rows: DataFrame) -> DataFrame:
+        return keyed_rows.withColumn("range", F.floor(F.col("key") / F.lit(width)).cast("int"))
+
+    rows = ranged(rows)
     parts = rows.groupBy("source", "range").agg(F.sum("size").alias("size"))
     over = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     goals = (
@@ -107,8 +123,9 @@ def mix(
         .drop("s")
         .select(F.col("source").alias("s"), F.col("range").alias("r"), "before", "source_size", "target", "epochs", "rest")
     )
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    whole = keyed(F.struct(*(docs[c] for c in docs.columns)).alias("row")) if carry else rows
+    ties = [F.to_json("row")] if carry else []
+    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
+    whole = ranged(keyed(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"))) if carry else rows
     placed = whole.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return placed.join(starts, placed.source.eqNullSafe(starts.s) & (placed.range == starts.r)).select(
         "doc_id",
@@ -149,7 +166,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 SQL = """
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|0'), 1, 15))::BIGINT AS key
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|0|' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS key
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),

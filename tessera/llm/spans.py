@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from tessera.llm import textnp
+from tessera.llm.names import quoted
 from tessera.scratch import materialize, ship, small_batches
 
 ship(__name__)
@@ -236,7 +237,7 @@ def substring_dedup(
 
     With carry, also the struct ``row`` of all other columns of docs.
     """
-    others = [F.col(_quoted(c)) for c in docs.columns if c not in ("doc_id", "text")]
+    others = [F.col(quoted(c)) for c in docs.columns if c not in ("doc_id", "text")]
     row = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
     kept = [row.alias("row")] if carry else []
     own = _identified(docs, *kept)
@@ -245,6 +246,3 @@ def substring_dedup(
         schema = schema.add(c, LongType())
     return own.join(covered_sentences(docs, sentences_, least_words, long_words), IDENTITY, "left").mapInArrow(_cut, schema)
 
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"

@@ -69,5 +69,14 @@ def test_empty_table(spark):
 
 
 def test_keys_spread(spark):
-    keys = [x.k for x in spark.range(500).select(random_key(F.col("id"), 0).alias("k")).collect()]
+    keys = [x.k for x in spark.range(500).select(random_key(F.col("id"), F.lit("t"), 0).alias("k")).collect()]
     assert len(set(keys)) == 500 and abs(sum(k < 1 << 59 for k in keys) - 250) < 60
+
+
+def test_rows_without_doc_id_spread_and_ties_at_the_cut_rerun_alike(spark):
+    rows = [(None, f"t {i}", "a", i) for i in range(300)] + [(7, "one two three", "b", i) for i in range(40)] + [(7, "one two four", "b", 0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, `x y` int")
+    keys = table.where("doc_id IS NULL").select(random_key(F.col("doc_id"), F.col("text"), 0).alias("k"))
+    assert keys.distinct().count() == 300
+    first, again = (sorted(map(tuple, mixed_documents(t, share=0.5).collect()), key=str) for t in (table, table.orderBy(F.desc("x y")).repartition(7)))
+    assert first == again and len(first) > 50

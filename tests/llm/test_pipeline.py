@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.conftest import SF
 from tests.llm import test_bpe, test_jaccard, test_spans
@@ -28,10 +30,21 @@ def test_odd_rows_and_empty_tables(spark):
     rows = [(1, None, None, None, None, 1), (None, "a b c d e f", "en", "s", 11, 0), (None, "a b c d e f", "en", "s", 11, 0), (2, "x y z " * 9, "en", "s", 54, 1), (2, "x y z " * 9, "en", "s", 54, 1)]
     for data in (rows, []):
         docs = spark.createDataFrame(data, schema)
-        for name, stage in corpus_pipeline.STAGES[1:]:
+        for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, SF)
             rows_out = out.collect()
             if name != "byte-level BPE":
                 assert out.columns == docs.columns
             if name == "n-gram Jaccard join" and data:
                 assert sum(x.doc_id == 2 for x in rows_out) == 1 and sum(x.doc_id is None for x in rows_out) == 2
+
+
+def test_columns_with_the_names_of_the_operators_stay(spark):
+    names = ["score", "tag", "size", "key", "row", "covered", "class_id"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60)
+    docs = docs.select("*", *(F.lit(-5.0).alias(n) for n in names), F.struct(F.lit(1).alias("d e")).alias("a b:c"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(x[n] == -5.0 for x in rows for n in names) and all(x["a b:c"]["d e"] == 1 for x in rows), name
