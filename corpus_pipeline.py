@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe, mil, mixing, spans
 from tessera.llm.jaccard import jaccard_join
+from tessera.llm.names import fresh
 from tessera.scratch import materialize, scratch_path
 
 CUTOFF = 0.7
@@ -26,16 +27,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("label")
     )
     model = mil.fit(docs, labels.where(~mil.held_out(F.col("doc_id"))))
-    return mil.score(docs, model).where(F.col("score") >= CUTOFF).select(docs.columns)
+    # a name of its own: documents may have a column score
+    into = fresh(docs, "score")
+    return mil.score(docs, model, into).where(F.col(into) >= CUTOFF).drop(into)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of near duplicates, the one with the least doc_id; texts without words stay."""
     groups = materialize(jaccard_join(docs, leaders=True).where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "tag", "leads"), "groups")
-    key = [F.col("doc_id").cast("long").eqNullSafe(F.col("_near_doc_id")), F.xxhash64(F.col("text").cast("string")) == F.col("_near_tag")]
+    doc, tag = fresh(docs, "doc"), fresh(docs, "tag")
+    key = [F.col("doc_id").cast("long") == F.col(doc), F.xxhash64(F.col("text").cast("string")) == F.col(tag)]
 
     def rows(of: DataFrame) -> DataFrame:
-        return of.select(F.col("doc_id").alias("_near_doc_id"), F.col("tag").alias("_near_tag"))
+        return of.select(F.col("doc_id").alias(doc), F.col("tag").alias(tag))
 
     gone = rows(groups.where("NOT leads").select("doc_id", "tag").distinct())
     repeated = rows(groups.where("leads").groupBy("doc_id", "tag").count().where("count > 1"))
@@ -47,9 +51,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove repeated passages; a document that had words and lost them all goes."""
     new = spans.substring_dedup(docs, carry=True).where("n_removed = 0 OR n_removed < n_sentences")
-    kinds = dict(docs.dtypes)
     own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text")}
-    return new.select([(own[c] if c in own else F.col("row")[c]).cast(kinds[c]).alias(c) for c in docs.columns])
+    return new.select([own[f.name].cast(f.dataType).alias(f.name) if f.name in own else F.col("row")[f.name].alias(f.name) for f in docs.schema.fields])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
