@@ -1,13 +1,18 @@
 """Quality rules with risk-controlled thresholds, with DataFrame functions only.
 
-Each rule rejects a document whose metric is above a cutoff. Cutoffs are chosen
-per stratum (``lang``) on the labelled good documents: a cutoff is certified if
-the exact binomial probability of at most the observed number of false
-rejections, were the true rate ``risk``, is at most ``delta`` divided by the
-number of all tests made (strata x rules x cutoffs, Bonferroni). The strictest
-certified cutoff of each stratum and rule is used; without one the rule rejects
-nothing there. With probability 1 - delta no rule rejects more than ``risk`` of
-the good documents of any stratum.
+Each rule rejects a document whose metric is above a cutoff. A level is one
+cutoff of every rule, and the levels go from strict to lenient; what is controlled
+is the union: the share of good documents that any rule of the level rejects.
+Levels are certified per stratum (``lang``) on the labelled good documents that
+pass the base: a level is certified if the exact binomial probability of at most
+the observed number of false rejections, were the true rate ``risk``, is at most
+``delta`` divided by the number of strata. They are tested from the most lenient
+on, in an order fixed beforehand, and the first that fails ends the tests, so the
+levels of a stratum need no further correction; the strictest certified one is
+used. With probability 1 - delta the rules reject at most ``risk`` of the good
+documents of each stratum. A stratum in which not even the most lenient level is
+certified has no rules: that takes ln(delta / strata) / ln(1 - risk) labelled
+good documents, 217 with four strata and the defaults, if none is rejected.
 
 Defined results: null and empty texts have zero counts and fail the base; a null
 stratum is a stratum of its own; strata without labels use no rules; labels of
@@ -28,8 +33,8 @@ from tessera.scratch import materialize
 #: What counts as white space, and as a symbol.
 WORD, BLANK, SYMBOLS = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+", "#*$%&|<>"
 WINDOW = 8
-RISK, DELTA = 0.005, 0.05
-#: The metric of each rule and its candidate cutoffs, from strict to lenient.
+RISK, DELTA = 0.02, 0.05
+#: The metric of each rule and its cutoff at each level, from strict to lenient.
 RULES = {
     "symbols": ("n_symbols / word_chars", (0.005, 0.01, 0.02, 0.03, 0.05, 0.08, 0.1, 0.15, 0.2, 0.3)),
     "upper": ("n_upper / word_chars", (0.05, 0.08, 0.1, 0.12, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7)),
@@ -38,6 +43,8 @@ RULES = {
     "word_length": ("word_chars / n_words", (6.0, 7.0, 8.0, 9.0, 10.0, 12.0, 14.0, 17.0, 20.0, 30.0)),
 }
 
+LEVELS = 10
+
 
 def _let(value: Column, body) -> Column:
     """body(value), with value evaluated once a row."""
@@ -151,68 +158,44 @@ def binomial_tail(k: Column, n: Column, p: float, terms: int = 4096) -> Column:
     return F.when(kd >= nd * p, F.lit(1.0)).otherwise(top * total)
 
 
-def cutoffs(found: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff) of the certified rules; a row per stratum and rule."""
+def _value(metric: str) -> Column:
+    return F.coalesce(F.try_divide(*[F.expr(x).cast("double") for x in metric.split(" / ")]), F.lit(0.0))
+
+
+def _base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
+def levels(found: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """(stratum, level): the strictest certified level (0 is the strictest there is) of the strata that have one."""
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")).where("quality = 1")
-    held = found.join(good.select("doc_id"), "doc_id", "left_semi")
-    each = held.select(
-        "stratum",
-        F.explode(
-            F.array(
-                *(
-                    F.struct(
-                        F.lit(rule).alias("rule"),
-                        # how many cutoffs the metric is above: these reject the document
-                        sum(((F.coalesce(F.try_divide(*[F.expr(x).cast("double") for x in metric.split(" / ")]), F.lit(0.0)) > c).cast("int") for c in grid), F.lit(0)).alias("above"),
-                    )
-                    for rule, (metric, grid) in RULES.items()
-                )
-            )
-        ).alias("x"),
-    ).select("stratum", "x.*")
-    counts = each.groupBy("stratum", "rule", "above").agg(F.count("*").alias("n"))
-    whole = counts.groupBy("stratum", "rule").agg(F.sum("n").alias("n"), F.collect_list(F.struct("above", "n")).alias("hist"))
-    tests = sum(len(grid) for _, grid in RULES.values())
-    grids = F.create_map(*[x for rule, (_, grid) in RULES.items() for x in (F.lit(rule), F.array(*map(F.lit, grid)))])
-    n_strata = whole.agg(F.count_distinct(F.struct(F.coalesce("stratum", F.lit("")), F.col("stratum").isNull())).alias("strata"))
-    tried = whole.select("stratum", "rule", "n", "hist", F.posexplode(grids[F.col("rule")]).alias("i", "cutoff")).withColumn(
-        "k", F.aggregate("hist", F.lit(0).cast("long"), lambda a, h: a + F.when(h["above"] > F.col("i"), h["n"]).otherwise(0))
+    held = found.where(~_base_failed()).join(good.select("doc_id"), "doc_id", "left_semi")
+    # how many levels reject the document: the most cutoffs that one of its metrics is above
+    above = F.greatest(*(sum(((_value(metric) > c).cast("int") for c in grid), F.lit(0)) for metric, grid in RULES.values()))
+    counts = held.groupBy("stratum", above.alias("above")).agg(F.count("*").alias("n"))
+    whole = counts.groupBy("stratum").agg(F.sum("n").alias("n"), F.collect_list(F.struct("above", "n")).alias("hist"))
+    n_strata = whole.agg(F.count("*").alias("strata"))
+    tried = whole.select("stratum", "n", "hist", F.explode(F.array(*map(F.lit, range(LEVELS)))).alias("level")).withColumn(
+        "k", F.aggregate("hist", F.lit(0).cast("long"), lambda a, h: a + F.when(h["above"] > F.col("level"), h["n"]).otherwise(0))
     )
     return (
         tried.crossJoin(F.broadcast(n_strata))  # one row
-        .where(binomial_tail(F.col("k"), F.col("n"), risk) <= delta / (F.col("strata") * tests))
-        .groupBy("stratum", "rule")
-        .agg(F.min("cutoff").alias("cutoff"))
+        .withColumn("fails", binomial_tail(F.col("k"), F.col("n"), risk) > delta / F.col("strata"))
+        .groupBy("stratum")
+        .agg((F.coalesce(F.max(F.when(F.col("fails"), F.col("level"))), F.lit(-1)) + 1).alias("level"))
+        .where(F.col("level") < LEVELS)
     )
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, stratum: str = "lang") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and rejected_by (names of the rules)."""
     found = materialize(metrics(docs, stratum), "metrics")
-    # five rules at most for each stratum
-    per_stratum = (
-        cutoffs(found, labels, risk, delta)
-        .groupBy(F.col("stratum").alias("s"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
-    )
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    hit = F.filter(
-        F.array(
-            *(
-                F.when(
-                    F.coalesce(
-                        F.try_divide(*[F.expr(x).cast("double") for x in metric.split(" / ")]) > F.col("cutoffs")[rule], F.lit(False)
-                    ),
-                    F.lit(rule),
-                )
-                for rule, (metric, _) in RULES.items()
-            )
-        ),
-        lambda x: x.isNotNull(),
-    )
+    used = levels(found, labels, risk, delta).withColumnRenamed("stratum", "s")
+    cutoff = lambda grid: F.get(F.array(*map(F.lit, grid)), F.col("level"))
+    hit = F.array_compact(F.array(*(F.when(_value(metric) > cutoff(grid), F.lit(rule)) for rule, (metric, grid) in RULES.items())))
     return (
-        found.join(per_stratum, found.stratum.eqNullSafe(per_stratum.s), "left")
-        .withColumn("base_failed", failed)
+        found.join(used, found.stratum.eqNullSafe(used.s), "left")
+        .withColumn("base_failed", _base_failed())
         .withColumn("hit", hit)
         .select(
             "doc_id",
@@ -229,9 +212,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta:
 
 
 def _sql() -> str:
-    rules = ",\n".join(f"('{rule}', {c}::DOUBLE)" for rule, (_, grid) in RULES.items() for c in grid)
+    rules = ",\n".join(f"('{rule}', {i}, {c}::DOUBLE)" for rule, (_, grid) in RULES.items() for i, c in enumerate(grid))
     metric = ", ".join(f"struct_pack(rule := '{rule}', value := coalesce({a}::DOUBLE / nullif({b}, 0)::DOUBLE, 0))" for rule, (m, _) in RULES.items() for a, b in [m.split(" / ")])
-    tests = sum(len(grid) for _, grid in RULES.values())
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, lang, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM d),
@@ -247,15 +229,17 @@ m AS (SELECT w.r, doc_id, lang, len(words)::BIGINT AS n_words, length(regexp_rep
       FROM w LEFT JOIN ln ON ln.r = w.r LEFT JOIN cov ON cov.r = w.r),
 x AS (SELECT r, doc_id, lang, unnest([{metric}]) AS x FROM m),
 g AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1),
-c(rule, cutoff) AS (VALUES {rules}),
-t AS (SELECT lang, c.rule, cutoff, count(*) AS n, count(*) FILTER (WHERE x.x.value > cutoff) AS k
-      FROM x JOIN c ON c.rule = x.x.rule WHERE doc_id IN (SELECT doc_id FROM g) GROUP BY ALL),
-s AS (SELECT count(DISTINCT coalesce(lang, '')) AS n FROM t),
-p AS (SELECT lang, rule, min(cutoff) AS cutoff FROM t WHERE k < n * {RISK} AND
+c(rule, level, cutoff) AS (VALUES {rules}),
+y AS (SELECT x.r, x.lang, c.level, bool_or(x.x.value > cutoff) AS rejected FROM x JOIN m USING (r) JOIN c ON c.rule = x.x.rule
+      WHERE x.doc_id IN (SELECT doc_id FROM g) AND NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) GROUP BY ALL),
+t AS (SELECT lang, level, count(*) AS n, count(*) FILTER (WHERE rejected) AS k FROM y GROUP BY lang, level),
+s AS (SELECT count(*) AS n FROM (SELECT DISTINCT lang FROM t)),
+f AS (SELECT lang, level, k < n * {RISK} AND
         (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}) + (n - j) * ln(1 - {RISK})))
-         FROM (SELECT unnest(range(0, k + 1)) AS j)) <= {DELTA} / ((SELECT n FROM s) * {tests}) GROUP BY lang, rule),
+         FROM (SELECT unnest(range(0, k + 1)) AS j)) <= {DELTA} / (SELECT n FROM s) AS certified FROM t),
+p AS (SELECT lang, coalesce(max(level) FILTER (WHERE NOT certified), -1) + 1 AS level FROM f GROUP BY lang),
 h AS (SELECT x.r, string_agg(x.x.rule, ',' ORDER BY list_position({list(RULES)}, x.x.rule)) AS hit
-      FROM x JOIN p ON p.rule = x.x.rule AND p.lang IS NOT DISTINCT FROM x.lang AND x.x.value > p.cutoff GROUP BY x.r)
+      FROM x JOIN p ON p.lang IS NOT DISTINCT FROM x.lang JOIN c ON c.rule = x.x.rule AND c.level = p.level AND x.x.value > cutoff GROUP BY x.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND h.hit IS NULL AS kept, coalesce(h.hit, '') AS rejected_by

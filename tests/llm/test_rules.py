@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from tessera.llm import rules
+from tests.conftest import SF
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -53,31 +54,46 @@ def test_binomial_tail_is_exact(spark):
     assert 0 < many <= fewer * (1 + 1e-9)
 
 
-def test_cutoffs_are_the_strictest_certified_ones(spark):
+def brute_levels(rows, labels, risk, delta):
+    good = {d for d, q in labels if q == 1}
+    above = defaultdict(list)
+    for d, t, s in rows:
+        n, chars, sym, dup, rep, lines, up = measured(t)
+        if d in good and n >= 20 and 100 * rep <= 30 * n:
+            value = {"symbols": (sym, chars), "upper": (up, chars), "dup_lines": (dup, lines), "repeats": (rep, n), "word_length": (chars, n)}
+            above[s].append(max(sum(a / b > c for c in rules.RULES[k][1]) for k, (a, b) in value.items()))
+    out = {}
+    for s, v in above.items():
+        for level in reversed(range(rules.LEVELS)):
+            if tail(sum(x > level for x in v), len(v), risk) > delta / len(above):
+                break
+            out[s] = level
+    return out
+
+
+def test_levels_are_the_strictest_certified_ones(spark):
     r = random.Random(8)
     text = lambda sym: " ".join(r.choice(["word", "other", "more"]) + ("#" if r.random() < sym else "") + str(r.random())[2:6] for _ in range(40))
-    rows = [(i, text(0.02 if i % 4 else 0.9), "en" if i % 5 else "fr") for i in range(1500)]
+    rows = [(i, text(0.02 if i % 4 else 0.9), "en" if i % 5 else None if i % 3 else "fr") for i in range(1500)]
     labels = [(i, int(i % 4 > 0)) for i in range(1500)]
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
-    risk, delta = 0.03, 0.05
-    got = {(x.stratum, x.rule): x.cutoff for x in rules.cutoffs(rules.metrics(docs), marks, risk, delta).collect()}
-    value = defaultdict(list)
-    for (d, t, s), (_, q) in zip(rows, labels, strict=True):
-        n, chars, sym, dup, rep, lines, up = measured(t)
-        for rule, v in (("symbols", sym / chars), ("upper", up / chars), ("dup_lines", dup / lines), ("repeats", rep / n), ("word_length", chars / n)):
-            if q:
-                value[s, rule].append(v)
-    want = {}
-    for key, v in value.items():
-        sure = [c for c in rules.RULES[key[1]][1] if tail(sum(x > c for x in v), len(v), risk) <= delta / (2 * 50)]
-        if sure:
-            want[key] = min(sure)
-    assert got == want and ("en", "symbols") in got
-    out = rules.quality_rules(docs, marks, risk, delta).collect()
+    for risk in (0.02, 0.03, 0.2):
+        got = {x.stratum: x.level for x in rules.levels(rules.metrics(docs), marks, risk, 0.05).collect()}
+        assert got == brute_levels(rows, labels, risk, 0.05) and "en" in got
+    out = rules.quality_rules(docs, marks, 0.03, 0.05).collect()
     assert all(x.doc_id % 4 or x.doc_id % 5 == 0 or not x.kept for x in out)
     assert sum(x.kept for x in out if x.doc_id % 4) >= 0.97 * 1125
 
 
+def test_rules_decide_on_the_tables(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = [tuple(x) for x in docs.select("doc_id", "text", "lang").collect()]
+    want = brute_levels(rows, [tuple(x) for x in labels.select("doc_id", "quality").collect()], rules.RISK, rules.DELTA)
+    got = {x.stratum: x.level for x in rules.levels(rules.metrics(docs), labels).collect()}
+    assert got == want and got
+    assert any(not x.kept and not x.base_failed for x in rules.quality_rules(docs, labels).collect())
+
+
 def test_without_labels_only_the_base_decides(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string, lang string")
     out = rules.quality_rules(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()
