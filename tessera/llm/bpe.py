@@ -5,8 +5,9 @@ Each chunk is pre-tokenised on its own, in parallel; a pre-token boundary that a
 chunk and its predecessor both have inside their overlap is where the two agree
 from then on (a match depends only on what follows its start), and the text is
 cut there. From the first overlap without a shared boundary on, the rest of the
-text stays one piece, so the result is exact for any text. Then the pieces are encoded in parallel, and their ids and
-decoded bytes concatenated in order. Shorter texts are one piece.
+text stays one piece, so the result is exact for any text. Then the pieces are
+encoded in parallel, and their ids and decoded bytes concatenated in order in one
+pass. Shorter texts are one piece.
 
 Defined results: a null text counts as empty and gives no ids; repeated rows
 each keep their row; a null doc_id is kept; further columns are ignored.
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.scratch import materialize, ship, small_batches
 
@@ -74,6 +76,45 @@ def _edges(pattern: str, chunk: int, overlap: int):
     return run
 
 
+def _chunks(chunk: int, overlap: int):
+    """row, k, more, chunk: the chunks of each text, cut in one pass over it."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for row, text in zip(part.column("row").to_pylist(), part.column("text").to_pylist(), strict=True):
+                n = -(-len(text) // chunk)
+                for at in range(0, n, 64):
+                    ks = range(at, min(n, at + 64))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([row] * len(ks)),
+                            pa.array(ks, pa.int32()),
+                            pa.array([(k + 1) * chunk + overlap < len(text) for k in ks]),
+                            pa.array([text[k * chunk : (k + 1) * chunk + overlap] for k in ks]),
+                        ],
+                        names=["row", "k", "more", "chunk"],
+                    )
+
+    return run
+
+
+def _pieces(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, row, piece_no, piece: the stretches of each text, cut in one pass over it."""
+    for part in parts:
+        for doc, row, text, spans in zip(*(part.column(c).to_pylist() for c in ("doc_id", "row", "text", "spans")), strict=True):
+            for at in range(0, len(spans), 64):
+                own = spans[at : at + 64]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([doc] * len(own), pa.int64()),
+                        pa.array([row] * len(own)),
+                        pa.array(range(at, at + len(own)), pa.int32()),
+                        pa.array([text[s["begin"] : s["until"]] for s in own], pa.string()),
+                    ],
+                    names=["doc_id", "row", "piece_no", "piece"],
+                )
+
+
 def _encode(path: str, pattern: str):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, pattern)
@@ -105,23 +146,14 @@ def _decode(path: str, pattern: str):
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """Adds decoded, the raw bytes of the column ids (little-endian unsigned 32-bit)."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(_decode(path, pattern), f"{fields}, decoded binary")
+    return encoded.mapInArrow(_decode(path, pattern), StructType(list(encoded.schema.fields)).add("decoded", "binary"))
 
 
 def pieces_of_long(docs: DataFrame, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, row, piece_no, piece) of a table (doc_id, row, text) of long texts; row is unique."""
-    n = F.ceil(F.length("text") / chunk).cast("int")
-    chunks = docs.select("row", "text", n.alias("n")).select(
-        "row",
-        F.posexplode(
-            F.expr(f"transform(sequence(0, n - 1), i -> substring(text, i * {chunk} + 1, {chunk + overlap}))")
-        ).alias("k", "chunk"),
-        (F.length("text")).alias("length"),
-    )
-    edges = chunks.select(
-        "row", "k", "chunk", ((F.col("k") + 1) * chunk + overlap < F.col("length")).alias("more")
-    ).mapInArrow(_edges(pattern, chunk, overlap), "row string, k int, head array<long>, tail array<long>")
+    chunks = docs.select("row", "text").mapInArrow(_chunks(chunk, overlap), "row string, k int, more boolean, chunk string")
+    # dealt anew, so that the chunks of one text are cut in parallel
+    edges = chunks.repartition("row", "k").mapInArrow(_edges(pattern, chunk, overlap), "row string, k int, head array<long>, tail array<long>")
     w = Window.partitionBy("row").orderBy("k")
     cuts = (
         edges.withColumn("cut", F.expr("array_min(array_intersect(head, lag(tail) OVER (PARTITION BY row ORDER BY k)))"))
@@ -135,13 +167,7 @@ def pieces_of_long(docs: DataFrame, pattern: str, chunk: int = CHUNK, overlap: i
     # a cut comes once: where an overlap spans several chunks, two chunks may name the same boundary
     cuts = cuts.where("until IS NULL OR until > begin")
     spans = cuts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("begin", "until"))).alias("spans"))
-    return docs.join(spans, "row").select(
-        "doc_id",
-        "row",
-        F.posexplode(
-            F.expr("transform(spans, s -> substring(text, cast(s.begin + 1 AS int), cast(coalesce(s.until, length(text)) - s.begin AS int)))")
-        ).alias("piece_no", "piece"),
-    )
+    return docs.join(spans, "row").select("doc_id", "row", "text", "spans").mapInArrow(_pieces, "doc_id long, row string, piece_no int, piece string")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -157,15 +183,11 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
     parts = pieces.mapInArrow(
         _encode(path, pattern), "doc_id long, row string, piece_no int, ids binary, decoded binary"
     )
-    whole = (
-        parts.groupBy("row")
-        .agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("piece_no", "ids", "decoded"))).alias("p"))
-        .select(
-            "doc_id",
-            F.expr("aggregate(p, cast('' AS binary), (a, x) -> concat(a, x.ids))").alias("ids"),
-            F.expr("aggregate(p, cast('' AS binary), (a, x) -> concat(a, x.decoded))").alias("decoded"),
-        )
+    whole = parts.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"),
+        *(F.expr(f"listagg({c}) WITHIN GROUP (ORDER BY piece_no)").alias(c) for c in ("ids", "decoded")),
     )
+    whole = whole.select("doc_id", *(F.coalesce(c, F.lit(b"")).alias(c) for c in ("ids", "decoded")))
     return short.unionByName(whole)
 
 

@@ -21,6 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.names import fresh, quoted
 from tessera.scratch import materialize
 
 BITS, STRIDE = 60, 10
@@ -37,8 +38,13 @@ def _down(value: Column, bits: Column | int) -> Column:
     return F.call_function("shiftright", value, bits if isinstance(bits, Column) else F.lit(bits))
 
 
-def assign(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id") -> DataFrame:
-    """doc_id, bytes, shard (b and the bits of its prefix, and a page after overflow), depth, shard_docs, shard_bytes, oversized."""
+def assign(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", carry: bool = False) -> DataFrame:
+    """doc_id, bytes, shard (b and the bits of its prefix, and a page after overflow), depth, shard_docs, shard_bytes, oversized.
+
+    With carry, also the struct ``row`` of all columns of docs.
+    """
+    row = [F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row")] if carry else []
+    also = ["row"] if carry else []
     own = bits_of(F.col("doc_id"), BITS) if key == "doc_id" else (
         F.call_function("shiftleft", bits_of(F.col(key), 32), F.lit(BITS - 32)).bitwiseOR(bits_of(F.col("doc_id"), BITS - 32))
     )
@@ -48,6 +54,7 @@ def assign(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id") -> DataFram
             F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("bytes"),
             own.alias("hash"),
             F.pmod(F.monotonically_increasing_id(), F.lit(256)).cast("int").alias("salt"),
+            *row,
         ),
         "sizes",
     )
@@ -69,7 +76,7 @@ def assign(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id") -> DataFram
         )
         joined = left.withColumn("prefix", prefix).join(F.broadcast(homes) if end == STRIDE else homes, "prefix", "left")
         if end < BITS:
-            left_over = joined.where("home IS NULL").select("doc_id", "bytes", "hash", "salt")
+            left_over = joined.where("home IS NULL").select("doc_id", "bytes", "hash", "salt", *also)
             more = not left.withColumn("prefix", prefix).join(homes, "prefix", "left_anti").isEmpty()
         done.append(
             joined.where("home IS NOT NULL").select(
@@ -82,13 +89,14 @@ def assign(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id") -> DataFram
                 F.col("home.depth").alias("depth"),
                 F.col("home.shard_docs").alias("shard_docs"),
                 F.col("home.shard_bytes").alias("shard_bytes"),
+                *also,
             )
         )
         if end < BITS:
             if not more:
                 return _finish(done, limit)
             left = materialize(left_over, "sizes")
-    full = joined.where("home IS NULL").select("doc_id", "bytes", "hash", "salt")
+    full = joined.where("home IS NULL").select("doc_id", "bytes", "hash", "salt", *also)
     # all bits are equal: deal each salt's rows to pages that hold as many of the largest as fit
     room = full.groupBy("hash").agg(F.max("bytes").alias("top"))
     number = F.row_number().over(Window.partitionBy("hash", "salt").orderBy("doc_id", "bytes")) - 1
@@ -99,7 +107,7 @@ def assign(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id") -> DataFram
     )
     totals = pages.groupBy("shard").agg(F.count("*").alias("shard_docs"), F.sum("bytes").alias("shard_bytes"))
     done.append(
-        pages.join(totals, "shard").select("doc_id", "bytes", "shard", F.lit(BITS).alias("depth"), "shard_docs", "shard_bytes")
+        pages.join(totals, "shard").select("doc_id", "bytes", "shard", F.lit(BITS).alias("depth"), "shard_docs", "shard_bytes", *also)
     )
     return _finish(done, limit)
 
@@ -109,9 +117,10 @@ def _finish(done: list[DataFrame], limit: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, key: str = "doc_id") -> None:
-    """Write docs as Parquet with a folder per shard; doc_ids are to be unique."""
-    shards = assign(docs, limit, key).select("doc_id", "shard")
-    docs.join(shards, "doc_id").repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write every row of docs as Parquet, in the folder of its shard."""
+    rows = assign(docs, limit, key, carry=True).select("row", "shard").repartition("shard")
+    into = fresh(docs, "shard") if "shard" in docs.columns else "shard"
+    rows.select(*(F.col("row")[c].alias(c) for c in docs.columns), F.col("shard").alias(into)).write.partitionBy(into).parquet(path)
 
 
 SQL = f"""

@@ -12,7 +12,7 @@ or surplus: within a page_id equal records cancel out, the rest are paired as
 corrupt, and what has no counterpart is missing or surplus.
 
 Defined results: a null url or html counts as empty text; page_ids may be null or
-repeat (ordered by page_id, url, html; null first); equal rows are equal records;
+repeat (ordered by page_id, null first, then by the record's hash); equal rows are equal records;
 an empty table has no tree and no differences; further columns are ignored.
 """
 
@@ -22,6 +22,7 @@ import gzip
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,6 +33,8 @@ from tessera.scratch import materialize, scratch_path, ship, small_batches
 ship(__name__)
 
 PER_FILE, FAN_OUT = 256, 16
+#: So many differing branches at most are read by ranges of the stored level; beyond, most of the level differs and is scanned.
+RANGED = 256
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -171,13 +174,18 @@ def tree(records: DataFrame, count: int, fan_out: int = FAN_OUT) -> list[DataFra
     own = records.select(_bucket(count).alias("node"), F.sha2(F.concat_ws(":", _key(), "length", "leaf"), 256).alias("h"))
     words = [F.sum(F.conv(F.substring("h", i, 15), 16, 10).cast("decimal(20,0)")).alias(f"w{i}") for i in (1, 16, 31, 46)]
     sums = own.groupBy("node").agg(F.count("*").alias("n"), *words)
-    levels = [materialize(sums.select("node", F.sha2(F.concat_ws(":", "n", "w1", "w16", "w31", "w46"), 256).alias("hash")), "leaves")]
+    levels = [materialize(sums.select("node", F.sha2(F.concat_ws(":", "n", "w1", "w16", "w31", "w46"), 256).alias("hash")).orderBy("node"), "leaves")]
     while count > 1:
-        levels.append(materialize(_parents(levels[-1], fan_out), "nodes"))
+        levels.append(materialize(_parents(levels[-1], fan_out).orderBy("node"), "nodes"))
         count = -(-count // fan_out)
     return levels
 
 
+def inside(level: DataFrame, parents: list[int], fan_out: int = FAN_OUT) -> DataFrame:
+    """The nodes of a level below these parents. A level is stored in the order of its nodes, so the filter skips what it need not read."""
+    return level.where(reduce(Column.__or__, (F.col("node").between(p * fan_out, (p + 1) * fan_out - 1) for p in parents)))
+
+
 def differences(ours: list[DataFrame], theirs: list[DataFrame], fan_out: int = FAN_OUT) -> DataFrame:
     """The buckets that differ: node, ours, theirs (hashes; null where a replica has no record in it). Descends from the roots."""
 
@@ -188,18 +196,17 @@ def differences(ours: list[DataFrame], theirs: list[DataFrame], fan_out: int = F
             .where(~F.col("ours").eqNullSafe(F.col("theirs")))
         )
 
-    found = differ(ours[-1], theirs[-1])
+    found = materialize(differ(ours[-1], theirs[-1]), "differ")
     for a, b in zip(reversed(ours[:-1]), reversed(theirs[:-1]), strict=True):
-        branches = found.select("node").withColumnRenamed("node", "parent")
-        found = materialize(
-            differ(
-                *(
-                    side.join(branches, F.floor(side.node / fan_out) == branches.parent, "left_semi")
-                    for side in (a, b)
-                )
-            ),
-            "differ",
-        )
+        few = [x.node for x in found.select("node").limit(RANGED + 1).collect()]
+        if not few:
+            return found
+        if len(few) <= RANGED:
+            sides = [inside(side, few, fan_out) for side in (a, b)]
+        else:
+            branches = found.select(F.col("node").alias("parent"))
+            sides = [side.join(branches, F.floor(side.node / fan_out) == branches.parent, "left_semi") for side in (a, b)]
+        found = materialize(differ(*sides), "differ")
     return found
 
 
@@ -243,13 +250,17 @@ def fixity_audit(pages: DataFrame, replica: DataFrame, per_file: int = PER_FILE,
 
 
 def damaged_records(records: DataFrame) -> DataFrame:
-    """The records (page_id, position, record) of a drill: a header byte of each 97th altered, the 51st of every 101 holding its neighbour's bytes."""
+    """The records (page_id, position, record) of a drill, by position: the 8th of every 103 lost, a header byte of each 97th altered,
+    the 51st of every 101 holding its neighbour's bytes, and a copy of the 22nd of every 107 added at the end under another page_id."""
     p = F.col("position")
-    hit, swapped = p % 97 == 13, p % 101 == 50
-    kept = records.where(~swapped | hit).withColumn("record", F.when(hit, F.expr(f"replace(record, 'WARC-Date: {DATE}', 'WARC-Date: X{DATE[1:]}')")).otherwise(F.col("record")))
+    lost, hit, swapped = p % 103 == 7, p % 97 == 13, p % 101 == 50
+    own = ["page_id", "position", "record"]
+    stay = records.where(~lost)
+    kept = stay.where(~swapped | hit).withColumn("record", F.when(hit, F.expr(f"replace(record, 'WARC-Date: {DATE}', 'WARC-Date: X{DATE[1:]}')")).otherwise(F.col("record")))
     donors = records.where(p % 101 == 51).select((p - 1).alias("position"), F.col("record").alias("other"))
-    taken = records.where(swapped & ~hit).join(donors, "position", "left").withColumn("record", F.coalesce("other", F.lit("")))
-    return kept.select("page_id", "position", "record").unionByName(taken.select("page_id", "position", "record"))
+    taken = stay.where(swapped & ~hit).join(donors, "position", "left").withColumn("record", F.coalesce("other", F.lit("")))
+    added = records.where(p % 107 == 21).select((-1 - F.coalesce("page_id", F.lit(0))).alias("page_id"), (F.floor(p / 107) + records.count()).alias("position"), "record")
+    return kept.select(own).unionByName(taken.select(own)).unionByName(added)
 
 
 def drill(pages: DataFrame, per_file: int = PER_FILE, fan_out: int = FAN_OUT) -> DataFrame:
@@ -276,7 +287,7 @@ def damaged(records: DataFrame) -> DataFrame:
     ).withColumn("leaf", F.coalesce("leaf", F.lit("")))
 
 
-#: The same records, their places and which of them the drill damages.
+#: The same records, their places and what the drill does to them.
 SQL = f"""
 WITH b AS (SELECT page_id, coalesce(url, '') AS url, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') AS body FROM pages),
 r AS (SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:sha1:' || sha1(body) || '>' || chr(13) || chr(10)
@@ -284,10 +295,15 @@ r AS (SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response'
    || 'Content-Type: application/http; msgtype=response' || chr(13) || chr(10) || 'Content-Length: ' || strlen(body) || chr(13) || chr(10) || chr(13) || chr(10) || body AS rec FROM b),
 l AS (SELECT page_id, (strlen(rec) + 4)::BIGINT AS length, sha256(rec) AS leaf FROM r),
 p AS (SELECT *, row_number() OVER (ORDER BY page_id NULLS FIRST, leaf) - 1 AS position FROM l),
-n AS (SELECT *, lead(leaf) OVER (PARTITION BY position // 101 ORDER BY position) AS next FROM p)
-SELECT position, position // {PER_FILE} AS file,
-  coalesce(sum(length) OVER (PARTITION BY position // {PER_FILE} ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
-  length, page_id, leaf,
-  CASE WHEN position % 97 = 13 OR (position % 101 = 50 AND coalesce(next, '') <> leaf) THEN 'corrupt' ELSE 'intact' END AS status
-FROM n
+n AS (SELECT *, lead(leaf) OVER o AS next, lead(length) OVER o AS next_length FROM p WINDOW o AS (PARTITION BY position // 101 ORDER BY position)),
+mine AS (SELECT page_id, position, length, leaf,
+    CASE WHEN position % 103 = 7 THEN 'missing' WHEN position % 97 = 13 OR (position % 101 = 50 AND coalesce(next, '') <> leaf) THEN 'corrupt' ELSE 'intact' END AS status FROM n),
+theirs AS (
+  SELECT page_id, position, CASE WHEN position % 101 = 50 AND position % 97 <> 13 THEN coalesce(next_length, 4) ELSE length END AS length, leaf, false AS added FROM n WHERE position % 103 <> 7
+  UNION ALL SELECT -1 - coalesce(page_id, 0), position // 107 + (SELECT count(*) FROM n), length, leaf, true FROM n WHERE position % 107 = 21),
+placed AS (
+  SELECT *, coalesce(sum(length) OVER (PARTITION BY position // {PER_FILE} ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM mine
+  UNION ALL SELECT page_id, position, length, leaf, 'surplus', "offset" FROM (
+    SELECT *, coalesce(sum(length) OVER (PARTITION BY position // {PER_FILE} ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM theirs) WHERE added)
+SELECT position, position // {PER_FILE} AS file, "offset", length, page_id, leaf, status FROM placed
 """

@@ -49,3 +49,14 @@ def test_empty_table_and_round_trip(spark):
     again = bpe.decode(out.select("doc_id", "ids"), PATH, PATTERN).join(docs, "doc_id")
     for table in (out, again):
         assert table.where(F.col("decoded") != F.coalesce("text", F.lit("")).cast("binary")).count() == 0
+
+
+def test_one_very_long_text(spark):
+    rows = [(1, "Wörter und 12 more, " * 400_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [tuple(x) for x in bpe.digest(bpe.encode(docs, PATH, PATTERN)).collect()] == want(rows)
+
+
+def test_decode_keeps_columns_of_any_name(spark):
+    out = bpe.decode(spark.createDataFrame([(bytearray(b"\x00\x00\x00\x00"), (1,))], "ids binary, `a b:c` struct<`d e`: int>"), PATH, PATTERN).first()
+    assert out["a b:c"]["d e"] == 1 and len(out.decoded) == 1

@@ -56,5 +56,13 @@ def test_shards_are_written(spark, tmp_path):
     assert back.count() == 50 and back.select("shard").distinct().count() >= 5
 
 
+def test_every_row_is_written(spark, tmp_path):
+    rows = [(None, "a"), (1, "b"), (1, "c"), (1, "c"), (None, None), (2, "d" * 500)]
+    docs = spark.createDataFrame([(*x, "s", 1) for x in rows], "doc_id long, text string, shard string, `x.y` int")
+    shard.write_shards(docs, f"{tmp_path}/out", 10)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(((x.doc_id, x.text) for x in back.collect()), key=str) == sorted(rows, key=str)
+
+
 def test_empty_table(spark):
     assert shard.assign(spark.createDataFrame([], "doc_id long, text string")).collect() == []
