@@ -5,8 +5,9 @@ boundary, and with lines joined (license texts are wrapped). Sentences are
 normalised (lower case, letters and digits only, single spaces) and looked up
 among known license sentences; a text becomes the sequence of their identifiers
 in each reading. A rule is an ordered list of identifiers; it matches where they
-occur one after the other in a reading, other known sentences may stand between.
-Rules of the same license count once.
+occur one after the other in a reading, other known sentences may stand between,
+unless an identifier occurs that stands against it (a three-clause text holds the
+two clauses too). Rules of the same license count once.
 
 Defined results: null and empty texts have no identifiers and no licenses; a
 null doc_id and repeated rows each keep their row; an empty table gives no rows;
@@ -16,6 +17,7 @@ further columns are ignored.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,28 +73,80 @@ SENTENCES = {
     "cc-by-sa-4-notice": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "cc-by-nc-4-notice": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "cc0-notice": ["Licensed under CC0 1.0", "This work is dedicated to the public domain under CC0 1.0"],
+    "lgpl-2.1-free": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"
+    ],
+    "lgpl-3-notice": ["SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-or-later", "Licensed under the GNU Lesser General Public License, version 3"],
+    "lgpl-2.1-notice": ["SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-or-later"],
+    "lgpl-hope": [
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"
+    ],
+    "agpl-3-free": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"
+    ],
+    "agpl-3-notice": ["SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later", "Licensed under the GNU Affero General Public License, version 3"],
+    "gpl-2-notice": ["SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later", "Licensed under the GNU General Public License, version 2", "This program is licensed under the GNU General Public License, version 2"],
+    "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
+    "bsd-binary": [
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"
+    ],
+    "bsd-2-notice": ["SPDX-License-Identifier: BSD-2-Clause"],
+    "bsd-3-notice": ["SPDX-License-Identifier: BSD-3-Clause"],
+    "isc-grant": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    ],
+    "isc-notice": ["SPDX-License-Identifier: ISC"],
+    "isc-as-is": [
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS"
+    ],
+    "zlib-as-is": ["This software is provided 'as-is', without any express or implied warranty"],
+    "zlib-grant": [
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"
+    ],
+    "mpl-2-notice": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "epl-2-notice": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0"],
+    "unlicense": ["This is free and unencumbered software released into the public domain", "SPDX-License-Identifier: Unlicense"],
+    "bsl-1-notice": ["Distributed under the Boost Software License, Version 1.0", "SPDX-License-Identifier: BSL-1.0"],
+    "bsl-1-grant": [
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following"
+    ],
     "all-rights": ["All rights reserved"],
 }
-#: License, and the ordered identifiers that give it.
+#: License, the ordered identifiers that give it, and identifiers that stand against it.
 RULES = [
-    ("MIT", ("mit-notice",)),
-    ("MIT", ("mit-grant", "mit-keep")),
-    ("MIT", ("mit-title", "mit-grant", "mit-keep", "as-is")),
-    ("Apache-2.0", ("apache-2-notice",)),
-    ("Apache-2.0", ("apache-2-notice", "apache-2-copy", "apache-2-as-is", "apache-2-see")),
-    ("GPL-3.0", ("gpl-3-notice",)),
-    ("GPL-3.0", ("gpl-3-free", "gpl-hope")),
-    ("GPL-2.0", ("gpl-2-free", "gpl-hope")),
-    ("BSD-2-Clause", ("bsd-redistribution", "as-is")),
-    ("BSD-3-Clause", ("bsd-redistribution", "bsd-endorse")),
-    ("CC-BY-4.0", ("cc-by-4-notice",)),
-    ("CC-BY-SA-4.0", ("cc-by-sa-4-notice",)),
-    ("CC-BY-NC-4.0", ("cc-by-nc-4-notice",)),
-    ("CC0-1.0", ("cc0-notice",)),
-    ("Proprietary", ("all-rights",)),
+    ("MIT", ("mit-notice",), ()),
+    ("MIT", ("mit-grant", "mit-keep"), ()),
+    ("Apache-2.0", ("apache-2-notice",), ()),
+    ("GPL-3.0", ("gpl-3-notice",), ()),
+    ("GPL-3.0", ("gpl-3-free", "gpl-hope"), ()),
+    ("GPL-2.0", ("gpl-2-notice",), ()),
+    ("GPL-2.0", ("gpl-2-free", "gpl-hope"), ()),
+    ("LGPL-2.1", ("lgpl-2.1-notice",), ()),
+    ("LGPL-2.1", ("lgpl-2.1-free", "lgpl-hope"), ()),
+    ("LGPL-3.0", ("lgpl-3-notice",), ()),
+    ("AGPL-3.0", ("agpl-3-notice",), ()),
+    ("AGPL-3.0", ("agpl-3-free", "gpl-hope"), ()),
+    ("BSD-2-Clause", ("bsd-2-notice",), ()),
+    ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary"), ("bsd-endorse",)),
+    ("BSD-3-Clause", ("bsd-3-notice",), ()),
+    ("BSD-3-Clause", ("bsd-redistribution", "bsd-endorse"), ()),
+    ("ISC", ("isc-notice",), ()),
+    ("ISC", ("isc-grant", "isc-as-is"), ()),
+    ("Zlib", ("zlib-as-is", "zlib-grant"), ()),
+    ("MPL-2.0", ("mpl-2-notice",), ()),
+    ("EPL-2.0", ("epl-2-notice",), ()),
+    ("Unlicense", ("unlicense",), ()),
+    ("BSL-1.0", ("bsl-1-notice",), ()),
+    ("BSL-1.0", ("bsl-1-grant", "as-is"), ()),
+    ("CC-BY-4.0", ("cc-by-4-notice",), ()),
+    ("CC-BY-SA-4.0", ("cc-by-sa-4-notice",), ()),
+    ("CC-BY-NC-4.0", ("cc-by-nc-4-notice",), ()),
+    ("CC0-1.0", ("cc0-notice",), ()),
+    ("Proprietary", ("all-rights",), ("bsd-redistribution",)),
 ]
 #: A known sentence holds at least one of these; texts without any are not cut at all.
-ANCHOR = "(?i)licen[sc]e|permission|redistribut|warrant|public domain|cc0|rights reserved|software"
+ANCHOR = "(?i)licen[sc]e|permission|redistribut|warrant|public domain|cc0|rights reserved|software|spdx|source code form|eclipse"
 #: A sentence ends at . ! ? ; : before white space or the end.
 END = r"[.!?;:](?=\s|$)"
 
@@ -134,6 +188,11 @@ def _identifiers(text: Column, lookup: Column) -> Column:
     return F.filter(alone, lambda x: x != "")
 
 
+def in_order(ids: tuple[str, ...]) -> str:
+    """A pattern for the identifiers, one after the other, in a comma-separated list."""
+    return "(^|,)" + "(,|,.*,)".join(re.escape(x) for x in ids) + "(,|$)"
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, sentences (identifiers in order, comma-separated; of the reading with more of them), licenses (sorted, comma-separated)."""
     lookup = _lookup()
@@ -150,11 +209,10 @@ def scan(docs: DataFrame) -> DataFrame:
         F.when(able, F.array_join(joined, ",")).otherwise("").alias("b"),
     )
 
-    def matches(ids: tuple[str, ...]) -> Column:
-        pattern = "(^|,)" + "(,|,.*,)".join(ids) + "(,|$)"
-        return F.col("a").rlike(pattern) | F.col("b").rlike(pattern)
+    def matches(ids: tuple[str, ...], against: tuple[str, ...]) -> Column:
+        return reduce(Column.__and__, [*(~matches((x,), ()) for x in against), F.col("a").rlike(in_order(ids)) | F.col("b").rlike(in_order(ids))])
 
-    hits = F.array_compact(F.array(*(F.when(matches(ids), F.lit(name)) for name, ids in RULES)))
+    hits = F.array_compact(F.array(*(F.when(matches(ids, against), F.lit(name)) for name, ids, against in RULES)))
     longer = F.length(F.regexp_replace("b", "[^,]", "")) + (F.col("b") != "").cast("int") > F.length(F.regexp_replace("a", "[^,]", "")) + (F.col("a") != "").cast("int")
     return found.select(
         "doc_id",
@@ -167,10 +225,11 @@ def _sql() -> str:
     known = ", ".join(f"('{s}', '{k}')" for s, k in known_sentences().items())
     anchor = f"'{ANCHOR}'"
 
-    def hit(ids: tuple[str, ...], side: str) -> str:
-        return f"regexp_matches({side}, '(^|,){'(,|,.*,)'.join(ids)}(,|$)')"
+    def hit(ids: tuple[str, ...], against: tuple[str, ...] = ()) -> str:
+        own = " OR ".join(f"regexp_matches({side}, '{in_order(ids)}')" for side in "ab")
+        return " AND ".join([f"({own})", *(f"NOT {hit((x,))}" for x in against)])
 
-    names = ", ".join(f"CASE WHEN {hit(ids, 'a')} OR {hit(ids, 'b')} THEN '{name}' END" for name, ids in RULES)
+    names = ", ".join(f"CASE WHEN {hit(ids, against)} THEN '{name}' END" for name, ids, against in RULES)
     return rf"""
 WITH known(s, k) AS (VALUES {known}),
 able AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, {anchor})),

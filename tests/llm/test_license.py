@@ -62,5 +62,25 @@ def test_every_known_sentence_has_an_anchor_and_is_found(spark):
     assert [got[i][0].split(",")[0] for i in range(len(texts))] == names
 
 
+def test_ordered_rules_of_further_licenses(spark):
+    s = {k: v[0] for k, v in scan.SENTENCES.items()}
+    two = f"{s['bsd-redistribution']}:\n\n1. {s['bsd-source']}.\n\n2. {s['bsd-binary']}.\n"
+    texts = {
+        f"Copyright. All rights reserved.\n\n{two}": "BSD-2-Clause",
+        f"Copyright. All rights reserved.\n\n{two}\n3. {s['bsd-endorse']}.\n": "BSD-3-Clause",
+        f"{s['lgpl-2.1-free']}.\n{s['lgpl-hope']}.": "LGPL-2.1",
+        f"{s['agpl-3-free']}.\n\n{s['gpl-hope']}.": "AGPL-3.0",
+        f"{s['gpl-2-free']}.\n\n{s['gpl-hope']}.": "GPL-2.0",
+        f"{s['isc-grant']}.\n\n{s['isc-as-is']}.": "ISC",
+        f"{s['isc-as-is']}.\n\n{s['isc-grant']}.": "",
+        f"{s['zlib-as-is']}.\n{s['zlib-grant']}:": "Zlib",
+        f"{s['bsl-1-grant']}:\n\n{s['as-is']}.": "BSL-1.0",
+        "// " + s["mpl-2-notice"] + ". If a copy of the MPL was not distributed": "MPL-2.0",
+        "/* SPDX-License-Identifier: LGPL-3.0-or-later */": "LGPL-3.0",
+    }
+    got = run(spark, [textwrap.fill(x, 70, replace_whitespace=False) for x in texts])
+    assert [got[i][1] for i in range(len(texts))] == list(texts.values())
+
+
 def test_empty_table(spark):
     assert scan.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
