@@ -12,8 +12,6 @@ from tessera.operators import pairs as P
 from tessera.plans import views as V
 from tessera.schemas import EVENT_MENTION, ZERO
 
-#: The bound that the SQL still has; the queries have none.
-SQL_GAP = 3
 KEYS = ["doc_id", "s1", "t1", "s2", "t2"]
 
 
@@ -39,8 +37,7 @@ PAIR = V.MENTION + f""",
 v_pair AS (
   SELECT a.doc_id, a.sentence_id AS s1, a.token_id AS t1, a.chain_id AS c1, b.sentence_id AS s2, b.token_id AS t2, b.chain_id AS c2,
     a.mention_type AS mention_type1, b.mention_type AS mention_type2, a.split, a.tok AS tok1, b.tok AS tok2, a.chain_id = b.chain_id AS label
-  FROM v_mention a JOIN v_mention b ON a.doc_id = b.doc_id AND (b.sentence_id > a.sentence_id OR (b.sentence_id = a.sentence_id AND b.token_id > a.token_id))
-   AND b.sentence_id <= a.sentence_id + {SQL_GAP})"""
+  FROM v_mention a JOIN v_mention b ON a.doc_id = b.doc_id AND (b.sentence_id > a.sentence_id OR (b.sentence_id = a.sentence_id AND b.token_id > a.token_id)))"""
 SCORED = PAIR + f""",
 v_scored AS (
   SELECT *, p >= 0.5 AS pred FROM (
@@ -76,16 +73,16 @@ def _windows(spark: SparkSession, sf: str, most: int) -> DataFrame:
     return p.withColumn("w", P.centered_window(F.col("n"), F.col("g1"), F.col("g2"), most))
 
 
-#: max_seq_len 300 less 2, as in the reference; the SQL still has 60.
-MOST, SQL_MOST = 298, 60
+#: max_seq_len 300 less 2.
+MOST = 298
 WINDOWS = PAIR + GLOBAL + f""",
 v_win AS (
   SELECT p.*, a.idx AS g1, b.idx AS g2, a.n,
-    CASE WHEN b.idx - a.idx + 1 <= {SQL_MOST} THEN greatest(0, a.idx - ({SQL_MOST} - (b.idx - a.idx + 1)) // 2) END AS st
+    CASE WHEN b.idx - a.idx + 1 <= {MOST} THEN greatest(0, a.idx - ({MOST} - (b.idx - a.idx + 1)) // 2) END AS st
   FROM v_pair p JOIN v_glob a ON a.doc_id = p.doc_id AND a.sentence_id = p.s1 AND a.token_id = p.t1
     JOIN v_glob b ON b.doc_id = p.doc_id AND b.sentence_id = p.s2 AND b.token_id = p.t2),
 v_window AS (
-  SELECT *, CASE WHEN least(n, st + {SQL_MOST}) - st < {SQL_MOST} THEN greatest(0, least(n, st + {SQL_MOST}) - {SQL_MOST}) ELSE st END AS w_start, least(n, st + {SQL_MOST}) AS w_stop FROM v_win)"""
+  SELECT *, CASE WHEN least(n, st + {MOST}) - st < {MOST} THEN greatest(0, least(n, st + {MOST}) - {MOST}) ELSE st END AS w_start, least(n, st + {MOST}) AS w_stop FROM v_win)"""
 
 
 def mention_pairs(s, d):
@@ -248,15 +245,26 @@ v_root(doc_id, sentence_id, token_id, rs, rt) AS (
   UNION ALL SELECT l.doc_id, l.s2, l.t2, r.rs, r.rt FROM v_root r JOIN v_link l ON l.doc_id = r.doc_id AND l.s1 = r.sentence_id AND l.t1 = r.token_id),
 v_cluster AS (SELECT doc_id, sentence_id, token_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY rs, rt)::INT AS cluster_id FROM v_root)"""
 
+def _digested(rows, *columns):
+    return lambda s, d: V.digest(rows(s, d), *columns)
+
+
+_P = "round(p * 1000)::BIGINT"
 PLANS = {
-    "mention_pairs": (mention_pairs, f"WITH {PAIR} SELECT {_K}, label FROM v_pair"),
-    "pair_windows": (pair_windows, f"WITH {WINDOWS} SELECT {_K}, w_start::INT AS w_start, w_stop::INT AS w_stop, (g1 - w_start)::INT AS local1, (g2 - w_start)::INT AS local2 FROM v_window WHERE st IS NOT NULL"),
-    "pair_rejected_long": (pair_rejected_long, f"WITH {WINDOWS} SELECT {_K}, (g2 - g1 + 1)::INT AS pair_width FROM v_window WHERE st IS NULL"),
+    "mention_pairs": (_digested(mention_pairs, *KEYS[1:], "label"), "WITH " + PAIR + V.digest_sql("SELECT * FROM v_pair", "s1", "t1", "s2", "t2", "label")),
+    "pair_windows": (
+        _digested(pair_windows, *KEYS[1:], "w_start", "w_stop", "local1", "local2"),
+        "WITH " + WINDOWS + V.digest_sql("SELECT * FROM v_window WHERE st IS NOT NULL", "s1", "t1", "s2", "t2", "w_start", "w_stop", "g1 - w_start", "g2 - w_start"),
+    ),
+    "pair_rejected_long": (_digested(pair_rejected_long, *KEYS[1:], "pair_width"), "WITH " + WINDOWS + V.digest_sql("SELECT * FROM v_window WHERE st IS NULL", "s1", "t1", "s2", "t2", "g2 - g1 + 1")),
     "pair_records": (
-        pair_records,
-        f"""WITH {WINDOWS}, v_all AS (SELECT doc_id, list(tok ORDER BY idx) AS toks FROM v_glob GROUP BY doc_id)
-        SELECT {_K}, md5(array_to_string(toks[w_start + 1:w_stop], ' ')) AS text_md5, tok1 AS span1_text, tok2 AS span2_text, CASE WHEN label THEN 'true' ELSE 'false' END AS label
-        FROM v_window JOIN v_all USING (doc_id) WHERE st IS NOT NULL""",
+        _digested(pair_records, *KEYS[1:], "text_md5", "span1_text", "span2_text", "label"),
+        f"""WITH {WINDOWS}, v_all AS (SELECT doc_id, list(tok ORDER BY idx) AS toks FROM v_glob GROUP BY doc_id),
+        v_text AS (SELECT doc_id, w_start, w_stop, md5(array_to_string(toks[w_start + 1:w_stop], ' ')) AS text_md5 FROM (SELECT DISTINCT doc_id, w_start, w_stop FROM v_window WHERE st IS NOT NULL) JOIN v_all USING (doc_id)) """
+        + V.digest_sql(
+            f"SELECT {_K}, text_md5, tok1, tok2, CASE WHEN label THEN 'true' ELSE 'false' END AS label FROM v_window JOIN v_text USING (doc_id, w_start, w_stop) WHERE st IS NOT NULL",
+            "s1", "t1", "s2", "t2", "text_md5", "tok1", "tok2", "label",
+        ),
     ),
     "pair_stats": (
         pair_stats,
@@ -267,19 +275,28 @@ PLANS = {
         (SELECT count(*) FROM v_mention) AS source_mentions, (SELECT count(*) FROM (SELECT DISTINCT doc_id, chain_id FROM v_mention)) AS source_chains FROM v_window""",
     ),
     "pair_train_sample": (
-        pair_train_sample,
+        _digested(pair_train_sample, *KEYS[1:], "label"),
         f"""WITH {PAIR}, t AS (SELECT {_K}, label, {V.draw_sql("'seed'", 'doc_id', 's1', 't1', 's2', 't2')} AS o FROM v_pair WHERE split = 'train'),
-        n AS (SELECT *, row_number() OVER (ORDER BY o, {_K}) AS k FROM t WHERE NOT label)
-        SELECT {_K}, label FROM t WHERE label UNION ALL SELECT {_K}, label FROM n WHERE k <= (SELECT count(*) FROM t WHERE label)""",
+        n AS (SELECT *, row_number() OVER (ORDER BY o, {_K}) AS k FROM t WHERE NOT label) """
+        + V.digest_sql(f"SELECT {_K}, label FROM t WHERE label UNION ALL SELECT {_K}, label FROM n WHERE k <= (SELECT count(*) FROM t WHERE label)", "s1", "t1", "s2", "t2", "label"),
     ),
     "special_token_remap": (
         special_token_remap,
         f"WITH {V.TOK} {GLOBAL} SELECT doc_id, idx AS old_idx, row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS new_idx FROM v_glob WHERE tok NOT IN ('the', 'The', 'de', 'der')",
     ),
-    "score_join_strict": (score_join_strict, f"WITH {SCORED} SELECT {_K}, label, v_some.p FROM v_pair JOIN v_some USING ({_K})"),
-    "score_join_canonical": (score_join_canonical, f"WITH {SCORED} SELECT {_K}, label, v_some.p FROM v_pair JOIN v_some USING ({_K})"),
-    "score_left_default": (score_left_default, f"WITH {SCORED} SELECT {_K}, label, coalesce(v_some.p, 0) AS p, v_some.p IS NOT NULL AS matched FROM v_pair LEFT JOIN v_some USING ({_K})"),
-    "score_missing": (score_missing, f"WITH {SCORED} SELECT {_K}, label FROM v_pair ANTI JOIN v_some USING ({_K})"),
+    "score_join_strict": (
+        _digested(score_join_strict, *KEYS[1:], "label", "bigint(round(p * 1000))"),
+        "WITH " + SCORED + V.digest_sql(f"SELECT {_K}, label, v_some.p FROM v_pair JOIN v_some USING ({_K})", "s1", "t1", "s2", "t2", "label", _P),
+    ),
+    "score_join_canonical": (
+        _digested(score_join_canonical, *KEYS[1:], "label", "bigint(round(p * 1000))"),
+        "WITH " + SCORED + V.digest_sql(f"SELECT {_K}, label, v_some.p FROM v_pair JOIN v_some USING ({_K})", "s1", "t1", "s2", "t2", "label", _P),
+    ),
+    "score_left_default": (
+        _digested(score_left_default, *KEYS[1:], "label", "bigint(round(p * 1000))", "matched"),
+        "WITH " + SCORED + V.digest_sql(f"SELECT {_K}, label, coalesce(v_some.p, 0) AS p, v_some.p IS NOT NULL AS matched FROM v_pair LEFT JOIN v_some USING ({_K})", "s1", "t1", "s2", "t2", "label", _P, "matched"),
+    ),
+    "score_missing": (_digested(score_missing, *KEYS[1:], "label"), "WITH " + SCORED + V.digest_sql(f"SELECT {_K}, label FROM v_pair ANTI JOIN v_some USING ({_K})", "s1", "t1", "s2", "t2", "label")),
     "score_gates": (
         score_gates,
         f"""WITH {SCORED} SELECT 'duplicate_pair' AS kind, count(*) AS n FROM (SELECT {_K} FROM v_pair GROUP BY ALL HAVING count(*) > 1)
@@ -307,7 +324,10 @@ PLANS = {
               FROM g LEFT JOIN s USING (type) LEFT JOIN c USING (type))
         SELECT *, seen / gold_mentions::DOUBLE AS coverage, {PRF} FROM j""",
     ),
-    "error_rows": (error_rows, f"WITH {ERRORS} SELECT * FROM v_err"),
+    "error_rows": (
+        _digested(error_rows, *KEYS[1:], "bigint(round(p * 1000))", "target", "error", "endpoint", "partner_type", "bucket", "bigint(round(margin * 1000))"),
+        "WITH " + ERRORS + V.digest_sql("SELECT * FROM v_err", "s1", "t1", "s2", "t2", _P, "target", "error", "endpoint", "partner_type", "bucket", "round(margin * 1000)::BIGINT"),
+    ),
     "error_fp_top30": (error_fp_top30, f"WITH {ERRORS} SELECT * FROM v_err WHERE error = 'FP' ORDER BY round(p, 8) DESC, {_SORT} LIMIT 30"),
     "error_fn_top30": (error_fn_top30, f"WITH {ERRORS} SELECT * FROM v_err WHERE error = 'FN' ORDER BY round(p, 8), {_SORT} LIMIT 30"),
     "error_summary": (
@@ -339,6 +359,9 @@ PLANS = {
         f"WITH {V.MENTION} SELECT t.doc_id, t.sentence_id, t.token_id, CASE WHEN chain_id IS NULL THEN '-' ELSE '(' || chain_id || ')' END AS coref FROM v_tok t LEFT JOIN v_mention USING (doc_id, sentence_id, token_id)",
     ),
     "empty_response": (empty_response, f"WITH {V.TOK} SELECT doc_id, sentence_id, token_id, '-' AS coref FROM v_tok"),
-    "exact_string_scores": (exact_string_scores, f"WITH {PAIR} SELECT {_K}, CASE WHEN lower(tok1) = lower(tok2) THEN 1.0::DOUBLE ELSE 0 END AS p_coref FROM v_pair"),
+    "exact_string_scores": (
+        _digested(exact_string_scores, *KEYS[1:], "int(p_coref)"),
+        "WITH " + PAIR + V.digest_sql(f"SELECT {_K}, CASE WHEN lower(tok1) = lower(tok2) THEN 1 ELSE 0 END AS x FROM v_pair", "s1", "t1", "s2", "t2", "x"),
+    ),
     "cluster_map_conflicts": (cluster_map_conflicts, f'WITH {V.MENTION} SELECT doc_id, token_id AS start, token_id AS "end", count(DISTINCT chain_id) AS n_clusters FROM v_mention GROUP BY ALL HAVING count(DISTINCT chain_id) > 1'),
 }

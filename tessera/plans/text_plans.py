@@ -272,7 +272,7 @@ PLANS = {
         b AS (SELECT *, domain || '｜' || topic || '｜' || action || '｜关注：' || conflict || '｜证据：' || evidence AS brief, {V.draw_sql("'o'", 'domain', 'topic', 'action', 'conflict', 'evidence')} AS o, {V.draw_sql('domain', 'topic', 'action', 'conflict', 'evidence')} % 3 = 0 AS used FROM sp),
         g AS (SELECT *, array_to_string(list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(brief), '[：:|｜，、。；;,.!！?？—-]+', '_', 'g'), '_'), lambda x: x <> ''))), '|') AS signature FROM b),
         kk AS (SELECT domain, brief, signature, row_number() OVER (PARTITION BY domain ORDER BY o, brief)::INT AS k FROM g WHERE NOT used AND brief NOT LIKE '%T3%' AND brief NOT LIKE '%C1%')
-        SELECT domain, k, brief, signature FROM kk JOIN quota USING (domain) WHERE k <= least(25, target)""",
+        SELECT domain, k, brief, signature FROM kk JOIN quota USING (domain) WHERE k <= target""",
     ),
     "batch_type_counts": (batch_type_counts, "SELECT (k // 50)::BIGINT AS batch, lang AS value, count(*) AS n FROM (SELECT lang, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents) GROUP BY 1, 2"),
     "recent_turns": (recent_turns, "SELECT conv_id, turn, coalesce(string_agg(role, ',') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), '') AS recent FROM conversations"),

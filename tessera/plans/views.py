@@ -2,7 +2,7 @@
 
 Sentences and word tokens come from ``documents``; a mention is a word of six
 letters or more whose lower-case form occurs at least twice in its document, and
-these occurrences are its chain (the SQL still ends at eight). Types, semantics, splits, scores and
+these occurrences are its chain. Types, semantics, splits, scores and
 predictions are drawn from MD5 of the keys, so both engines agree on them.
 """
 
@@ -87,6 +87,18 @@ def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def digest(df: DataFrame, *columns: str) -> DataFrame:
+    """Per doc_id: n rows and the sum of a hash of each, over these expressions. Whole results that have a row per pair are compared so."""
+    key = F.concat_ws("|", *(F.coalesce(F.expr(c).cast("string"), F.lit("-")) for c in columns))
+    hashed = F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("decimal(20,0)")
+    return df.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(hashed).cast("string").alias("digest"))
+
+
+def digest_sql(source: str, *columns: str) -> str:
+    parts = ", ".join(f"coalesce(({c})::VARCHAR, '-')" for c in columns)
+    return f"SELECT doc_id, count(*) AS n, sum(('0x' || substr(md5(concat_ws('|', {parts})), 1, 15))::BIGINT)::VARCHAR AS digest FROM ({source}) GROUP BY doc_id"
+
+
 SENT = r"""v_sent AS (
   SELECT doc_id, unnest(range(1, len(a) + 1))::INT AS sentence_id, unnest(a) AS sent
   FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]+[.!?\n]?') AS a FROM documents))"""
@@ -113,7 +125,7 @@ v_mention AS (
           first_value(sentence_id) OVER (PARTITION BY doc_id, lower(tok) ORDER BY sentence_id, token_id) AS f1,
           first_value(token_id) OVER (PARTITION BY doc_id, lower(tok) ORDER BY sentence_id, token_id) AS f2,
           count(*) OVER (PARTITION BY doc_id, lower(tok)) AS n
-        FROM v_tok WHERE length(tok) >= 6) WHERE n BETWEEN 2 AND 8)"""
+        FROM v_tok WHERE length(tok) >= 6) WHERE n >= 2)"""
 PREDICTED = MENTION + f""",
 v_pred AS (
   SELECT doc_id, sentence_id, token_id, is_zero, CASE WHEN h = 1 THEN chain_id % top + 1 ELSE chain_id END AS pred_id
