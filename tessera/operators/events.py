@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.scratch import materialize
+
 
 def sentence_offsets(document: Column, sentences: Column) -> Column:
     """The start of each sentence, searched for after the one before; -1 from the first that isn't found."""
@@ -66,11 +68,19 @@ def pair_stats(events: DataFrame, by: list[str]) -> DataFrame:
     ).withColumn("n_negative", F.col("n_pairs") - F.col("n_positive"))
 
 
-def prediction_offsets(counts: DataFrame, by: list[str]) -> DataFrame:
-    """Where each document's n(n-1)/2 predictions begin in its group's flat vector, in doc_id order. counts: by, doc_id, n."""
+def prediction_offsets(counts: DataFrame, by: list[str], ranges: int = 256) -> DataFrame:
+    """Where each document's n(n-1)/2 predictions begin in its group's flat vector, in doc_id order. counts: by, doc_id, n.
+
+    doc_ids are dealt to ranges; a document's place is the sum of its group's
+    earlier ranges and of the earlier documents in its own, so no task holds a group.
+    """
     size = (F.col("n") * (F.col("n") - 1) / 2).cast("long")
-    w = Window.partitionBy(*by).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("size", size).withColumn("offset", F.coalesce(F.sum("size").over(w), F.lit(0)))
+    dealt = materialize(counts.withColumn("size", size).repartitionByRange(ranges, "doc_id").withColumn("_part", F.spark_partition_id()), "sizes")
+    sums = dealt.groupBy(*by, "_part").agg(F.sum("size").alias("_size"))
+    # a row for each group and range
+    base = sums.select(*by, "_part", F.coalesce(F.sum("_size").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    inside = F.sum("size").over(Window.partitionBy(*by, "_part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    return dealt.withColumn("offset", F.coalesce(inside, F.lit(0))).join(base, [*by, "_part"]).withColumn("offset", F.col("offset") + F.col("_base")).drop("_part", "_base")
 
 
 def pack_predictions(scores: DataFrame) -> DataFrame:

@@ -32,7 +32,8 @@ def mention_pairs(
     after = (F.col("s2") > F.col("s1")) | ((F.col("s2") == F.col("s1")) & (F.col("t2") > F.col("t1")))
     label = F.col("c1") == F.col("c2")
     if max_sentence_gap is not None:
-        return side(1).join(side(2), "doc_id").where(after & (F.col("s2") <= F.col("s1") + max_sentence_gap)).withColumn("label", label)
+        near = side(1).withColumn("s2", F.explode(F.expr(f"sequence(s1, s1 + {max_sentence_gap})")))
+        return near.join(side(2), ["doc_id", "s2"]).where(after).withColumn("label", label)
 
     def dealt(i: int, cells: str) -> DataFrame:
         """Each row once for each cell that its block stands in; the first mention's block is never the later one."""

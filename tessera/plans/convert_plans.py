@@ -11,6 +11,7 @@ from tessera.operators import events as E
 from tessera.operators import mutate as U
 from tessera.plans import views as V
 from tessera.plans.corpus_plans import CHAINS, chain_derived_type
+from tessera.scratch import materialize
 
 
 def raw_mentions(s, d) -> DataFrame:
@@ -39,8 +40,8 @@ def token_insert(s, d):
 
 
 def _mention_map(s, d):
-    placed = _placed(s, d)
-    return K.mention_map(placed, K.token_map(V.sentences(s, d), placed))
+    placed = materialize(_placed(s, d), "placed")
+    return materialize(K.mention_map(placed, K.token_map(V.sentences(s, d), placed)), "mentions")
 
 
 def span_to_token(s, d):
@@ -68,9 +69,9 @@ def conversion_summary(s, d):
 
 
 def conll_lines(s, d):
-    placed = _placed(s, d)
+    placed = materialize(_placed(s, d), "placed")
     tokens = K.token_map(V.sentences(s, d), placed)
-    m = K.mention_map(placed, tokens)
+    m = materialize(K.mention_map(placed, tokens), "mentions")
     ids = K.chain_map(m).select("mode", "doc_id", "chain_pos", "conll_chain_id")
     spans = m.where("is_exported").join(ids, ["mode", "doc_id", "chain_pos"]).select(
         F.struct("mode", "doc_id").alias("doc_id"), "sentence_id", F.col("token_start").alias("start"), F.col("token_end").alias("end"), F.col("conll_chain_id").alias("cid")

@@ -32,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     own = context._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get()
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
     context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
@@ -54,6 +56,14 @@ def _drop_all() -> None:
 atexit.register(_drop_all)
 
 
+def release(df: DataFrame) -> None:
+    """Drop the table that materialize() wrote for df, once nothing reads it any more."""
+    path = getattr(df, "_scratch", None)
+    if path:
+        drop(df.sparkSession, path)
+        _written.remove((df.sparkSession, path))
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark).rstrip('/')}/tessera-{label}-{uuid.uuid4().hex}"
     _written.append((spark, path))
@@ -65,7 +75,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:

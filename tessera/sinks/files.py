@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, MapType, StructType
 
+from tessera.scratch import materialize
+
 
 def flat(df: DataFrame) -> DataFrame:
     """All columns as text: nested ones as JSON, booleans as 0 and 1."""
@@ -32,9 +34,14 @@ def write_table(df: DataFrame, path: str, columns: list[str] | None = None, sep:
 
 
 def write_jsonl(df: DataFrame, path: str, order: list[str] | None = None) -> None:
-    """JSON lines; with an order also idx 0.. over it. The numbering orders all rows, so it's for reports and samples."""
+    """JSON lines; with an order also idx 0.. over it. Rows are dealt to ranges of the order and numbered by the counts of the ranges before and inside their own."""
     if order:
-        df = df.withColumn("idx", F.row_number().over(Window.orderBy(*order)) - 1).orderBy("idx")
+        rows = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ordered")
+        starts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+        # one row for each partition
+        base = starts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+        inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+        df = rows.withColumn("idx", inside).join(F.broadcast(base), "_part").withColumn("idx", F.col("idx") + F.col("_base")).drop("_part", "_base").orderBy("idx")
     df.write.json(path)
 
 
