@@ -28,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.scratch import materialize, scratch_path, ship, small_batches
+from tessera.llm.names import holding
+from tessera.scratch import drop, materialize, release, scratch_path, ship, small_batches
 
 ship(__name__)
 
-PER_FILE, FAN_OUT = 256, 16
+PER_FILE, FAN_OUT = 256, 64
 #: So many differing branches at most are read by ranges of the stored level; beyond, most of the level differs and is scanned.
 RANGED = 256
 DATE = "2024-01-01T00:00:00Z"
@@ -91,22 +92,31 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(_records, "path string, offset long, length long, url string, html string, leaf string")
 
 
+def _write_files(rows: DataFrame, path: str, folders: list[str]) -> None:
+    """Write value of rows (folders..., position, value; dealt by file) as packed WARC files; packed fast, as they are read back once."""
+    rows.sortWithinPartitions(*folders, "position").select(*folders, "value").write.partitionBy(*folders).option("lineSep", "\r\n\r\n").option(
+        "compression", "gzip"
+    ).option("zlib.compress.level", "BEST_SPEED").text(path)
+
+
+def _write_index(records: DataFrame, path: str, per_file: int) -> None:
+    slots = records.select("page_id", "position", (F.octet_length("record") + 4).cast("long").alias("length"))
+    with_offsets(slots, per_file).write.parquet(path)
+
+
 def write_replica(records: DataFrame, path: str, per_file: int = PER_FILE) -> None:
     """Write records (page_id, position, record) as packed WARC files below path/files and the index of their slots as path/index."""
-    spark = records.sparkSession
-    placed = records.withColumn("file", F.floor(F.col("position") / per_file))
-    dealt = placed.select("file", "position", F.col("record").alias("value")).repartition("file").sortWithinPartitions("file", "position").select("file", "value")
-    dealt.write.partitionBy("file").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(f"{path}/files")
-    slots = records.select("page_id", "position", (F.octet_length("record") + 4).cast("long").alias("length"))
-    with_offsets(slots, per_file).write.parquet(f"{path}/index")
+    placed = records.select(F.floor(F.col("position") / per_file).alias("file"), "position", F.col("record").alias("value")).repartition("file")
+    _write_files(placed, f"{path}/files", ["file"])
+    _write_index(records, f"{path}/index", per_file)
 
 
-def read_replica(spark: SparkSession, path: str) -> DataFrame:
+def read_replica(spark: SparkSession, path: str, side: str = "") -> DataFrame:
     """page_id, position, file, offset, length, leaf of the records that a replica's files hold; those in no slot of its index have null page_id and position."""
-    found = read_warc(spark, f"{path}/files").select(
+    found = read_warc(spark, f"{path}/files{side}").select(
         F.regexp_extract("path", "/file=([0-9]+)/", 1).cast("long").alias("file"), "offset", (F.col("length") + 4).alias("length"), "leaf"
     )
-    slots = spark.read.parquet(f"{path}/index").select("file", "offset", "page_id", "position")
+    slots = spark.read.parquet(f"{path}/index{side}").select("file", "offset", "page_id", "position")
     return found.join(slots, ["file", "offset"], "left").select("page_id", "position", "file", "offset", "length", "leaf")
 
 
@@ -118,26 +128,25 @@ def ordered(pages: DataFrame, partitions: int | None = None, carry: bool = False
     rows = (
         pages.select(
             F.col("page_id").cast("long").alias("page_id"),
-            F.xxhash64("url", "html").alias("tie"),
             record(F.col("url").cast("string"), F.col("html").cast("string")).alias("record"),
             F.monotonically_increasing_id().alias("row"),
         ).select(
-            "page_id", "tie", "row", (F.octet_length("record") + 4).cast("long").alias("length"), F.sha2(F.col("record").cast("binary"), 256).alias("leaf"), *text
+            "page_id", "row", (F.octet_length("record") + 4).cast("long").alias("length"), F.sha2(F.col("record").cast("binary"), 256).alias("leaf"), *text
         )
     )
-    rows = rows if carry else materialize(rows, "records")
     # equal pages are told apart by row alone, so a page_id that repeats can't fill one partition
-    dealt = materialize(
-        rows.repartitionByRange(n, F.col("page_id").asc_nulls_first(), "leaf", "row").withColumn("part", F.spark_partition_id()),
-        "dealt",
-    )
-    totals = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    order = [F.col("page_id").asc_nulls_first(), F.col("leaf"), F.col("row")]
+    # written in order, with the partition's number and the place in it as one id, so that numbering needs no further shuffle
+    dealt = materialize(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()), "dealt")
+    part = F.shiftright("id", 33)
+    totals = dealt.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     starts = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("part").orderBy(F.col("page_id").asc_nulls_first(), "leaf", "row")) - 1
+    inside = F.col("id") - F.shiftleft("part", 33)
     # one row per partition
-    return dealt.withColumn("inside", inside).join(F.broadcast(starts), "part").select(
-        "page_id", (F.col("start") + F.col("inside")).alias("position"), "length", "leaf", *text
+    out = dealt.withColumn("part", part).join(F.broadcast(materialize(starts, "starts")), "part").select(
+        "page_id", (F.col("start") + inside).alias("position"), "length", "leaf", *text
     )
+    return holding(out, dealt)
 
 
 def with_offsets(records: DataFrame, per_file: int = PER_FILE) -> DataFrame:
@@ -249,29 +258,48 @@ def fixity_audit(pages: DataFrame, replica: DataFrame, per_file: int = PER_FILE,
     return compare(mine, other if "file" in other.columns else materialize(with_offsets(other, per_file), "placed"), fan_out)
 
 
+def _altered(record: Column) -> Column:
+    return F.replace(record, F.lit(f"WARC-Date: {DATE}"), F.lit(f"WARC-Date: X{DATE[1:]}"))
+
+
 def damaged_records(records: DataFrame) -> DataFrame:
-    """The records (page_id, position, record) of a drill, by position: the 8th of every 103 lost, a header byte of each 97th altered,
-    the 51st of every 101 holding its neighbour's bytes, and a copy of the 22nd of every 107 added at the end under another page_id."""
+    """What a drill makes of records (page_id, position, record): page_id, position, record, sides (0 own, 1 damaged replica) and altered (on side 1).
+
+    The 8th of every 103 is lost, a header byte of each 97th altered, the 51st of every 101 holds its neighbour's bytes, and a copy
+    of the 22nd of every 107 is added at the end under another page_id. A record that both replicas hold is one row.
+    """
     p = F.col("position")
     lost, hit, swapped = p % 103 == 7, p % 97 == 13, p % 101 == 50
-    own = ["page_id", "position", "record"]
-    stay = records.where(~lost)
-    kept = stay.where(~swapped | hit).withColumn("record", F.when(hit, F.expr(f"replace(record, 'WARC-Date: {DATE}', 'WARC-Date: X{DATE[1:]}')")).otherwise(F.col("record")))
+    own = records.select(
+        "page_id", "position", "record",
+        F.when(lost | (swapped & ~hit), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))).alias("sides"), hit.alias("altered"),
+    )
+    # one record in a hundred each
     donors = records.where(p % 101 == 51).select((p - 1).alias("position"), F.col("record").alias("other"))
-    taken = stay.where(swapped & ~hit).join(donors, "position", "left").withColumn("record", F.coalesce("other", F.lit("")))
+    taken = records.where(swapped & ~hit & ~lost).select("page_id", "position").join(donors, "position", "left").select("page_id", "position", F.coalesce("other", F.lit("")).alias("record"))
     added = records.where(p % 107 == 21).select((-1 - F.coalesce("page_id", F.lit(0))).alias("page_id"), (F.floor(p / 107) + records.count()).alias("position"), "record")
-    return kept.select(own).unionByName(taken.select(own)).unionByName(added)
+    more = taken.unionByName(added).select("*", F.array(F.lit(1)).alias("sides"), F.lit(False).alias("altered"))
+    return own.unionByName(more)
 
 
 def drill(pages: DataFrame, per_file: int = PER_FILE, fan_out: int = FAN_OUT) -> DataFrame:
     """Write pages as a replica and as a damaged one, read the bytes of both back, and compare them."""
     spark = pages.sparkSession
-    records = materialize(ordered(pages, carry=True).select("page_id", "position", "record"), "ordered")
+    placed = ordered(pages, carry=True)
+    records = placed.select("page_id", "position", "record")
+    rows = damaged_records(records)
+    path = scratch_path(spark, "replicas")
+    # records are dealt to their files once, for both replicas
+    dealt = rows.withColumn("file", F.floor(F.col("position") / per_file)).repartition("file")
+    value = F.when(F.col("altered") & (F.col("side") == 1), _altered(F.col("record"))).otherwise(F.col("record")).alias("value")
+    _write_files(dealt.withColumn("side", F.explode("sides")).select("side", "file", "position", value), f"{path}/files", ["side", "file"])
     sides = []
-    for name, side in (("replica", records), ("damaged", damaged_records(records))):
-        path = scratch_path(spark, name)
-        write_replica(side, path, per_file)
-        sides.append(materialize(read_replica(spark, path), "read"))
+    for side in (0, 1):
+        _write_index(rows.where(F.array_contains("sides", side)), f"{path}/index/side={side}", per_file)
+    release(placed)
+    for side in (0, 1):
+        sides.append(materialize(read_replica(spark, path, f"/side={side}"), "read"))
+    drop(spark, f"{path}/files")
     return compare(*sides, fan_out)
 
 
