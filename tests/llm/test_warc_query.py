@@ -18,12 +18,12 @@ def test_the_query_reads_what_it_wrote(spark, tmp_path):
 
 def test_unlike_branches_only_are_read(spark):
     rows = spark.range(40_000).select(F.col("id").alias("page_id"), F.lit(9).cast("long").alias("length"), F.sha2(F.col("id").cast("string"), 256).alias("leaf"))
-    levels = warc.tree(rows, 40_000)
-    plan = warc.inside(levels[0], [7, 9])._jdf.queryExecution().executedPlan().toString()
+    levels = warc.tree(rows, 40_000, 16)
+    plan = warc.inside(levels[0], [7, 9], 16)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "GreaterThanOrEqual(node,144)" in plan
     files = sorted((x.a, x.b) for x in levels[0].groupBy(F.input_file_name()).agg(F.min("node").alias("a"), F.max("node").alias("b")).collect())
     assert all(x[1] < y[0] for x, y in zip(files, files[1:], strict=False))
-    assert warc.inside(levels[0], [7, 9]).where("node NOT BETWEEN 112 AND 127 AND node NOT BETWEEN 144 AND 159").count() == 0
-    other = warc.tree(rows.withColumn("leaf", F.when(F.col("page_id") == 123, "x").otherwise(F.col("leaf"))), 40_000)
-    (one,) = warc.differences(levels, other).collect()
+    assert warc.inside(levels[0], [7, 9], 16).where("node NOT BETWEEN 112 AND 127 AND node NOT BETWEEN 144 AND 159").count() == 0
+    other = warc.tree(rows.withColumn("leaf", F.when(F.col("page_id") == 123, "x").otherwise(F.col("leaf"))), 40_000, 16)
+    (one,) = warc.differences(levels, other, 16).collect()
     assert one.node == rows.where("page_id = 123").select(warc._bucket(40_000).alias("b")).first().b
