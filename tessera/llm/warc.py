@@ -22,6 +22,7 @@ import gzip
 import hashlib
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pyarrow as pa
@@ -99,16 +100,20 @@ def _write_files(rows: DataFrame, path: str, folders: list[str]) -> None:
     ).option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
-def _write_index(records: DataFrame, path: str, per_file: int) -> None:
-    slots = records.select("page_id", "position", (F.octet_length("record") + 4).cast("long").alias("length"))
-    with_offsets(slots, per_file).write.parquet(path)
+def _write_index(slots: DataFrame, path: str, per_file: int) -> None:
+    """slots: page_id, position, length (bytes and separator)."""
+    with_offsets(slots.select("page_id", "position", "length"), per_file).write.parquet(path)
 
 
 def write_replica(records: DataFrame, path: str, per_file: int = PER_FILE) -> None:
     """Write records (page_id, position, record) as packed WARC files below path/files and the index of their slots as path/index."""
     placed = records.select(F.floor(F.col("position") / per_file).alias("file"), "position", F.col("record").alias("value")).repartition("file")
     _write_files(placed, f"{path}/files", ["file"])
-    _write_index(records, f"{path}/index", per_file)
+    _write_index(records.withColumn("length", _length()), f"{path}/index", per_file)
+
+
+def _length() -> Column:
+    return (F.octet_length("record") + 4).cast("long")
 
 
 def read_replica(spark: SparkSession, path: str, side: str = "") -> DataFrame:
@@ -131,7 +136,7 @@ def ordered(pages: DataFrame, partitions: int | None = None, carry: bool = False
             record(F.col("url").cast("string"), F.col("html").cast("string")).alias("record"),
             F.monotonically_increasing_id().alias("row"),
         ).select(
-            "page_id", "row", (F.octet_length("record") + 4).cast("long").alias("length"), F.sha2(F.col("record").cast("binary"), 256).alias("leaf"), *text
+            "page_id", "row", _length().alias("length"), F.sha2(F.col("record").cast("binary"), 256).alias("leaf"), *text
         )
     )
     # equal pages are told apart by row alone, so a page_id that repeats can't fill one partition
@@ -263,43 +268,62 @@ def _altered(record: Column) -> Column:
 
 
 def damaged_records(records: DataFrame) -> DataFrame:
-    """What a drill makes of records (page_id, position, record): page_id, position, record, sides (0 own, 1 damaged replica) and altered (on side 1).
+    """What a drill makes of records (page_id, position, length, record): these columns, sides (0 own, 1 damaged replica) and altered (on side 1).
 
     The 8th of every 103 is lost, a header byte of each 97th altered, the 51st of every 101 holds its neighbour's bytes, and a copy
     of the 22nd of every 107 is added at the end under another page_id. A record that both replicas hold is one row.
     """
     p = F.col("position")
     lost, hit, swapped = p % 103 == 7, p % 97 == 13, p % 101 == 50
+    held = ["page_id", "position", "length", "record"]
     own = records.select(
-        "page_id", "position", "record",
-        F.when(lost | (swapped & ~hit), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))).alias("sides"), hit.alias("altered"),
-    )
+        *held, F.when(lost | (swapped & ~hit), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))).alias("sides"), hit.alias("altered")
+    )
     # one record in a hundred each
-    donors = records.where(p % 101 == 51).select((p - 1).alias("position"), F.col("record").alias("other"))
-    taken = records.where(swapped & ~hit & ~lost).select("page_id", "position").join(donors, "position", "left").select("page_id", "position", F.coalesce("other", F.lit("")).alias("record"))
-    added = records.where(p % 107 == 21).select((-1 - F.coalesce("page_id", F.lit(0))).alias("page_id"), (F.floor(p / 107) + records.count()).alias("position"), "record")
+    donors = records.where(p % 101 == 51).select((p - 1).alias("position"), F.col("length").alias("size"), F.col("record").alias("other"))
+    taken = records.where(swapped & ~hit & ~lost).select("page_id", "position").join(donors, "position", "left").select(
+        "page_id", "position", F.coalesce("size", F.lit(4)).cast("long").alias("length"), F.coalesce("other", F.lit("")).alias("record")
+    )
+    added = records.where(p % 107 == 21).select(
+        (-1 - F.coalesce("page_id", F.lit(0))).alias("page_id"), (F.floor(p / 107) + records.count()).alias("position"), "length", "record"
+    )
     more = taken.unionByName(added).select("*", F.array(F.lit(1)).alias("sides"), F.lit(False).alias("altered"))
     return own.unionByName(more)
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Has the shuffle files of each query inside dropped as it ends; none of these queries is run again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def drill(pages: DataFrame, per_file: int = PER_FILE, fan_out: int = FAN_OUT) -> DataFrame:
-    """Write pages as a replica and as a damaged one, read the bytes of both back, and compare them."""
+    """Write pages as a replica and as a damaged one, read the bytes of both back, and compare them.
+
+    One replica after the other is written, read and dropped, so the shared folder never holds both.
+    """
     spark = pages.sparkSession
-    placed = ordered(pages, carry=True)
-    records = placed.select("page_id", "position", "record")
-    rows = damaged_records(records)
-    path = scratch_path(spark, "replicas")
-    # records are dealt to their files once, for both replicas
-    dealt = rows.withColumn("file", F.floor(F.col("position") / per_file)).repartition("file")
-    value = F.when(F.col("altered") & (F.col("side") == 1), _altered(F.col("record"))).otherwise(F.col("record")).alias("value")
-    _write_files(dealt.withColumn("side", F.explode("sides")).select("side", "file", "position", value), f"{path}/files", ["side", "file"])
     sides = []
-    for side in (0, 1):
-        _write_index(rows.where(F.array_contains("sides", side)), f"{path}/index/side={side}", per_file)
-    release(placed)
-    for side in (0, 1):
-        sides.append(materialize(read_replica(spark, path, f"/side={side}"), "read"))
-    drop(spark, f"{path}/files")
+    with _shuffles_dropped(spark):
+        placed = ordered(pages, carry=True)
+        rows = damaged_records(placed.select("page_id", "position", "length", "record"))
+        path = scratch_path(spark, "replicas")
+        for side in (0, 1):
+            own = rows.where(F.array_contains("sides", side))
+            value = F.when(F.col("altered"), _altered(F.col("record"))).otherwise(F.col("record")) if side else F.col("record")
+            dealt = own.select(F.floor(F.col("position") / per_file).alias("file"), "position", value.alias("value")).repartition("file")
+            _write_files(dealt, f"{path}/files/side={side}", ["file"])
+            _write_index(own, f"{path}/index/side={side}", per_file)
+            if side:
+                release(placed)
+            sides.append(materialize(read_replica(spark, path, f"/side={side}"), "read"))
+            drop(spark, f"{path}/files/side={side}")
     return compare(*sides, fan_out)
 
 
