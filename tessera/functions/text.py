@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tessera.schemas import ZERO, ZERO_SIGN
+from tessera.schemas import EVENT_MENTION, ZERO, ZERO_SIGN
 from tessera.scratch import ship
 
 ship(__name__)
@@ -273,3 +273,19 @@ def label_map(s: Column | str, names: dict[str, str]) -> Column:
 
 def utc_now_iso() -> Column:
     return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def fixed(x: Column | str, digits: int) -> Column:
+    """A number with so many decimals, rounded half to even on its exact binary value; nan and inf in small letters."""
+    c = col(x).cast("double")
+    text = F.call_function("format_number", c, F.lit("0." + "0" * digits if digits else "0"))
+    return F.when(F.isnan(c), "nan").when(F.abs(c) == float("inf"), F.when(c > 0, "inf").otherwise("-inf")).otherwise(text)
+
+
+def event_end(start: Column | str, trigger: Column | str) -> Column:
+    """The last character of a trigger."""
+    return col(start) + F.length(col(trigger)) - 1
+
+
+def is_explicit_event(mention_type: Column | str, semantics: Column | str) -> Column:
+    return F.coalesce((col(mention_type) == EVENT_MENTION) & (col(semantics) == "EVENT"), F.lit(False))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
-from tessera.scratch import materialize
+from tessera.scratch import materialize, ship
+
+ship(__name__)
 
 
 def sentence_offsets(document: Column, sentences: Column) -> Column:
@@ -91,6 +96,30 @@ def pack_predictions(scores: DataFrame) -> DataFrame:
     )
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def event_clusters(n: pd.Series, labels: pd.Series) -> pd.Series:
+    """Per document of n events the cluster of each, named by its first event: pairs labelled 1 are joined, in (i, j) order. labels: as pack_predictions() packs them."""
+
+    def one(size: int, packed: list[int]) -> list[int]:
+        if len(packed) != size * (size - 1) // 2:
+            raise ValueError(f"{len(packed)} labels for {size} events")
+        first, second = np.triu_indices(size, 1)
+        root = list(range(size))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for k in np.flatnonzero(np.asarray(packed, dtype="int64") == 1):
+            a, b = find(int(first[k])), find(int(second[k]))
+            root[max(a, b)] = min(a, b)
+        return [find(x) for x in range(size)]
+
+    return pd.Series([one(*x) for x in zip(n, labels, strict=True)])
+
+
 def filter_summary(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
     """Per split: raw and filtered events, removed, conflicts left."""
     left = conflicts(after).groupBy("doc_id").agg(F.count("*").alias("c"))

@@ -8,8 +8,17 @@ sentence gap a residual condition bounds them instead.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+
+from tessera.scratch import ship
+
+ship(__name__)
 
 BLOCK = 512
 
@@ -189,3 +198,24 @@ def resolve_doc_keys(keys: DataFrame, known: DataFrame, rule: str = "exact_or_st
             F.when(F.col("doc_id").isNotNull(), F.when(F.col("is_exact"), "000").otherwise(F.format_string("%03d", tail.cast("int")))).alias("part"),
         )
     return resolved.select("raw_key", "doc_id")
+
+
+def self_pairs(scores: DataFrame) -> DataFrame:
+    """Scores of a span with itself (s1, t1, s2, t2), which no pair may be."""
+    return scores.where((F.col("s1") == F.col("s2")) & (F.col("t1") == F.col("t2")))
+
+
+def score_pairs(pairs: DataFrame, score: Callable[[pd.DataFrame], np.ndarray], threshold: float = 0.5) -> DataFrame:
+    """pairs with p (probability of a link) and pred (p >= threshold), batch by batch in the workers.
+
+    score: a batch of pairs to one probability a row, or to two logits a row (no link, link), of which the softmax is taken.
+    """
+    columns = pairs.columns
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            raw = np.asarray(score(part), dtype="float64")
+            p = raw if raw.ndim == 1 else 1 / (1 + np.exp(np.clip(raw[:, 0] - raw[:, 1], -700, 700)))
+            yield part[columns].assign(p=p, pred=p >= threshold)
+
+    return pairs.mapInPandas(run, StructType([*pairs.schema.fields, StructField("p", DoubleType()), StructField("pred", BooleanType())]))

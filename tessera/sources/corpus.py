@@ -54,9 +54,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id of an id list: trimmed, blank lines left out."""
-    return spark.read.text(path).select(F.trim("value").alias("doc_id")).where("doc_id <> ''")
+def read_ids(spark: SparkSession, path: str, unique: bool = False) -> DataFrame:
+    """doc_id of an id list: trimmed, blank lines left out. With unique an id that stands twice raises."""
+    ids = spark.read.text(path).select(F.trim("value").alias("doc_id")).where("doc_id <> ''")
+    if unique and (twice := ids.groupBy("doc_id").count().where("count > 1").limit(10).collect()):
+        raise ValueError(f"ids that stand more than once: {sorted(r.doc_id for r in twice)}")
+    return ids
 
 
 def read_splits(spark: SparkSession, paths: dict[str, str], schema: str = S.DOCUMENT) -> DataFrame:
