@@ -38,8 +38,8 @@ def normalize_space(s, d):
 
 
 def char_tokenize(s, d):
-    b = V.table(s, d, "benchmark")
-    return b.select("item_id", F.posexplode(T.char_tokens("text")).alias("token_id", "c")).select("item_id", "token_id", F.col("c.char_index").alias("char_index"), F.col("c.token").alias("token"))
+    tokens = _docs(s, d).select("doc_id", F.posexplode(T.char_tokens("text")).alias("token_id", "c")).select("doc_id", "token_id", "c.char_index", "c.token")
+    return V.digest(tokens, "token_id", "char_index", "token")
 
 
 def ngram_counts(s, d):
@@ -221,7 +221,14 @@ PLANS = {
     "first_sentence": (first_sentence, "SELECT doc_id, substring(regexp_extract(text, '^[^。！？!?]*[。！？!?]?'), 1, 180) AS first_sentence FROM documents"),
     "sentence_split": (sentence_split, "SELECT doc_id, unnest(range(0, len(a)))::INT AS k, md5(unnest(a)) AS sentence_md5 FROM (SELECT doc_id, regexp_extract_all(text, '[^。！？!?；;]+[。！？!?；;]?') AS a FROM documents)"),
     "normalize_space": (normalize_space, f"SELECT doc_id, md5({_CLEAN}) AS clean_md5, length({_CLEAN})::INT AS n FROM documents"),
-    "char_tokenize": (char_tokenize, f"SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY i) - 1)::INT AS token_id, (i - 1)::INT AS char_index, substring(text, i, 1) AS token FROM (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS i FROM benchmark) WHERE NOT regexp_matches(substring(text, i, 1), '{WS}')"),
+    "char_tokenize": (
+        char_tokenize,
+        V.digest_sql(
+            f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS token_id, i - 1 AS char_index, token FROM (
+            SELECT doc_id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS token FROM (SELECT doc_id, string_split(text, '') AS a FROM documents)) WHERE NOT regexp_matches(token, '{WS}')""",
+            "token_id", "char_index", "token",
+        ),
+    ),
     "ngram_counts": (
         ngram_counts,
         f"""SELECT doc_id, len(list_distinct(list_transform(range(1, length(t) - 5), lambda i: substring(t, i, 7))))::INT AS n_grams7,
