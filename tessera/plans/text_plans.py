@@ -47,8 +47,7 @@ def ngram_counts(s, d):
 
 
 def simhash_signature(s, d):
-    b = V.table(s, d, "benchmark")
-    return b.select("item_id", T.simhash("text").alias("sig"))
+    return _docs(s, d).select("doc_id", T.simhash("text").alias("sig"))
 
 
 def jaccard7_pairs(s, d):
@@ -234,7 +233,11 @@ PLANS = {
         f"""SELECT doc_id, len(list_distinct(list_transform(range(1, length(t) - 5), lambda i: substring(t, i, 7))))::INT AS n_grams7,
         len(list_distinct(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))))::INT AS n_grams3 FROM (SELECT doc_id, {_CLEAN} AS t FROM documents)""",
     ),
-    "simhash_signature": (simhash_signature, f"SELECT item_id, {_signed('sig')} AS sig FROM (SELECT item_id, {SIMHASH} AS sig FROM (SELECT item_id, list_transform(range(1, length(t) - 1), lambda i: {_HASH.replace('(x)', '(substring(t, i, 3))')}) AS hs FROM (SELECT item_id, {_CLEAN} AS t FROM benchmark)))"),
+    "simhash_signature": (
+        simhash_signature,
+        f"""SELECT doc_id, {_signed('sig')} AS sig FROM (SELECT doc_id, {SIMHASH} AS sig FROM (
+        SELECT doc_id, list_transform(range(1, len(a) - 1), lambda i: {_HASH.replace('(x)', '(a[i] || a[i + 1] || a[i + 2])')}) AS hs FROM (SELECT doc_id, string_split({_CLEAN}, '') AS a FROM documents)))""",
+    ),
     "exact_copies": (exact_copies, f"WITH {GRAMS} SELECT doc_id, rep FROM m"),
     "jaccard7_pairs": (jaccard7_pairs, None),
     "simhash_pairs": (simhash_pairs, None),
