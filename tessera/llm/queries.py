@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, jaccard, license, mil, mixing, neardup, rules, shard, spans, warc
+from tessera.llm import bpe, codes, jaccard, license, mil, mixing, neardup, rules, shard, spans, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(_table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,6 +75,7 @@ def queries() -> dict:
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_license_scan": op10_license_scan,
+        "op12_vector_codes": op12_vector_codes,
         "pipeline": pipeline,
     }
 
@@ -84,4 +89,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_warc_fixity_audit": warc.SQL,
         "op8_embedding_near_dedup": neardup.SQL,
         "op10_license_scan": license.SQL,
+        "op12_vector_codes": codes.SQL,
     }
