@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, codes, jaccard, license, mil, mixing, neardup, rules, shard, spans, warc
+from tessera.llm import bpe, codes, convs, jaccard, license, mil, mixing, neardup, rules, shard, spans, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.vector_codes(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convs.conversation_repair(_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,6 +80,7 @@ def queries() -> dict:
         "op9_substring_dedup": op9_substring_dedup,
         "op10_license_scan": op10_license_scan,
         "op12_vector_codes": op12_vector_codes,
+        "op13_conversation_repair": op13_conversation_repair,
         "pipeline": pipeline,
     }
 
@@ -90,4 +95,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_embedding_near_dedup": neardup.SQL,
         "op10_license_scan": license.SQL,
         "op12_vector_codes": codes.SQL,
+        "op13_conversation_repair": convs.SQL,
     }
