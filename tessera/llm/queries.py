@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, codes, convs, jaccard, license, mil, mixing, neardup, rules, shard, spans, warc
+from tessera.llm import bpe, codes, convs, jaccard, license, mil, mixing, neardup, private, rules, shard, spans, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.vector_codes(_table(spark, sf_dir, "embeddings"))
 
@@ -79,6 +83,7 @@ def queries() -> dict:
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_license_scan": op10_license_scan,
+        "op11_personal_data": op11_personal_data,
         "op12_vector_codes": op12_vector_codes,
         "op13_conversation_repair": op13_conversation_repair,
         "pipeline": pipeline,
