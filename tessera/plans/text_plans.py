@@ -51,20 +51,25 @@ def simhash_signature(s, d):
 
 
 def jaccard7_pairs(s, d):
-    return D.jaccard_pairs(D.representatives(_docs(s, d))[1])
+    return D.by_document(D.jaccard_pairs(D.representatives(_docs(s, d))[1]), "jaccard")
 
 
 def simhash_pairs(s, d):
-    return D.simhash_pairs(D.representatives(_docs(s, d))[1])
+    return D.by_document(D.simhash_pairs(D.representatives(_docs(s, d))[1]), "hamming", F.min)
+
+
+def simhash_links(s, d):
+    links = D.simhash_links(D.representatives(_docs(s, d))[1])
+    return links.select("rep.doc_id", "n_links", F.col("earlier.doc_id").alias("earlier"))
 
 
 def exact_copies(s, d):
-    return D.representatives(_docs(s, d))[0]
+    return D.representatives(_docs(s, d))[0].select("doc_id", F.col("rep.doc_id").alias("rep"))
 
 
 def neardup_flag(s, d):
     members, reps = D.representatives(_docs(s, d))
-    return D.earlier_duplicate(members, D.similar_pairs(reps))
+    return D.earlier_duplicate(members, D.late_representatives(reps))
 
 
 def neardup_greedy(s, d):
@@ -208,6 +213,15 @@ def _signed(x: str) -> str:
     return f"CASE WHEN {x} >= 9223372036854775808::UBIGINT THEN ({x}::HUGEINT - 18446744073709551616)::BIGINT ELSE {x}::BIGINT END"
 
 
+#: Shared 7-grams of two representatives, and the SimHash signatures of all and the pairs within 8 bits.
+JACCARD = """x AS MATERIALIZED (SELECT rep, gram FROM g), c AS (SELECT rep, count(*) AS n FROM x GROUP BY rep),
+p AS (SELECT a.rep AS doc_a, b.rep AS doc_b, count(*) AS shared FROM x a JOIN x b ON a.gram = b.gram AND a.rep < b.rep GROUP BY ALL),
+j AS MATERIALIZED (SELECT doc_a, doc_b, shared / (ca.n + cb.n - shared)::DOUBLE AS jaccard FROM p JOIN c ca ON ca.rep = doc_a JOIN c cb ON cb.rep = doc_b WHERE shared >= 0.32 * (ca.n + cb.n - shared))"""
+NEAR = f"""s AS MATERIALIZED (SELECT rep, coalesce({SIMHASH}, 0::UBIGINT) AS sig FROM (SELECT rep, list_transform(range(1, len(a) - 1), lambda i: {_HASH.replace('(x)', '(a[i] || a[i + 1] || a[i + 2])')}) AS hs
+  FROM (SELECT rep, string_split(t, '') AS a FROM m WHERE doc_id = rep))),
+h AS MATERIALIZED (SELECT a.rep AS a, b.rep AS b, bit_count(xor(a.sig, b.sig))::INT AS hamming FROM s a JOIN s b ON a.rep < b.rep WHERE bit_count(xor(a.sig, b.sig)) <= 8)"""
+
+
 QUOTA = """n AS (SELECT lang AS domain, count(*) AS have FROM documents GROUP BY lang), dom(domain, place) AS (VALUES ('en', 0), ('fr', 1), ('de', 2), ('es', 3), ('zh', 4)),
 q AS (SELECT domain, place, coalesce(have, 0) AS have, greatest(0, 700 - coalesce(have, 0))::BIGINT AS gap FROM dom LEFT JOIN n USING (domain)),
 u AS (SELECT domain, place, unnest(range(1, gap + 1)) AS turn FROM q), k AS (SELECT domain, count(*) AS target FROM (SELECT * FROM u ORDER BY turn, place LIMIT 900) GROUP BY domain),
@@ -239,10 +253,22 @@ PLANS = {
         SELECT doc_id, list_transform(range(1, len(a) - 1), lambda i: {_HASH.replace('(x)', '(a[i] || a[i + 1] || a[i + 2])')}) AS hs FROM (SELECT doc_id, string_split({_CLEAN}, '') AS a FROM documents)))""",
     ),
     "exact_copies": (exact_copies, f"WITH {GRAMS} SELECT doc_id, rep FROM m"),
-    "jaccard7_pairs": (jaccard7_pairs, None),
-    "simhash_pairs": (simhash_pairs, None),
-    "neardup_flag": (neardup_flag, None),
-    "neardup_greedy": (neardup_greedy, None),
+    "jaccard7_pairs": (jaccard7_pairs, f"WITH {GRAMS}, {JACCARD} SELECT doc_a, doc_b, jaccard FROM j"),
+    "simhash_pairs": (simhash_pairs, f"WITH {GRAMS}, {NEAR} SELECT a AS doc_a, b AS doc_b, hamming FROM h"),
+    "simhash_links": (
+        simhash_links,
+        f"WITH {GRAMS}, {NEAR} SELECT s.rep AS doc_id, count(h.a) AS n_links, min(h.a) FILTER (WHERE h.b = s.rep) AS earlier FROM s LEFT JOIN h ON s.rep IN (h.a, h.b) GROUP BY s.rep",
+    ),
+    "neardup_flag": (neardup_flag, f"WITH {GRAMS}, {JACCARD}, {NEAR} SELECT doc_id, doc_id <> rep OR rep IN (SELECT doc_b FROM j UNION ALL SELECT b FROM h) AS is_dup FROM m"),
+    "neardup_greedy": (
+        neardup_greedy,
+        f"""WITH RECURSIVE {GRAMS}, {JACCARD}, {NEAR}, e AS MATERIALIZED (SELECT doc_a, doc_b FROM j UNION SELECT a, b FROM h),
+        n AS MATERIALIZED (SELECT doc_b AS node, list(doc_a) AS before, row_number() OVER (ORDER BY doc_b) AS k FROM e GROUP BY doc_b),
+        w AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gone UNION ALL
+          SELECT n.k, CASE WHEN len(list_filter(n.before, lambda x: NOT list_contains(w.gone, x))) > 0 THEN list_append(w.gone, n.node) ELSE w.gone END FROM w JOIN n ON n.k = w.k + 1),
+        o AS (SELECT unnest(gone) AS node FROM (SELECT gone FROM w ORDER BY k DESC LIMIT 1))
+        SELECT doc_id, doc_id = rep AND rep NOT IN (SELECT node FROM o) AS accepted FROM m""",
+    ),
     "benchmark_overlap": (
         benchmark_overlap,
         f"""WITH a AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, length(t) - 5), lambda i: substring(t, i, 7)))) AS gram FROM (SELECT doc_id, {_CLEAN} AS t FROM documents)),
