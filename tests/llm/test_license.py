@@ -30,7 +30,7 @@ def test_full_texts_wrapped_and_commented(spark):
     assert [got[i][1] for i in range(3)] == ["Apache-2.0", "MIT", "GPL-3.0"]
     assert got[0][0].startswith("apache-2-notice") and got[0][0].endswith("apache-2-as-is,apache-2-see")
     assert got[1][0] == "mit-title,mit-grant,mit-keep,as-is"
-    assert got[2][0] == "gpl-3-free,gpl-hope,gpl-see"
+    assert got[2][0] == "gpl-3-later,gpl-hope,gpl-see"
 
 
 def test_notices_and_order(spark):
@@ -68,9 +68,9 @@ def test_ordered_rules_of_further_licenses(spark):
     texts = {
         f"Copyright. All rights reserved.\n\n{two}": "BSD-2-Clause",
         f"Copyright. All rights reserved.\n\n{two}\n3. {s['bsd-endorse']}.\n": "BSD-3-Clause",
-        f"{s['lgpl-2.1-free']}.\n{s['lgpl-hope']}.": "LGPL-2.1",
-        f"{s['agpl-3-free']}.\n\n{s['gpl-hope']}.": "AGPL-3.0",
-        f"{s['gpl-2-free']}.\n\n{s['gpl-hope']}.": "GPL-2.0",
+        f"{s['lgpl-2.1-later']}.\n{s['gpl-hope']}.": "LGPL-2.1",
+        f"{s['agpl-3-later']}.\n\n{s['gpl-hope']}.": "AGPL-3.0",
+        f"{s['gpl-2-later']}.\n\n{s['gpl-hope']}.": "GPL-2.0",
         f"{s['isc-grant']}.\n\n{s['isc-as-is']}.": "ISC",
         f"{s['isc-as-is']}.\n\n{s['isc-grant']}.": "",
         f"{s['zlib-as-is']}.\n{s['zlib-grant']}:": "Zlib",
@@ -82,5 +82,83 @@ def test_ordered_rules_of_further_licenses(spark):
     assert [got[i][1] for i in range(len(texts))] == list(texts.values())
 
 
+BSD = """Copyright (c) 2011, {holder}. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+   * Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer.
+   * Redistributions in binary form must reproduce the above
+copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the
+distribution.
+{advert}   * Neither the name of {holder} nor the names of its
+contributors may be used to endorse or promote products derived from
+this software without specific prior written permission.
+"""
+ADVERT = """   * All advertising materials mentioning features or use of this software
+must display the following acknowledgement: This product includes software
+developed by the Regents and others.
+"""
+LGPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU Lesser General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    Frobnicator is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU Lesser General Public License for more details."""
+APACHE_HEAD = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions."""
+GPL_HEAD = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed."""
+
+
+def test_names_are_slots_and_clauses_are_told_apart(spark):
+    texts = [
+        BSD.format(holder="Google Inc.", advert=""),
+        BSD.format(holder="the Regents", advert=ADVERT),
+        LGPL,
+        "This program is not licensed under the GNU General Public License, version 3.",
+        APACHE_HEAD,
+        "Copyright 2020 Acme. All rights reserved.",
+        GPL_HEAD,
+        "Frobnicator is free software.",
+    ]
+    got = run(spark, texts)
+    assert [got[i][1] for i in range(len(texts))] == ["BSD-3-Clause", "BSD-4-Clause", "LGPL-3.0", "", "Apache-2.0", "Proprietary", "GPL-3.0", ""]
+
+
+def test_later_versions_are_told_apart(spark):
+    head = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"
+    texts = [f"{head}; either version 2 of the License, or (at your option) any later version.", f"{head}; version 2 of the License.", "SPDX-License-Identifier: GPL-3.0-or-later", "Licensed under the GPLv3.", GPL_HEAD, "// SPDX-License-Identifier: MIT"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: (x.licenses, x.spdx) for x in scan.scan(docs).collect()}
+    want = [("GPL-2.0", "GPL-2.0-or-later"), ("GPL-2.0", "GPL-2.0-only"), ("GPL-3.0", "GPL-3.0-or-later"), ("GPL-3.0", "GPL-3.0-only"), ("GPL-3.0", "GPL-3.0"), ("MIT", "MIT")]
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_sql_and_scan_agree_on_ordered_rules(spark):
+    import duckdb
+    import pandas as pd
+
+    docs = pd.DataFrame({"doc_id": range(9), "text": [APACHE, MIT, GPL, BSD.format(holder="A. B. and others", advert=""), BSD.format(holder="X", advert=ADVERT), LGPL, APACHE_HEAD, GPL_HEAD, "none"]})
+    con = duckdb.connect()
+    con.register("documents", docs)
+    want = sorted(map(tuple, con.execute(scan.SQL).fetchall()))
+    assert sorted(map(tuple, scan.scan(spark.createDataFrame(docs)).collect())) == want and sum(x[2] != "" for x in want) == 8
+
+
 def test_empty_table(spark):
     assert scan.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
