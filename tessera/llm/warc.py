@@ -3,17 +3,26 @@
 Records stand in an order and have offset ranges. They are numbered by a
 distributed prefix count; ``per_file`` records make a file. A replica is WARC
 files and an index of its slots (page_id, position, file, offset, length); what
-is audited are the hashes of the bytes read back. Records are keyed by page_id:
-the hashes of a bucket of keys make a leaf, ``fan_out`` consecutive nodes a node
-of the next level, and so on up to one root. So a lost or added record changes
-its own branch only. The audit compares the two roots and descends only into
-children whose hashes differ, and ends at the records that are corrupt, missing
-or surplus: within a page_id equal records cancel out, the rest are paired as
-corrupt, and what has no counterpart is missing or surplus.
+is audited are the hashes of the bytes read back, in two trees. One is over the
+records: the hashes of a bucket of page_ids make a leaf, so a lost or added record
+changes its own branch only. The other is over ordered offset ranges: the records
+that begin in a stretch of ``RANGE_BYTES`` of a file, with their offsets and in
+their order, make a leaf, the ranges of a file a node, and ``fan_out`` consecutive
+files the next one. Above, ``fan_out`` nodes make a node, up to one root each. The
+audit compares the roots and descends only into children whose hashes differ.
+
+The first tree's differing leaves give the records that are corrupt, missing or
+surplus: within a page_id equal records cancel out, the rest are paired as
+corrupt, and what has no counterpart is missing or surplus. The second's give the
+records that are whole but moved: of the records in differing ranges that both
+replicas hold, another one stands before it. What a loss or an addition only
+shifts to other offsets isn't moved.
 
 Defined results: a null url or html counts as empty text; page_ids may be null or
 repeat (ordered by page_id, null first, then by the record's hash); equal rows are equal records;
-an empty table has no tree and no differences; further columns are ignored.
+a record in no slot of its replica's index has no page_id, so it is missing or
+surplus; an empty table has no tree and no differences; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +44,7 @@ from tessera.scratch import drop, materialize, release, scratch_path, ship, smal
 ship(__name__)
 
 PER_FILE, FAN_OUT = 256, 64
+RANGE_BYTES = 1 << 16
 #: So many differing branches at most are read by ranges of the stored level; beyond, most of the level differs and is scanned.
 RANGED = 256
 DATE = "2024-01-01T00:00:00Z"
@@ -240,8 +250,62 @@ def _unmatched(mine: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame]
     return a, b
 
 
+def range_tree(records: DataFrame, files: int, fan_out: int = FAN_OUT) -> tuple[DataFrame, list[DataFrame]]:
+    """(file, rng, hash of each ordered offset range; the levels from files to root). A range holds a bounded number of records, a file of ranges."""
+    inside = F.array_sort(F.collect_list(F.struct("offset", "length", "leaf")))
+    written = F.array_join(F.transform(inside, lambda r: F.concat_ws(":", r["offset"], r["length"], r["leaf"])), "|")
+    ranges = materialize(_ranged(records).groupBy("file", "rng").agg(F.sha2(written, 256).alias("hash")).orderBy("file", "rng"), "ranges")
+    own = F.array_sort(F.collect_list(F.struct("rng", "hash")))
+    whole = F.sha2(F.array_join(F.transform(own, lambda r: F.concat_ws(":", r["rng"], r["hash"])), "|"), 256)
+    levels = [materialize(ranges.groupBy(F.col("file").alias("node")).agg(whole.alias("hash")).orderBy("node"), "files")]
+    while files > 1:
+        levels.append(materialize(_parents(levels[-1], fan_out).orderBy("node"), "nodes"))
+        files = -(-files // fan_out)
+    return ranges, levels
+
+
+def _ranged(records: DataFrame) -> DataFrame:
+    return records.withColumn("file", F.coalesce("file", F.lit(0))).withColumn("rng", F.floor(F.col("offset") / RANGE_BYTES))
+
+
+def differing_ranges(mine: DataFrame, other: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
+    """file, rng of the offset ranges that differ. Descends from the roots."""
+    top = mine.select("file").unionByName(other.select("file")).agg(F.max("file")).first()[0] or 0
+    (a, ours), (b, theirs) = (range_tree(x, top + 1, fan_out) for x in (mine, other))
+    files = differences(ours, theirs, fan_out).select(F.col("node").alias("file"))
+    a, b = (x.join(files, "file", "left_semi").withColumnRenamed("hash", name) for x, name in ((a, "ours"), (b, "theirs")))
+    return a.join(b, ["file", "rng"], "full_outer").where(~F.col("ours").eqNullSafe(F.col("theirs"))).select("file", "rng")
+
+
+def _before(pairs: DataFrame, order: list[str], node: Column) -> DataFrame:
+    """node, before: the node that stands before each in this order. Rows are range-sorted; a partition's first row follows the last one of the part before."""
+    rows = pairs.select(node.alias("node"), *order)
+    dealt = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id()), "order")
+    placed = dealt.withColumn("part", F.shiftright("row", 33))
+    ends = placed.groupBy("part").agg(F.max_by("node", "row").alias("last"))
+    ends = ends.select("part", F.lag("last").over(Window.orderBy("part")).alias("last"))  # one row per partition
+    own = F.lag("node").over(Window.partitionBy("part").orderBy("row"))
+    return placed.withColumn("own", own).join(F.broadcast(ends), "part").select("node", F.coalesce("own", "last").alias("before"))
+
+
+def _moved(mine: DataFrame, other: DataFrame, ours: DataFrame, theirs: DataFrame, fan_out: int) -> DataFrame:
+    """file, offset of the records of mine that are whole and follow another record than in other; ours, theirs: what has no counterpart."""
+    bad = materialize(differing_ranges(mine, other, fan_out), "bad-ranges")
+    same = ["key", "length", "leaf"]
+    copy = F.row_number().over(Window.partitionBy(*same).orderBy("file", "offset"))
+    place = ["file", "offset"]
+    a, b = (
+        _ranged(x).join(bad, ["file", "rng"], "left_semi").join(lost, place, "left_anti").withColumn("key", _key()).select(*same, *place).withColumn("copy", copy)
+        for x, lost in ((mine, ours), (other, theirs))
+    )
+    pairs = materialize(a.join(b.withColumnsRenamed({"file": "their_file", "offset": "their_offset"}), [*same, "copy"]).select(*place, "their_file", "their_offset"), "pairs")
+    node = F.struct(*place)
+    here, there = _before(pairs, place, node), _before(pairs, ["their_file", "their_offset"], node).withColumnRenamed("before", "there")
+    return here.join(there, "node").where(~F.col("before").eqNullSafe(F.col("there"))).select("node.file", "node.offset", F.lit("moved").alias("status"))
+
+
 def compare(mine: DataFrame, other: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
-    """position, file, offset, length, page_id, leaf and status (intact, corrupt, missing, surplus) of each record of mine, and of surplus records of other.
+    """position, file, offset, length, page_id, leaf and status (intact, moved, corrupt, missing, surplus) of each record of mine, and of surplus records of other.
 
     Both: page_id, position (null without a slot), file, offset, length, leaf.
     """
@@ -251,9 +315,12 @@ def compare(mine: DataFrame, other: DataFrame, fan_out: int = FAN_OUT) -> DataFr
     ours, theirs = (materialize(x, "unmatched") for x in _unmatched(*inside))
     columns = ["position", "file", "offset", "length", "page_id", "leaf"]
     pair = ["key", "rank"]
-    lost = ours.join(theirs.select(*pair, F.lit("corrupt").alias("status")), pair, "left").select("position", F.coalesce("status", F.lit("missing")).alias("status"))
-    own = mine.join(lost, "position", "left").select(*columns, F.coalesce("status", F.lit("intact")).alias("status"))
-    return own.unionByName(theirs.join(ours.select(pair), pair, "left_anti").select(*columns, F.lit("surplus").alias("status")))
+    surplus = theirs.join(ours.select(pair), pair, "left_anti")
+    place = ["file", "offset"]
+    lost = ours.join(theirs.select(*pair, F.lit("corrupt").alias("status")), pair, "left").select(*place, F.coalesce("status", F.lit("missing")).alias("status"))
+    told = lost.unionByName(_moved(mine, other, ours.select(place), theirs.select(place), fan_out))
+    own = mine.join(told, place, "left").select(*columns, F.coalesce("status", F.lit("intact")).alias("status"))
+    return own.unionByName(surplus.select(*columns, F.lit("surplus").alias("status")))
 
 
 def fixity_audit(pages: DataFrame, replica: DataFrame, per_file: int = PER_FILE, fan_out: int = FAN_OUT) -> DataFrame:
@@ -270,24 +337,30 @@ def _altered(record: Column) -> Column:
 def damaged_records(records: DataFrame) -> DataFrame:
     """What a drill makes of records (page_id, position, length, record): these columns, sides (0 own, 1 damaged replica) and altered (on side 1).
 
-    The 8th of every 103 is lost, a header byte of each 97th altered, the 51st of every 101 holds its neighbour's bytes, and a copy
-    of the 22nd of every 107 is added at the end under another page_id. A record that both replicas hold is one row.
+    The 8th of every 103 is lost, a header byte of each 97th altered, the 51st of every 101 holds its neighbour's bytes, the 61st of
+    every 109 trades places with the next one where both are otherwise whole, and a copy of the 22nd of every 107 is added at the end
+    under another page_id. A record that both replicas hold in one place is one row.
     """
-    p = F.col("position")
+    p, n = F.col("position"), records.count()
     lost, hit, swapped = p % 103 == 7, p % 97 == 13, p % 101 == 50
+
+    def whole(q: Column) -> Column:
+        return (q % 103 != 7) & (q % 97 != 13) & (q % 101 != 50) & (q < n)
+
+    down, up = (p % 109 == 60) & whole(p) & whole(p + 1), (p % 109 == 61) & whole(p) & whole(p - 1)
     held = ["page_id", "position", "length", "record"]
-    own = records.select(
-        *held, F.when(lost | (swapped & ~hit), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))).alias("sides"), hit.alias("altered")
-    )
+    one = lost | (swapped & ~hit) | down | up
+    own = records.select(*held, F.when(one, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))).alias("sides"), hit.alias("altered"))
+    traded = records.where(down | up).select("page_id", F.when(down, p + 1).otherwise(p - 1).alias("position"), "length", "record")
     # one record in a hundred each
     donors = records.where(p % 101 == 51).select((p - 1).alias("position"), F.col("length").alias("size"), F.col("record").alias("other"))
     taken = records.where(swapped & ~hit & ~lost).select("page_id", "position").join(donors, "position", "left").select(
         "page_id", "position", F.coalesce("size", F.lit(4)).cast("long").alias("length"), F.coalesce("other", F.lit("")).alias("record")
     )
     added = records.where(p % 107 == 21).select(
-        (-1 - F.coalesce("page_id", F.lit(0))).alias("page_id"), (F.floor(p / 107) + records.count()).alias("position"), "length", "record"
+        (-1 - F.coalesce("page_id", F.lit(0))).alias("page_id"), (F.floor(p / 107) + n).alias("position"), "length", "record"
     )
-    more = taken.unionByName(added).select("*", F.array(F.lit(1)).alias("sides"), F.lit(False).alias("altered"))
+    more = taken.unionByName(added).unionByName(traded).select("*", F.array(F.lit(1)).alias("sides"), F.lit(False).alias("altered"))
     return own.unionByName(more)
 
 
@@ -348,8 +421,12 @@ r AS (SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response'
 l AS (SELECT page_id, (strlen(rec) + 4)::BIGINT AS length, sha256(rec) AS leaf FROM r),
 p AS (SELECT *, row_number() OVER (ORDER BY page_id NULLS FIRST, leaf) - 1 AS position FROM l),
 n AS (SELECT *, lead(leaf) OVER o AS next, lead(length) OVER o AS next_length FROM p WINDOW o AS (PARTITION BY position // 101 ORDER BY position)),
-mine AS (SELECT page_id, position, length, leaf,
-    CASE WHEN position % 103 = 7 THEN 'missing' WHEN position % 97 = 13 OR (position % 101 = 50 AND coalesce(next, '') <> leaf) THEN 'corrupt' ELSE 'intact' END AS status FROM n),
+d AS (SELECT *, position % 103 = 7 AS lost, position % 97 = 13 OR (position % 101 = 50 AND coalesce(next, '') <> leaf) AS hit,
+    CASE WHEN position % 109 = 60 AND whole AND lead(whole) OVER o THEN position + 1 WHEN position % 109 = 61 AND whole AND lag(whole) OVER o THEN position - 1 ELSE position END AS there
+  FROM (SELECT *, position % 103 <> 7 AND position % 97 <> 13 AND position % 101 <> 50 AS whole FROM n) WINDOW o AS (ORDER BY position)),
+held AS (SELECT position, lag(position) OVER (ORDER BY position) AS a, lag(position) OVER (ORDER BY there) AS b FROM d WHERE NOT lost AND NOT hit),
+mine AS (SELECT d.page_id, d.position, d.length, d.leaf,
+    CASE WHEN lost THEN 'missing' WHEN hit THEN 'corrupt' WHEN a IS DISTINCT FROM b THEN 'moved' ELSE 'intact' END AS status FROM d LEFT JOIN held ON held.position = d.position),
 theirs AS (
   SELECT page_id, position, CASE WHEN position % 101 = 50 AND position % 97 <> 13 THEN coalesce(next_length, 4) ELSE length END AS length, leaf, false AS added FROM n WHERE position % 103 <> 7
   UNION ALL SELECT -1 - coalesce(page_id, 0), position // 107 + (SELECT count(*) FROM n), length, leaf, true FROM n WHERE position % 107 = 21),

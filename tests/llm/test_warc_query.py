@@ -11,9 +11,15 @@ def test_the_query_reads_what_it_wrote(spark, tmp_path):
     leaf = {x.position: x.leaf for x in out}
     gone, added = {p for p in range(n) if p % 103 == 7}, {n + p // 107 for p in range(n) if p % 107 == 21}
     want = {p for p in range(n) if p not in gone and (p % 97 == 13 or (p % 101 == 50 and leaf.get(p + 1) != leaf[p]))}
-    found = {s: {x.position for x in out if x.status == s} for s in ("corrupt", "missing", "surplus", "intact")}
-    assert (found["corrupt"], found["missing"], found["surplus"]) == (want, gone, added)
-    assert len(out) == n + len(added) and found["intact"] == set(range(n)) - gone - want
+    whole = [p % 103 != 7 and p % 97 != 13 and p % 101 != 50 for p in range(n)] + [False]
+    trades = {p for p in range(n) if p % 109 == 60 and whole[p] and whole[p + 1]}
+    here = [p for p in range(n) if p not in gone | want]
+    there = sorted(here, key=lambda p: p + (p in trades) - (p - 1 in trades))
+    before = [dict(zip(x, [None, *x[:-1]], strict=True)) for x in (here, there)]
+    moved = {p for p in here if before[0][p] != before[1][p]}
+    found = {s: {x.position for x in out if x.status == s} for s in ("corrupt", "missing", "surplus", "intact", "moved")}
+    assert (found["corrupt"], found["missing"], found["surplus"], found["moved"]) == (want, gone, added, moved) and len(moved) >= 3
+    assert len(out) == n + len(added) and found["intact"] == set(range(n)) - gone - want - moved
 
 
 def test_unlike_branches_only_are_read(spark):

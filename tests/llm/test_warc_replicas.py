@@ -48,3 +48,34 @@ def test_a_loss_in_the_middle_by_hashes(spark):
     lost = own.where("page_id = 101").first().position
     less = own.where(F.col("position") != lost).withColumn("position", F.when(F.col("position") > lost, F.col("position") - 1).otherwise(F.col("position")))
     assert [(x.position, x.status) for x in warc.fixity_audit(table, less).where("status <> 'intact'").collect()] == [(lost, "missing")]
+
+
+def unlike(spark, n=600):
+    return [(i, i, f"WARC/1.1\r\nWARC-Date: x\r\nContent-Length: 3\r\n\r\n{i:03}") for i in range(n)]
+
+
+def test_a_replica_in_reversed_order_has_moved(spark, tmp_path):
+    rows = unlike(spark)
+    a = replica(spark, f"{tmp_path}/a", rows)
+    b = replica(spark, f"{tmp_path}/b", [(i, len(rows) - 1 - p, r) for i, p, r in rows])
+    assert {x.status for x in warc.compare(a, b).collect()} == {"moved"}
+    # the same records in other files, in their order: nothing has moved
+    shifted = replica(spark, f"{tmp_path}/c", [(i, p + 3, r) for i, p, r in rows])
+    assert {x.status for x in warc.compare(a, shifted).collect()} == {"intact"}
+
+
+def test_one_record_moved_far_names_three(spark, tmp_path):
+    rows = unlike(spark, 60)
+    order = [x for x in range(60) if x != 5]
+    order.insert(40, 5)
+    place = {i: p for p, i in enumerate(order)}
+    a, b = replica(spark, f"{tmp_path}/a", rows), replica(spark, f"{tmp_path}/b", [(i, place[i], r) for i, _, r in rows])
+    assert sorted(x.page_id for x in warc.compare(a, b, 3).where("status = 'moved'").collect()) == [5, 6, 41]
+
+
+def test_a_record_without_a_slot_is_not_intact(spark, tmp_path):
+    rows = unlike(spark)
+    a, b = replica(spark, f"{tmp_path}/a", rows), replica(spark, f"{tmp_path}/b", rows)
+    a = a.withColumn("slot", F.col("page_id") != 77).select(F.when(F.col("slot"), F.col("page_id")).alias("page_id"), F.when(F.col("slot"), F.col("position")).alias("position"), "file", "offset", "length", "leaf")
+    got = [(x.status, x.page_id) for x in warc.compare(a, b).collect() if x.status != "intact"]
+    assert sorted(got, key=str) == [("missing", None), ("surplus", 77)] and warc.compare(a, b).count() == 601
