@@ -2,30 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tessera.scratch import materialize, ship
 
 ship(__name__)
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _offsets(documents: pd.Series, sentences: pd.Series) -> pd.Series:
+    def one(document: str | None, own: list | None) -> list[int] | None:
+        if own is None:
+            return None
+        out, at = [], 0
+        for s in own:
+            found = document.find(s, at) if document is not None and s is not None and at >= 0 else -1
+            at = found + len(s) if found >= 0 else -1
+            out.append(found)
+        return out
+
+    return pd.Series([one(*x) for x in zip(documents, sentences, strict=True)])
+
+
 def sentence_offsets(document: Column, sentences: Column) -> Column:
-    """The start of each sentence, searched for after the one before; -1 from the first that isn't found."""
-    state = F.aggregate(
-        sentences,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda a, s: F.transform(
-            F.array(F.when(a["at"] >= 0, F.call_function("locate", s, document, a["at"] + 1)).otherwise(0)),
-            lambda p: F.struct(
-                F.when(p > 0, p - 1 + F.length(s)).otherwise(-1).alias("at"), F.concat(a["out"], F.array(F.when(p > 0, p - 1).otherwise(-1))).alias("out")
-            ),
-        )[0],
-    )
-    return state["out"]
+    """The start of each sentence, searched for after the one before; -1 from the first that isn't found (or is null). Time and space follow the document's length."""
+    return _offsets(document, sentences)
 
 
 def conflicts(events: DataFrame) -> DataFrame:
@@ -38,18 +46,30 @@ def conflicts(events: DataFrame) -> DataFrame:
     return events.withColumn("n", nxt).where("n IS NOT NULL").select("doc_id", "event_id", F.col("n.event_id").alias("next_id"), kind.alias("kind")).where("kind IS NOT NULL")
 
 
+def _free(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that begin where the last kept one of their document has ended; they come in order."""
+    now, end = None, -1
+    for part in parts:
+        keep = []
+        for k, (doc, start, length) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "start", "length")), strict=True)):
+            if doc != now:
+                now, end = doc, -1
+            if start is not None and start >= end:
+                keep.append(k)
+                end = start + length
+        yield part.take(pa.array(keep, pa.int32())).select(["doc_id", "event_id"])
+
+
 def drop_conflicts(events: DataFrame) -> DataFrame:
-    """Events without SAME or OVERLAP: in order of (start, event_id) each is kept that begins where the last kept one has ended."""
-    fold = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("start", "event_id", "trigger"))),
-        F.struct(F.lit(-1).alias("end"), F.array().cast("array<string>").alias("kept")),
-        lambda a, e: F.when(
-            e["start"] >= a["end"], F.struct((e["start"] + F.length(e["trigger"])).alias("end"), F.concat(a["kept"], F.array(e["event_id"])).alias("kept"))
-        ).otherwise(a),
-        lambda a: a["kept"],
-    )
-    kept = events.select("doc_id", F.col("start").cast("int"), F.col("event_id").cast("string"), "trigger").groupBy("doc_id").agg(fold.alias("kept"))
-    return kept.select("doc_id", F.explode("kept").alias("event_id"))
+    """Events without SAME or OVERLAP: in order of (start, event_id) each is kept that begins where the last kept one has ended.
+
+    One scan of each document in order, which holds its last end alone. Events
+    without a start are dropped, a trigger that is null has no length.
+    """
+    doc = events.select("doc_id").schema.fields
+    rows = events.select("doc_id", F.col("start").cast("long").alias("start"), F.col("event_id").cast("string").alias("event_id"), F.coalesce(F.length("trigger"), F.lit(0)).alias("length"))
+    order = ["doc_id", "start", "event_id"]
+    return rows.repartition("doc_id").sortWithinPartitions(*order).mapInArrow(_free, StructType([*doc, StructField("event_id", StringType())]))
 
 
 def membership(events: DataFrame, members: DataFrame) -> DataFrame:
@@ -98,28 +118,92 @@ def pack_predictions(scores: DataFrame) -> DataFrame:
 
 @F.pandas_udf(ArrayType(IntegerType()))
 def event_clusters(n: pd.Series, labels: pd.Series) -> pd.Series:
-    """Per document of n events the cluster of each, named by its first event: pairs labelled 1 are joined, in (i, j) order. labels: as pack_predictions() packs them."""
+    """Per document of n events the cluster of each, named by its first event: pairs labelled 1 are joined. labels: as pack_predictions() packs them.
 
-    def one(size: int, packed: list[int]) -> list[int]:
+    For documents whose packed triangle fits a row; greedy_clusters() takes a row
+    per pair. Null labels count as none.
+    """
+
+    def one(size: int, packed: list[int] | None) -> list[int]:
+        packed = np.asarray([] if packed is None else packed, dtype="int64")
         if len(packed) != size * (size - 1) // 2:
             raise ValueError(f"{len(packed)} labels for {size} events")
-        first, second = np.triu_indices(size, 1)
+        hits = np.flatnonzero(packed == 1)
+        # the row of the triangle that a place falls into
+        begins = np.arange(size) * (2 * size - np.arange(size) - 1) // 2
+        first = np.searchsorted(begins, hits, "right") - 1
         root = list(range(size))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for k in np.flatnonzero(np.asarray(packed, dtype="int64") == 1):
-            a, b = find(int(first[k])), find(int(second[k]))
+        for a, b in zip(first.tolist(), (hits - begins[first] + first + 1).tolist(), strict=True):
+            a, b = _root(root, a), _root(root, b)
             root[max(a, b)] = min(a, b)
-        return [find(x) for x in range(size)]
+        return [_root(root, x) for x in range(size)]
 
     return pd.Series([one(*x) for x in zip(n, labels, strict=True)])
 
 
+def _root(of, x):
+    while of[x] != x:
+        of[x] = of[of[x]]
+        x = of[x]
+    return x
+
+
+def _agglomerate(threshold: float, apart: float):
+    """doc_id, event_id, cluster of the events that a link joins; pairs come document by document, those that stand apart first, then by falling p."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, root, against = None, {}, {}
+
+        def told(doc) -> pa.RecordBatch:
+            events = sorted(root)
+            return pa.RecordBatch.from_arrays([pa.array([doc] * len(events), kind), pa.array(events, pa.string()), pa.array([_root(root, e) for e in events], pa.string())], names=["doc_id", "event_id", "cluster"])
+
+        for part in parts:
+            kind = part.column("doc_id").type
+            out = []
+            for doc, a, b, p in zip(*(part.column(c).to_pylist() for c in ("doc_id", "a", "b", "p")), strict=True):
+                if doc != now:
+                    if root:
+                        out.append(told(now))
+                    now, root, against = doc, {}, {}
+                if p < apart:
+                    against.setdefault(a, set()).add(b)
+                    against.setdefault(b, set()).add(a)
+                elif p >= threshold:
+                    x, y = (_root(root, e) if e in root else root.setdefault(e, e) for e in (a, b))
+                    if x != y and y not in against.get(x, ()):
+                        x, y = min(x, y), max(x, y)
+                        root[y] = x
+                        # what stands against either cluster stands against both; names of clusters that were joined are replaced
+                        for z in against.pop(y, ()):
+                            against[z].discard(y)
+                            against[z].add(x)
+                            against.setdefault(x, set()).add(z)
+            yield from out
+        if root:
+            yield told(now)
+
+    return run
+
+
+def greedy_clusters(pairs: DataFrame, threshold: float = 0.5, apart: float = 0.0) -> DataFrame:
+    """doc_id, event_id, cluster (the least event_id) of events that stand in a pair at the threshold. pairs: doc_id, a, b, p.
+
+    Pairs at the threshold or above are joined in order of falling p (equals by a,
+    then b), unless a pair below ``apart`` stands between the two clusters. Where
+    nothing stands apart these are the connected components. A document is one
+    scan of its pairs in order; what it holds are its events and pairs apart.
+    Pairs with a null are left out.
+    """
+    doc = pairs.select("doc_id").schema.fields
+    used = pairs.select("doc_id", F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("p").cast("double").alias("p")).where(
+        (F.col("p") >= threshold) | (F.col("p") < apart)
+    ).where("a IS NOT NULL AND b IS NOT NULL AND NOT isnan(p)")
+    rank = F.when(F.col("p") < apart, 0).otherwise(1)
+    dealt = used.repartition("doc_id").sortWithinPartitions("doc_id", rank, F.desc("p"), "a", "b")
+    return dealt.mapInArrow(_agglomerate(threshold, apart), StructType([*doc, StructField("event_id", StringType()), StructField("cluster", StringType())]))
+
+
 def filter_summary(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
     """Per split: raw and filtered events, removed, conflicts left."""
     left = conflicts(after).groupBy("doc_id").agg(F.count("*").alias("c"))

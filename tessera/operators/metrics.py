@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import distance_bucket
-from tessera.scratch import ship
+from tessera.operators.components import components
+from tessera.scratch import materialize, ship
 
 ship(__name__)
 
@@ -332,42 +337,90 @@ def blanc_parts(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return side(gold, "chain_id", "g", "g").join(side(pred, "pred_id", "p", "p"), "doc_id", "full_outer").join(both, "doc_id", "left").na.fill(0)
 
 
-def _assign(score: np.ndarray) -> float:
-    """The best total of a one-to-one assignment (Hungarian method with potentials)."""
-    cost = -(score if score.shape[0] <= score.shape[1] else score.T)
-    n, m = cost.shape
-    u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, dtype=int)
-    for i in range(1, n + 1):
-        match[0], j = i, 0
-        least, came, used = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=int), np.zeros(m + 1, dtype=bool)
+def assign(left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> float:
+    """The best total weight of a one-to-one assignment over these edges; nodes may stay alone.
+
+    Shortest augmenting paths with potentials over the edges alone, so the work
+    follows the edges that a path meets, not the product of the sides.
+    """
+    edges: dict[int, list[tuple[int, float]]] = {}
+    for a, b, w in zip(left.tolist(), right.tolist(), weight.tolist(), strict=True):
+        edges.setdefault(a, []).append((b, -w))
+    price: dict = {}  # of each right node, and of the place (None, a) that leaves a alone at no cost
+    own, mate = {}, {}
+    for start in edges:
+        heap, came, dist, done = [], {}, {}, set()
+
+        def reach(a: int, base: float, heap=heap, came=came, dist=dist, done=done) -> None:
+            for b, cost in (*edges[a], ((None, a), 0.0)):
+                if b not in done:
+                    d = base + cost - price.get(b, 0.0)
+                    if d < dist.get(b, math.inf):
+                        dist[b], came[b] = d, a
+                        heapq.heappush(heap, (d, isinstance(b, tuple), str(b), b))
+
+        reach(start, 0.0)
         while True:
-            used[j] = True
-            now = cost[match[j] - 1] - u[match[j]] - v[1:]
-            better = ~used[1:] & (now < least[1:])
-            least[1:][better], came[1:][better] = now[better], j
-            free = np.where(used[1:], np.inf, least[1:])
-            nxt = int(free.argmin()) + 1
-            step = free[nxt - 1]
-            u[match[used]] += step
-            v[used] -= step
-            least[~used] -= step
-            j = nxt
-            if match[j] == 0:
+            d, _, _, b = heapq.heappop(heap)
+            if b in done or d > dist[b]:
+                continue
+            done.add(b)
+            if b not in mate:
                 break
-        while j:
-            match[j], j = match[came[j]], came[j]
-    return float(sum(-cost[match[j] - 1, j - 1] for j in range(1, m + 1) if match[j]))
+            a = mate[b]
+            # the matched edge has reduced cost zero: its cost less the price is a's own value
+            reach(a, d - (own[a][1] - price.get(b, 0.0)))
+        end = dist[b]
+        for x in done:
+            price[x] = price.get(x, 0.0) + dist[x] - end
+        while True:
+            a = came[b]
+            before = own.get(a)
+            own[a] = (b, next((c for x, c in edges[a] if x == b), 0.0))
+            mate[b] = a
+            if a == start:
+                break
+            b = before[0]
+    return float(-sum(c for _, c in own.values()))
+
 
+def _best(group: pa.Table) -> pa.Table:
+    total = assign(*(group.column(c).to_numpy() for c in ("g", "p", "phi")))
+    return pa.table({"doc_id": group.column("doc_id").slice(0, 1), "n": pa.array([total])})
 
-def _ceafe(doc: pd.DataFrame) -> pd.DataFrame:
-    g, p = doc["g"].unique(), doc["p"].unique()
-    score = np.zeros((len(g), len(p)))
-    score[pd.Index(g).get_indexer(doc["g"]), pd.Index(p).get_indexer(doc["p"])] = doc["phi"]
-    return pd.DataFrame({"doc_id": [doc["doc_id"].iat[0]], "ceafe_n": [_assign(score)]})
 
+#: Documents with more overlapping cluster pairs than this are cut into components, which are spread over tasks.
+EDGES = 20_000
 
-def ceafe_parts(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """Per document: ceafe_n (similarity of the best assignment), ceafe_rd, ceafe_pd. Only overlapping clusters reach Python."""
+
+def assignments(phi: DataFrame, most: int = EDGES) -> DataFrame:
+    """doc_id, n: shares of the best assignment's total, to be summed. phi: doc_id, g, p, phi.
+
+    Edges that stand alone need no search, nor do stars, of which the best edge
+    counts. What is left of a document goes to one task, of a large document each
+    component to one.
+    """
+    by_g, by_p = Window.partitionBy("doc_id", "g"), Window.partitionBy("doc_id", "p")
+    degrees = phi.withColumn("dg", F.count("*").over(by_g)).withColumn("dp", F.count("*").over(by_p))
+    # an edge is of a star if one of its ends is the middle of edges whose other ends have no other edge
+    starred = degrees.withColumn("g_star", F.max("dp").over(by_g) == 1).withColumn("p_star", F.max("dg").over(by_p) == 1)
+    kept = materialize(starred.withColumn("rest", F.count_if(~F.col("g_star") & ~F.col("p_star")).over(Window.partitionBy("doc_id"))), "phi")
+    stars = kept.where("g_star").groupBy("doc_id", "g").agg(F.max("phi").alias("n")).select("doc_id", "n")
+    stars = stars.unionByName(kept.where("p_star AND NOT g_star").groupBy("doc_id", "p").agg(F.max("phi").alias("n")).select("doc_id", "n"))
+    rest = kept.where("NOT g_star AND NOT p_star").select("doc_id", F.col("g").cast("long").alias("g"), F.col("p").cast("long").alias("p"), "phi", "rest")
+    kind = phi.schema["doc_id"].dataType.simpleString()
+    small = rest.where(F.col("rest") <= most).groupBy("doc_id").applyInArrow(_best, f"doc_id {kind}, n double")
+    large = rest.where(F.col("rest") > most)
+    if large.isEmpty():
+        return stars.unionByName(small)
+    node = lambda side, c: F.struct("doc_id", F.lit(side).alias("side"), F.col(c).alias("id"))
+    roots = components(large.select(node(0, "g").alias("a"), node(1, "p").alias("b"))).where("node.side = 0")
+    parts = large.join(roots.select("node.doc_id", F.col("node.id").alias("g"), "root"), ["doc_id", "g"]).drop("rest")
+    return stars.unionByName(small).unionByName(parts.groupBy("doc_id", "root").applyInArrow(_best, f"doc_id {kind}, n double"))
+
+
+def ceafe_parts(gold: DataFrame, pred: DataFrame, most: int = EDGES) -> DataFrame:
+    """Per document: ceafe_n (similarity of the best assignment), ceafe_rd, ceafe_pd. Cluster ids are whole numbers."""
     gs, ps = _sizes(gold, "chain_id", "g"), _sizes(pred, "pred_id", "p")
     phi = (
         overlaps(gold, pred)
@@ -375,8 +428,7 @@ def ceafe_parts(gold: DataFrame, pred: DataFrame) -> DataFrame:
         .join(ps.withColumnRenamed("size", "ps"), ["doc_id", "p"])
         .select("doc_id", "g", "p", (2.0 * F.col("n") / (F.col("gs") + F.col("ps"))).alias("phi"))
     )
-    kind = gold.schema["doc_id"].dataType.simpleString()
-    best = phi.groupBy("doc_id").applyInPandas(_ceafe, f"doc_id {kind}, ceafe_n double")
+    best = assignments(phi, most).groupBy("doc_id").agg(F.sum("n").alias("ceafe_n"))
     return (
         gs.groupBy("doc_id").agg(F.count("*").alias("ceafe_rd"))
         .join(ps.groupBy("doc_id").agg(F.count("*").alias("ceafe_pd")), "doc_id", "full_outer")
@@ -385,6 +437,12 @@ def ceafe_parts(gold: DataFrame, pred: DataFrame) -> DataFrame:
     )
 
 
+def document_parts(gold: DataFrame, pred: DataFrame, assigned: bool = True) -> DataFrame:
+    """The parts of MUC, B3, BLANC and, if assigned, CEAFe of each document in one row."""
+    kinds = [muc_parts, b3_parts, blanc_parts, *([ceafe_parts] if assigned else [])]
+    return reduce(lambda a, b: a.join(b, "doc_id", "full_outer"), (kind(gold, pred) for kind in kinds)).na.fill(0)
+
+
 def prf_of(parts: DataFrame, by: list[str], rn: str, rd: str, pn: str, pd_: str) -> DataFrame:
     """Sum parts by slice and divide: recall, precision, f1."""
     sums = parts.groupBy(*by).agg(*(F.sum(c).alias(c) for c in dict.fromkeys((rn, rd, pn, pd_))))

@@ -9,8 +9,10 @@ from tessera.operators import clusters as C
 from tessera.operators import convert as K
 from tessera.operators import events as E
 from tessera.operators import mutate as U
+from tessera.operators import typemap as Y
 from tessera.plans import views as V
-from tessera.plans.corpus_plans import CHAINS, chain_derived_type
+from tessera.plans.corpus_plans import CHAINS, GLOB, chain_derived_type, global_token_index, sentence_starts
+from tessera.schemas import EVENT_MENTION
 from tessera.scratch import materialize
 
 
@@ -133,7 +135,66 @@ def event_filter_summary(s, d):
     return E.filter_summary(e, e.join(E.drop_conflicts(e), ["doc_id", "event_id"], "left_semi"), ["split"])
 
 
+def _event_pairs(s, d) -> DataFrame:
+    """Each event with the next three of its document, and a drawn probability."""
+    w = Window.partitionBy("doc_id").orderBy("event_id")
+    near = F.array(*(F.lead("event_id", k).over(w) for k in (1, 2, 3)))
+    pairs = _events(s, d).select("doc_id", F.col("event_id").alias("a"), near.alias("near")).select("doc_id", "a", F.explode("near").alias("b")).where("b IS NOT NULL")
+    return pairs.withColumn("p", V.draw("a", "b") % 1000 / F.lit(1000.0))
+
+
+def event_components(s, d):
+    return E.greedy_clusters(_event_pairs(s, d), 0.7)
+
+
+def event_greedy_clusters(s, d):
+    return E.greedy_clusters(_event_pairs(s, d), 0.5, 0.2)
+
+
+def _type_map(s, d) -> DataFrame:
+    """A type map of the mentions: some tokens don't exist, some spans have a second type, some rows stand twice."""
+    m = V.mentions(s, d).select(
+        "doc_id", "sentence_id", F.col("token_id").alias("token_start"), F.col("token_id").alias("token_end"), F.concat_ws(":", "doc_id", "sentence_id", "token_id").alias("mention_id"), "mention_type", "chain_id"
+    ).withColumn("h", V.draw(F.lit("t"), "mention_id"))
+    off = m.withColumn("token_end", F.when(F.col("h") % 97 == 0, F.col("token_end") + 10000).otherwise(F.col("token_end")))
+    second = m.where("h % 53 = 0").withColumn("mention_id", F.concat("mention_id", F.lit("b"))).withColumn("mention_type", F.lit("other"))
+    return off.unionByName(second).unionByName(off.where("h % 59 = 0")).drop("h")
+
+
+def span_types(s, d):
+    return Y.span_types(Y.with_global_spans(_type_map(s, d), global_token_index(s, d)), "chain_id")
+
+
+def span_problems(s, d):
+    return Y.span_problems(Y.with_global_spans(_type_map(s, d), global_token_index(s, d)))
+
+
+def event_span_problems(s, d):
+    """Event mentions and some others against the type map; some have an unknown id, some stand in another document."""
+    m = V.mentions(s, d).withColumn("event_id", F.concat_ws(":", "doc_id", "sentence_id", "token_id")).withColumn("h", V.draw(F.lit("e"), "event_id"))
+    events = m.where((F.col("mention_type") == EVENT_MENTION) | (F.col("h") % 29 == 0)).select(
+        F.when(F.col("h") % 31 == 0, F.concat("event_id", F.lit("x"))).otherwise(F.col("event_id")).alias("event_id"), F.when(F.col("h") % 37 == 0, F.col("doc_id") + 1).otherwise(F.col("doc_id")).alias("doc_id")
+    )
+    return Y.event_spans(events, Y.by_sentence_start(_type_map(s, d), sentence_starts(s, d)), EVENT_MENTION)
+
+
 _EV = f"""ev AS (SELECT user_id AS doc_id, event_id, (floor(epoch(ts))::BIGINT % 3600)::INT AS start, event_type AS trigger, event_id % 7 AS cluster, {V.split_sql('user_id')} AS split FROM events)"""
+#: Events in order, and the greedy choice of those that begin where the last kept one has ended.
+_KEPT = f"""{_EV}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, event_id::VARCHAR) AS k FROM ev),
+gr AS (SELECT doc_id, k, start + length(trigger) AS ends, event_id, true AS kept FROM o WHERE k = 1
+  UNION ALL SELECT o.doc_id, o.k, CASE WHEN o.start >= gr.ends THEN o.start + length(o.trigger) ELSE gr.ends END, o.event_id, o.start >= gr.ends FROM gr JOIN o ON o.doc_id = gr.doc_id AND o.k = gr.k + 1),
+af AS (SELECT ev.* FROM ev JOIN gr USING (doc_id, event_id) WHERE kept)"""
+_PAIRS = f"""{_EV}, pr AS (SELECT doc_id, event_id AS a, unnest([lead(event_id, 1) OVER w, lead(event_id, 2) OVER w, lead(event_id, 3) OVER w]) AS b FROM ev WINDOW w AS (PARTITION BY doc_id ORDER BY event_id)),
+ed AS MATERIALIZED (SELECT doc_id, a::VARCHAR AS a, b::VARCHAR AS b FROM pr WHERE b IS NOT NULL AND {V.draw_sql('a', 'b')} % 1000 / 1000.0::DOUBLE >= 0.7)"""
+TYPES = V.MENTION + f""", {GLOB},
+v_tm0 AS (SELECT doc_id, sentence_id, token_id AS token_start, token_id AS token_end, concat_ws(':', doc_id, sentence_id, token_id) AS mention_id, mention_type, chain_id FROM v_mention),
+v_tm1 AS (SELECT *, {V.draw_sql("'t'", 'mention_id')} AS h FROM v_tm0),
+v_tm AS (SELECT doc_id, sentence_id, token_start, CASE WHEN h % 97 = 0 THEN token_end + 10000 ELSE token_end END AS token_end, mention_id, mention_type, chain_id FROM v_tm1
+  UNION ALL SELECT doc_id, sentence_id, token_start, token_end, mention_id || 'b', 'other', chain_id FROM v_tm1 WHERE h % 53 = 0
+  UNION ALL SELECT doc_id, sentence_id, token_start, CASE WHEN h % 97 = 0 THEN token_end + 10000 ELSE token_end END, mention_id, mention_type, chain_id FROM v_tm1 WHERE h % 59 = 0),
+v_gl AS (SELECT t.*, a.idx AS g_start, b.idx AS g_end FROM v_tm t LEFT JOIN v_idx a ON a.doc_id = t.doc_id AND a.sentence_id = t.sentence_id AND a.token_id = t.token_start
+  LEFT JOIN v_idx b ON b.doc_id = t.doc_id AND b.sentence_id = t.sentence_id AND b.token_id = t.token_end),
+v_sp AS (SELECT doc_id, g_start, g_end, count(DISTINCT mention_type) AS n, arg_max(mention_type, mention_id) AS mention_type, arg_max(chain_id, mention_id) AS chain_id FROM v_gl WHERE g_start IS NOT NULL AND g_end IS NOT NULL GROUP BY ALL)"""
 WS = r"[\t-\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _N = "(SELECT doc_id, count(*) AS ns FROM v_sent GROUP BY doc_id)"
 PLACED = V.MENTION + f""",
@@ -196,7 +257,30 @@ PLANS = {
         f"""WITH {_EV}, n AS (SELECT *, lead(event_id) OVER w AS next_id, lead(start) OVER w AS ns, lead(trigger) OVER w AS nt FROM ev WINDOW w AS (PARTITION BY doc_id ORDER BY start, event_id))
         SELECT doc_id, event_id, next_id, CASE WHEN start = ns AND trigger = nt THEN 'SAME' ELSE 'OVERLAP' END AS kind FROM n WHERE next_id IS NOT NULL AND ((start = ns AND trigger = nt) OR start + length(trigger) > ns)""",
     ),
-    "event_removed": (event_removed, None),
+    "event_removed": (event_removed, f"WITH RECURSIVE {_KEPT} SELECT doc_id, event_id::VARCHAR AS event_id FROM gr WHERE NOT kept"),
+    "event_components": (
+        event_components,
+        f"""WITH RECURSIVE {_PAIRS}, nb AS (SELECT doc_id, a, b FROM ed UNION SELECT doc_id, b, a FROM ed),
+        rc AS (SELECT DISTINCT doc_id, a AS event_id, a AS c FROM nb UNION SELECT rc.doc_id, rc.event_id, nb.b FROM rc JOIN nb ON nb.doc_id = rc.doc_id AND nb.a = rc.c)
+        SELECT doc_id, event_id, min(c) AS cluster FROM rc GROUP BY doc_id, event_id""",
+    ),
+    "event_greedy_clusters": (event_greedy_clusters, None),
+    "span_types": (span_types, f"WITH {TYPES} SELECT doc_id, g_start, g_end, mention_type, chain_id FROM v_sp WHERE n = 1"),
+    "span_problems": (
+        span_problems,
+        f"""WITH {TYPES} SELECT doc_id, mention_id, 'unaligned' AS problem FROM v_gl WHERE g_start IS NULL OR g_end IS NULL
+        UNION ALL SELECT doc_id, mention_id, 'conflicting_type' FROM v_gl JOIN v_sp USING (doc_id, g_start, g_end) WHERE n > 1
+        UNION ALL SELECT doc_id, mention_id, 'repeated_mention_id' FROM v_tm GROUP BY ALL HAVING count(*) > 1""",
+    ),
+    "event_span_problems": (
+        event_span_problems,
+        f"""WITH {TYPES}, e0 AS (SELECT *, concat_ws(':', doc_id, sentence_id, token_id) AS id FROM v_mention), e1 AS (SELECT *, {V.draw_sql("'e'", 'id')} AS h FROM e0),
+        e AS (SELECT CASE WHEN h % 31 = 0 THEN id || 'x' ELSE id END AS event_id, CASE WHEN h % 37 = 0 THEN doc_id + 1 ELSE doc_id END AS doc_id FROM e1 WHERE mention_type = '{EVENT_MENTION}' OR h % 29 = 0),
+        st AS (SELECT doc_id, sentence_id, min(idx) AS start FROM v_idx GROUP BY ALL),
+        m AS (SELECT DISTINCT doc_id, mention_id, start + token_start AS g_start, start + token_end AS g_end, mention_type FROM v_tm JOIN st USING (doc_id, sentence_id))
+        SELECT event_id, e.doc_id, g_start, g_end, CASE WHEN m.doc_id IS NULL THEN 'not_in_type_map' WHEN m.doc_id <> e.doc_id THEN 'doc_mismatch' WHEN mention_type <> '{EVENT_MENTION}' THEN 'not_an_event_mention' END AS problem
+        FROM e LEFT JOIN m ON m.mention_id = e.event_id""",
+    ),
     "event_cluster_membership": (event_cluster_membership, f"WITH {_EV} SELECT doc_id, event_id, CASE WHEN event_id % 11 = 0 THEN 'singleton_' || event_id ELSE cluster::VARCHAR END AS cluster, CASE WHEN event_id % 11 = 0 THEN 'singleton' ELSE 'ok' END AS status FROM ev"),
     "event_pair_stats": (
         event_pair_stats,
@@ -208,5 +292,10 @@ PLANS = {
         f"""WITH {_EV}, d AS (SELECT split, doc_id, count(*) AS n FROM ev GROUP BY ALL) SELECT *, n * (n - 1) // 2 AS size,
         coalesce(sum(n * (n - 1) // 2) OVER (PARTITION BY split ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM d""",
     ),
-    "event_filter_summary": (event_filter_summary, None),
+    "event_filter_summary": (
+        event_filter_summary,
+        f"""WITH RECURSIVE {_KEPT}, n AS (SELECT *, lead(start) OVER w AS ns, lead(event_id) OVER w AS ni FROM af WINDOW w AS (PARTITION BY doc_id ORDER BY start, event_id::VARCHAR)),
+        a AS (SELECT split, count(*) AS raw_events FROM ev GROUP BY split), b AS (SELECT split, count(*) AS f FROM af GROUP BY split), c AS (SELECT split, count(*) AS r FROM n WHERE ni IS NOT NULL AND start + length(trigger) > ns GROUP BY split)
+        SELECT split, raw_events, coalesce(f, 0) AS filtered_events, raw_events - coalesce(f, 0) AS removed, coalesce(r, 0) AS remaining_conflicts FROM a LEFT JOIN b USING (split) LEFT JOIN c USING (split)""",
+    ),
 }

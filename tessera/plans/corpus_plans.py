@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import corpus as O
 from tessera.operators import metrics as M
+from tessera.operators import slices as L
 from tessera.plans import views as V
 from tessera.schemas import CATEGORY_PRIORITY, CHAIN_PRIORITY, EVENT_CHAIN, EVENT_MENTION
 
@@ -228,6 +229,32 @@ def conll_f1_by_slice(s, d):
     )
 
 
+def _labels(name: str, labels: tuple[str, ...]) -> Column:
+    return F.get(F.array(*map(F.lit, labels)), (V.draw(F.lit(name), "doc_id") % len(labels)).cast("int"))
+
+
+def _meta(s, d) -> DataFrame:
+    """A domain and a phenomenon of each document, as its metadata would have them."""
+    return V.table(s, d, "documents").select("doc_id", *(_labels(name, labels).alias(name) for name, labels in L.GROUPINGS.items()))
+
+
+def slice_scores(s, d):
+    return L.slice_scores(M.document_parts(*_docs(s, d), assigned=False), _meta(s, d))
+
+
+def slice_conll_scores(s, d):
+    return L.slice_scores(M.document_parts(*_docs(s, d)), _meta(s, d))
+
+
+def slice_problems(s, d):
+    """Test documents against metadata with unknown domains, missing rows, repeated rows and rows of another split."""
+    h = V.draw(F.lit("meta"), "doc_id")
+    meta = _meta(s, d).withColumn("domain", F.when(h % 41 == 0, "XX").otherwise(F.col("domain"))).withColumn("split", F.when(h % 37 == 0, "dev").otherwise(V.split_of("doc_id")))
+    rows = meta.where(h % 43 != 0).unionByName(meta.where(h % 47 == 0))
+    docs = V.table(s, d, "documents").where(V.split_of("doc_id") == "test")
+    return L.slice_problems(docs, rows, split="test", expected=448)
+
+
 def global_token_index(s, d):
     w = Window.partitionBy("doc_id").orderBy("sentence_id", "token_id")
     return V.tokens(s, d).select(*SPAN, (F.row_number().over(w) - 1).alias("idx"))
@@ -289,15 +316,50 @@ def _prf(part) -> str:
 
 
 _C = "({0} * ({0} - 1) // 2)"
-BLANC_SQL = f"""WITH {OVER},
-g AS (SELECT doc_id, sum({_C.format('size')}) AS cg, {_C.format('sum(size)')} - sum({_C.format('size')}) AS ng FROM v_gs GROUP BY doc_id),
+BLANC_DOCS = f"""g AS (SELECT doc_id, sum({_C.format('size')}) AS cg, {_C.format('sum(size)')} - sum({_C.format('size')}) AS ng FROM v_gs GROUP BY doc_id),
 q AS (SELECT doc_id, sum({_C.format('size')}) AS cp, {_C.format('sum(size)')} - sum({_C.format('size')}) AS np FROM v_ps GROUP BY doc_id),
 sh AS (SELECT m.doc_id, m.chain_id AS g, p.pred_id AS p, row_number() OVER (PARTITION BY m.doc_id ORDER BY m.sentence_id, m.token_id) AS i FROM v_mention m JOIN v_pred p USING (doc_id, sentence_id, token_id)),
-b AS (SELECT x.doc_id, count(*) FILTER (WHERE x.g = y.g AND x.p = y.p) AS cb, count(*) FILTER (WHERE x.g <> y.g AND x.p <> y.p) AS nb FROM sh x JOIN sh y ON x.doc_id = y.doc_id AND x.i < y.i GROUP BY x.doc_id),
+b AS (SELECT x.doc_id, count(*) FILTER (WHERE x.g = y.g AND x.p = y.p) AS cb, count(*) FILTER (WHERE x.g <> y.g AND x.p <> y.p) AS nb FROM sh x JOIN sh y ON x.doc_id = y.doc_id AND x.i < y.i GROUP BY x.doc_id)"""
+BLANC_SQL = f"""WITH {OVER}, {BLANC_DOCS},
 t AS (SELECT {V.split_sql()} AS slice, sum(coalesce(cg, 0)) AS cg, sum(coalesce(ng, 0)) AS ng, sum(coalesce(cp, 0)) AS cp, sum(coalesce(np, 0)) AS np, sum(coalesce(cb, 0)) AS cb, sum(coalesce(nb, 0)) AS nb
       FROM g FULL JOIN q USING (doc_id) LEFT JOIN b USING (doc_id) GROUP BY slice)
 SELECT slice, ({_div('cb', 'cg')} + {_div('nb', 'ng')}) / 2 AS recall, ({_div('cb', 'cp')} + {_div('nb', 'np')}) / 2 AS precision,
   ({_div('2 * cb', 'cg + cp')} + {_div('2 * nb', 'ng + np')}) / 2 AS f1 FROM t"""
+
+
+def _label_sql(name: str) -> str:
+    return f"{list(L.GROUPINGS[name])}[{V.draw_sql(chr(39) + name + chr(39), 'doc_id')} % {len(L.GROUPINGS[name])} + 1] AS {name}"
+
+
+META = f"meta AS (SELECT doc_id, {', '.join(map(_label_sql, L.GROUPINGS))} FROM documents)"
+
+
+def _slice_sql() -> str:
+    def muc(side: str, key: str) -> str:
+        return f"""SELECT doc_id, sum(s.size - (coalesce(k, 0) + s.size - coalesce(m, 0))) AS mn, sum(s.size - 1) AS md, sum(s.size) AS bd, coalesce(sum(b / s.size::DOUBLE), 0) AS bn FROM {side} s
+      LEFT JOIN (SELECT doc_id, {key}, count(*) AS k, sum(n) AS m, sum(n * n) AS b FROM v_o GROUP BY ALL) USING (doc_id, {key}) GROUP BY doc_id"""
+
+    wanted = ", ".join(f"('{g}', '{x}', {i})" for i, (g, x) in enumerate([("all", "all"), *((n, x) for n, labels in L.GROUPINGS.items() for x in labels)]))
+    sums = "mnr mdr bnr bdr mnp mdp bnp bdp cg ng cp np cb nb".split()
+    f1 = lambda p, r: f"CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0 END"
+    return f"""WITH {OVER}, {BLANC_DOCS}, {META},
+rr AS ({muc('v_gs', 'g')}), pp AS ({muc('v_ps', 'p')}),
+parts AS (SELECT doc_id, coalesce(rr.mn, 0) AS mnr, coalesce(rr.md, 0) AS mdr, coalesce(rr.bn, 0) AS bnr, coalesce(rr.bd, 0) AS bdr, coalesce(pp.mn, 0) AS mnp, coalesce(pp.md, 0) AS mdp, coalesce(pp.bn, 0) AS bnp, coalesce(pp.bd, 0) AS bdp,
+  coalesce(cg, 0) AS cg, coalesce(ng, 0) AS ng, coalesce(cp, 0) AS cp, coalesce(np, 0) AS np, coalesce(cb, 0) AS cb, coalesce(nb, 0) AS nb
+  FROM rr FULL JOIN pp USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN q USING (doc_id) LEFT JOIN b USING (doc_id)),
+gs AS (SELECT CASE grouping(domain, phenomenon) WHEN 3 THEN 'all' WHEN 1 THEN 'domain' ELSE 'phenomenon' END AS grouping, CASE grouping(domain, phenomenon) WHEN 3 THEN 'all' WHEN 1 THEN domain ELSE phenomenon END AS slice,
+  count(*) AS n_docs, {', '.join(f'sum({c}) AS {c}' for c in sums)} FROM parts JOIN meta USING (doc_id) GROUP BY GROUPING SETS ((), (domain), (phenomenon))),
+w(grouping, slice, place) AS (VALUES {wanted}),
+t AS (SELECT w.place, w.grouping, w.slice, coalesce(n_docs, 0) AS n_docs, {', '.join(f'coalesce({c}, 0) AS {c}' for c in sums)} FROM w LEFT JOIN gs ON gs.grouping = w.grouping AND gs.slice = w.slice),
+x AS (SELECT *, {_div('mnr', 'mdr')} AS muc_r, {_div('mnp', 'mdp')} AS muc_p, {_div('bnr', 'bdr')} AS b3_r, {_div('bnp', 'bdp')} AS b3_p FROM t)
+SELECT place, grouping, slice, n_docs, muc_r, muc_p, {f1('muc_p', 'muc_r')} AS muc_f1, b3_r, b3_p, {f1('b3_p', 'b3_r')} AS b3_f1,
+  ({_div('cb', 'cg')} + {_div('nb', 'ng')}) / 2 AS blanc_r, ({_div('cb', 'cp')} + {_div('nb', 'np')}) / 2 AS blanc_p, ({_div('2 * cb', 'cg + cp')} + {_div('2 * nb', 'ng + np')}) / 2 AS blanc_f1 FROM x"""
+
+
+PROBLEMS = f"""WITH {META}, m AS (SELECT doc_id, CASE WHEN h % 41 = 0 THEN 'XX' ELSE domain END AS domain, phenomenon, CASE WHEN h % 37 = 0 THEN 'dev' ELSE {V.split_sql()} END AS split, h FROM (SELECT *, {V.draw_sql("'meta'", 'doc_id')} AS h FROM meta)),
+o AS (SELECT doc_id FROM documents WHERE {V.split_sql()} = 'test'), r AS (SELECT * FROM (SELECT * FROM m WHERE h % 43 <> 0 UNION ALL SELECT * FROM m WHERE h % 47 = 0) SEMI JOIN o USING (doc_id))
+SELECT doc_id, 'no_metadata' AS problem, NULL AS value FROM o ANTI JOIN r USING (doc_id) UNION ALL SELECT doc_id, 'repeated_metadata', count(*)::VARCHAR FROM r GROUP BY doc_id HAVING count(*) > 1
+UNION ALL SELECT doc_id, 'other_split', split FROM r WHERE split <> 'test' UNION ALL SELECT doc_id, 'unknown_domain', domain FROM r WHERE domain = 'XX' UNION ALL SELECT NULL, 'total', n::VARCHAR FROM (SELECT count(*) AS n FROM o) WHERE n <> 448"""
 GLOB = f"v_idx AS (SELECT {_SP}, (row_number() OVER (PARTITION BY doc_id ORDER BY sentence_id, token_id) - 1)::INT AS idx FROM v_tok)"
 AUDIT = ZERO_SQL + f""",
 v_j AS (SELECT z.*, p.pred_id FROM v_zero z LEFT JOIN v_pred p {_J}),
@@ -399,6 +461,9 @@ PLANS = {
     "blanc_by_slice": (blanc_by_slice, BLANC_SQL),
     "ceafe_by_slice": (ceafe_by_slice, None),
     "conll_f1_by_slice": (conll_f1_by_slice, None),
+    "slice_scores": (slice_scores, _slice_sql()),
+    "slice_conll_scores": (slice_conll_scores, None),
+    "slice_problems": (slice_problems, PROBLEMS),
     "global_token_index": (global_token_index, f"WITH {V.TOK}, {GLOB} SELECT * FROM v_idx"),
     "sentence_starts": (sentence_starts, f"WITH {V.TOK}, {GLOB} SELECT doc_id, sentence_id, min(idx) AS start FROM v_idx GROUP BY ALL"),
 }

@@ -10,6 +10,7 @@ from tessera.operators import corpus as O
 from tessera.operators import dedup as D
 from tessera.operators import generate as G
 from tessera.plans import views as V
+from tessera.plans.corpus_plans import CHAINS
 from tessera.schemas import CATEGORY_PRIORITY, EVENT_CHAIN, ZERO
 
 #: The white space that (?U)\s matches, for RE2.
@@ -96,9 +97,18 @@ def secret_scan_pages(s, d):
 
 
 def json_lenient(s, d):
-    e = V.table(s, d, "events")
-    wrapped = F.concat(F.lit("answer ```json\n"), F.regexp_replace("props", ":", "："), F.lit("\n``` end"))
-    return e.select("event_id", (T.parse_object(wrapped) == F.to_json(F.try_parse_json("props"))).alias("recovered"), T.parse_object(F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit("]"))).isNull().alias("array_is_null"))
+    """What is recovered from answers that wrap, bend or break the events' JSON in six ways; null where there is no object."""
+    n = F.get_json_object("props", "$.k")
+    answers = [
+        F.concat(F.lit("answer ```json\n{“k”："), n, F.lit("}\n``` end")),
+        F.concat(F.lit('{"k": '), n, F.lit(', "b": True, "c": None,}')),
+        F.concat(F.lit('so: {"k": {"a": '), n, F.lit('}} and {"z": 1}')),
+        F.concat(F.lit("["), n, F.lit("]")),
+        F.concat(F.lit("nothing but "), n),
+        F.concat(F.lit('{"k": '), n),
+    ]
+    answer = F.get(F.array(*answers), (F.col("event_id") % len(answers)).cast("int"))
+    return V.table(s, d, "events").select("event_id", T.parse_object(answer).alias("parsed"))
 
 
 def topic_signature(s, d):
@@ -279,7 +289,11 @@ PLANS = {
     "year_rules": (year_rules, r"SELECT doc_id, regexp_matches(t, '^\s*20(25|26|27|28|29)\s*年') AS year_start, regexp_matches(t, '20(0[0-9]|1[0-9]|2[0-4])\s*年') AS year_before_2025 FROM (SELECT doc_id, regexp_replace(text, '([0-9]{4})', '\1年', 'g') AS t FROM documents)"),
     "secret_scan": (secret_scan, f"SELECT doc_id, regexp_matches(text, {_PATH}) AS path_hit, regexp_matches(text, {_KEY}) AS key_hit FROM documents"),
     "secret_scan_pages": (secret_scan_pages, f"SELECT page_id, regexp_matches(html, {_PATH}) AS path_hit, regexp_matches(html, {_KEY}) AS key_hit FROM pages"),
-    "json_lenient": (json_lenient, "SELECT event_id, true AS recovered, true AS array_is_null FROM events"),
+    "json_lenient": (
+        json_lenient,
+        '''SELECT event_id, CASE event_id % 6 WHEN 0 THEN '{"k":' || n || '}' WHEN 1 THEN '{"b":true,"c":null,"k":' || n || '}' WHEN 2 THEN '{"k":{"a":' || n || '}}' END AS parsed
+        FROM (SELECT event_id, json_extract(props, '$.k')::VARCHAR AS n FROM events)''',
+    ),
     "topic_signature": (
         topic_signature,
         f"""SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(string_split(regexp_replace(regexp_replace(lower(t), '{WS}+', '', 'g'), '[：:|｜，、。；;,.!！?？—-]+', '_', 'g'), '_'), lambda x: x <> ''))), '|') AS signature,
@@ -292,8 +306,20 @@ PLANS = {
         (tp + tn) / (tp + fp + fn + tn)::DOUBLE AS accuracy FROM (SELECT count(*) FILTER (WHERE g AND p) AS tp, count(*) FILTER (WHERE NOT g AND p) AS fp, count(*) FILTER (WHERE g AND NOT p) AS fn, count(*) FILTER (WHERE NOT g AND NOT p) AS tn
         FROM (SELECT quality = 1 AS g, length(regexp_replace(text, '[#$%&*|]', '', 'g')) > length(text) * 0.97::DOUBLE AS p FROM documents JOIN labels USING (doc_id)))""",
     ),
-    "validation_reason": (validation_reason, None),
-    "candidate_score": (candidate_score, None),
+    "validation_reason": (
+        validation_reason,
+        f"""WITH {CHAINS}, st AS (SELECT doc_id, count(*) AS ns, arg_min(sent, sentence_id) AS s1 FROM v_sent GROUP BY doc_id),
+        k AS (SELECT doc_id, count(*) AS nc, list(chain_type) AS types FROM v_chain GROUP BY doc_id),
+        a AS (SELECT m.doc_id, m.chain_id, m.sentence_id, m.token_id, CASE WHEN NOT m.is_zero THEN 'zero_anaphor_not_O' WHEN NOT contains(sent, 'Ø') THEN 'zero_anaphor_not_in_sentence' END AS fault
+              FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, chain_id ORDER BY sentence_id, token_id) AS i FROM v_mention) m JOIN v_sent USING (doc_id, sentence_id) JOIN v_chain c ON c.doc_id = m.doc_id AND c.chain_id = m.chain_id
+              WHERE i > 1 AND c.chain_type = '{ZERO}'),
+        z AS (SELECT doc_id, arg_min(fault, (chain_id, sentence_id, token_id)) AS fault FROM a WHERE fault IS NOT NULL GROUP BY doc_id)
+        SELECT d.doc_id, CASE WHEN length(text) < 110 THEN 'text_too_short' WHEN coalesce(ns, 0) NOT BETWEEN 5 AND 60 THEN 'bad_sentences_len' WHEN coalesce(nc, 0) < 3 THEN 'too_few_chains' WHEN z.fault IS NOT NULL THEN z.fault
+          WHEN NOT list_contains(types, kind) THEN 'primary_type_missing:' || kind WHEN regexp_matches(s1, '^\\s*20(25|26|27|28|29)\\s*年') THEN 'bad_time_anchor_year_start'
+          WHEN regexp_matches(text, '20(0[0-9]|1[0-9]|2[0-4])\\s*年') THEN 'contains_pre_2025_year' ELSE 'ok' END AS reason
+        FROM (SELECT doc_id, text, {list(CATEGORY_PRIORITY)}[{V.draw_sql('doc_id')} % 5 + 1] AS kind FROM documents) d LEFT JOIN st USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN z USING (doc_id)""",
+    ),
+    "candidate_score": (candidate_score, f"WITH {CHAINS} SELECT doc_id, (3 * count(DISTINCT chain_type) + count(*) FILTER (WHERE end_sentence > start_sentence))::INT AS score FROM v_chain GROUP BY doc_id"),
     "best_candidate": (
         best_candidate,
         f"""WITH c AS (SELECT conv_id AS topic, trunc(turn / 3)::INT AS attempt, turn::INT AS cand, ({V.draw_sql('conv_id', 'turn')} % 16)::INT AS score FROM conversations WHERE {V.draw_sql('conv_id', 'turn')} % 4 <> 0),
