@@ -51,16 +51,13 @@ def with_prf(counts: DataFrame) -> DataFrame:
 
 def type_diagnostics(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
     """Per mention type: gold mentions, those seen in pairs, coverage, pairs, counts and P/R/F1. A pair counts once for each distinct type it involves."""
-    each = pairs.withColumn("type", F.explode(F.array_distinct(F.array("mention_type1", "mention_type2"))))
-    counts = each.groupBy("type").agg(
-        F.count("*").alias("pairs"),
-        F.count_if(F.col("label") & F.col("pred")).alias("tp"),
-        F.count_if(~F.col("label") & F.col("pred")).alias("fp"),
-        F.count_if(F.col("label") & ~F.col("pred")).alias("fn"),
-        F.count_if(~F.col("label") & ~F.col("pred")).alias("tn"),
-    )
-    ends = F.explode(F.array(*(F.struct(F.col(f"s{i}").alias("s"), F.col(f"t{i}").alias("t"), F.col(f"mention_type{i}").alias("type")) for i in (1, 2))))
-    seen = pairs.select("doc_id", ends.alias("e")).select("doc_id", "e.*").distinct().groupBy("type").agg(F.count("*").alias("seen"))
+    types = ["mention_type1", "mention_type2"]
+    cells = pairs.groupBy(*types, "label", "pred").agg(F.count("*").alias("n"))
+    each = cells.withColumn("type", F.explode(F.array_distinct(F.array(*types))))
+    of = lambda label, pred: F.coalesce(F.sum(F.when((F.col("label") == label) & (F.col("pred") == pred), F.col("n"))), F.lit(0))
+    counts = each.groupBy("type").agg(F.sum("n").alias("pairs"), of(True, True).alias("tp"), of(False, True).alias("fp"), of(True, False).alias("fn"), of(False, False).alias("tn"))
+    ends = [pairs.select("doc_id", F.col(f"s{i}").alias("s"), F.col(f"t{i}").alias("t"), F.col(f"mention_type{i}").alias("type")).distinct() for i in (1, 2)]
+    seen = ends[0].unionByName(ends[1]).distinct().groupBy("type").agg(F.count("*").alias("seen"))
     gold = mentions.groupBy(F.col("mention_type").alias("type")).agg(F.count("*").alias("gold_mentions"))
     zero = F.lit(0).cast("long")
     joined = gold.join(seen, "type", "left").join(counts, "type", "left")
@@ -105,10 +102,14 @@ def top_errors(errors: DataFrame, error: str, n: int = 30) -> DataFrame:
     return errors.where(F.col("error") == error).orderBy(*order).limit(n)
 
 
-def error_summary(errors: DataFrame, dimensions: list[str]) -> DataFrame:
-    """Counts by each dimension on its own: target, error, dimension, value, n."""
+def error_summary(errors: DataFrame, dimensions: list[str], n: str | None = None) -> DataFrame:
+    """Counts by each dimension on its own: target, error, dimension, value, n. Rows count once, or as often as their column n says.
+
+    All dimensions are counted together first, so what is stacked are counts.
+    """
+    counts = errors.groupBy("target", "error", *dimensions).agg((F.sum(n) if n else F.count("*")).alias("n"))
     stacked = F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions)))
-    return errors.select("target", "error", stacked.alias("x")).groupBy("target", "error", "x.dimension", "x.value").agg(F.count("*").alias("n"))
+    return counts.select("target", "error", "n", stacked.alias("x")).groupBy("target", "error", "x.dimension", "x.value").agg(F.sum("n").alias("n"))
 
 
 def most_common(df: DataFrame, by: list[str], value: str, position: Column) -> DataFrame:

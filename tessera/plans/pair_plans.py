@@ -15,12 +15,17 @@ from tessera.schemas import EVENT_MENTION, ZERO
 KEYS = ["doc_id", "s1", "t1", "s2", "t2"]
 
 
+def _drawn(mentions: DataFrame) -> DataFrame:
+    """Mentions with a draw of their own; a pair's draws are arithmetic on those of its two."""
+    return mentions.withColumn("h", V.draw("doc_id", "sentence_id", "token_id"))
+
+
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return P.mention_pairs(V.mentions(spark, sf))
+    return P.mention_pairs(_drawn(V.mentions(spark, sf)), carry=("mention_type", "semantics", "h"))
 
 
 def score(p: DataFrame) -> DataFrame:
-    h = V.draw("doc_id", "s1", "t1", "s2", "t2") % 1000
+    h = V.pair_draw("score") % 1000
     return p.withColumn("p", F.least(F.lit(1.0), (h + F.when(F.col("label"), 400).otherwise(0)) / F.lit(1000.0)))
 
 
@@ -28,21 +33,22 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
     return score(pairs(spark, sf)).withColumn("pred", F.col("p") >= 0.5)
 
 
-def _scores(spark: SparkSession, sf: str, share: int = 10) -> DataFrame:
-    """Scores of the pairs whose draw leaves something modulo ``share``: some pairs have none."""
-    return scored(spark, sf).where(V.draw(F.lit("m"), "doc_id", "s1", "t1", "s2", "t2") % share != 0).select(*KEYS, "p")
+def _scores(spark: SparkSession, sf: str, *more: str) -> DataFrame:
+    """Scores of nine pairs in ten: some have none."""
+    return scored(spark, sf).where(V.pair_draw("some") % 10 != 0).select(*KEYS, "p", *more)
 
 
 PAIR = V.MENTION + f""",
+v_drawn AS (SELECT *, {V.draw_sql('doc_id', 'sentence_id', 'token_id')} AS h FROM v_mention),
 v_pair AS (
   SELECT a.doc_id, a.sentence_id AS s1, a.token_id AS t1, a.chain_id AS c1, b.sentence_id AS s2, b.token_id AS t2, b.chain_id AS c2,
-    a.mention_type AS mention_type1, b.mention_type AS mention_type2, a.split, a.tok AS tok1, b.tok AS tok2, a.chain_id = b.chain_id AS label
-  FROM v_mention a JOIN v_mention b ON a.doc_id = b.doc_id AND (b.sentence_id > a.sentence_id OR (b.sentence_id = a.sentence_id AND b.token_id > a.token_id)))"""
+    a.mention_type AS mention_type1, b.mention_type AS mention_type2, a.split, a.tok AS tok1, b.tok AS tok2, a.h AS h1, b.h AS h2, a.chain_id = b.chain_id AS label
+  FROM v_drawn a JOIN v_drawn b ON a.doc_id = b.doc_id AND (b.sentence_id > a.sentence_id OR (b.sentence_id = a.sentence_id AND b.token_id > a.token_id)))"""
 SCORED = PAIR + f""",
 v_scored AS (
   SELECT *, p >= 0.5 AS pred FROM (
-    SELECT *, least(1.0::DOUBLE, ({V.draw_sql('doc_id', 's1', 't1', 's2', 't2')} % 1000 + CASE WHEN label THEN 400 ELSE 0 END) / 1000.0::DOUBLE) AS p FROM v_pair)),
-v_some AS (SELECT doc_id, s1, t1, s2, t2, p FROM v_scored WHERE {V.draw_sql("'m'", 'doc_id', 's1', 't1', 's2', 't2')} % 10 <> 0)"""
+    SELECT *, least(1.0::DOUBLE, ({V.pair_draw_sql('score')} % 1000 + CASE WHEN label THEN 400 ELSE 0 END) / 1000.0::DOUBLE) AS p FROM v_pair)),
+v_some AS (SELECT doc_id, s1, t1, s2, t2, p FROM v_scored WHERE {V.pair_draw_sql('some')} % 10 <> 0)"""
 PRF = """CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END AS recall,
   CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0 END AS f1"""
 COUNTS = """count(*) FILTER (WHERE label AND pred) AS tp, count(*) FILTER (WHERE NOT label AND pred) AS fp,
@@ -120,9 +126,9 @@ def pair_stats(s, d):
 
 
 def pair_train_sample(s, d):
-    train = V.mentions(s, d).where("split = 'train'")
-    p = P.mention_pairs(train).select(*KEYS, "label")
-    return P.sample_negatives(p, V.draw(F.lit("seed"), *KEYS), 1.0)
+    train = _drawn(V.mentions(s, d).where("split = 'train'"))
+    p = P.mention_pairs(train, carry=("h",)).select(*KEYS, "label", "h1", "h2")
+    return P.sample_negatives(p, V.pair_draw("seed"), 1.0)
 
 
 def special_token_remap(s, d):
@@ -134,8 +140,7 @@ def score_join_strict(s, d):
 
 
 def score_join_canonical(s, d):
-    swap = V.draw(F.lit("w"), "doc_id", "s1", "t1", "s2", "t2") % 2 == 0
-    flipped = _scores(s, d).withColumn("f", swap).select(
+    flipped = _scores(s, d, "h1", "h2").withColumn("f", V.pair_draw("swap") % 2 == 0).select(
         "doc_id", *(F.when(F.col("f"), F.col(a)).otherwise(F.col(b)).alias(n) for n, a, b in (("s1", "s2", "s1"), ("t1", "t2", "t1"), ("s2", "s1", "s2"), ("t2", "t1", "t2"))), "p"
     )
     return P.join_scores(mention_pairs(s, d), P.canonical(flipped), KEYS)
@@ -189,7 +194,8 @@ def error_fn_top30(s, d):
 
 
 def error_summary(s, d):
-    return M.error_summary(error_rows(s, d).withColumn("split", V.split_of("doc_id")), ["split", "partner_type", "bucket"])
+    counts = error_rows(s, d).groupBy("doc_id", "target", "error", "partner_type", "bucket").agg(F.count("*").alias("n"))
+    return M.error_summary(counts.withColumn("split", V.split_of("doc_id")), ["split", "partner_type", "bucket"], "n")
 
 
 def error_most_common(s, d):
@@ -249,14 +255,18 @@ def _digested(rows, *columns):
     return lambda s, d: V.digest(rows(s, d), *columns)
 
 
+def _summed(rows, *columns):
+    return lambda s, d: V.numbers_digest(rows(s, d), *columns)
+
+
 _P = "round(p * 1000)::BIGINT"
 PLANS = {
-    "mention_pairs": (_digested(mention_pairs, *KEYS[1:], "label"), "WITH " + PAIR + V.digest_sql("SELECT * FROM v_pair", "s1", "t1", "s2", "t2", "label")),
+    "mention_pairs": (_summed(mention_pairs, *KEYS[1:], "label"), "WITH " + PAIR + V.numbers_digest_sql("SELECT * FROM v_pair", "s1", "t1", "s2", "t2", "label")),
     "pair_windows": (
-        _digested(pair_windows, *KEYS[1:], "w_start", "w_stop", "local1", "local2"),
-        "WITH " + WINDOWS + V.digest_sql("SELECT * FROM v_window WHERE st IS NOT NULL", "s1", "t1", "s2", "t2", "w_start", "w_stop", "g1 - w_start", "g2 - w_start"),
+        _summed(pair_windows, *KEYS[1:], "w_start", "w_stop", "local1", "local2"),
+        "WITH " + WINDOWS + V.numbers_digest_sql("SELECT * FROM v_window WHERE st IS NOT NULL", "s1", "t1", "s2", "t2", "w_start", "w_stop", "g1 - w_start", "g2 - w_start"),
     ),
-    "pair_rejected_long": (_digested(pair_rejected_long, *KEYS[1:], "pair_width"), "WITH " + WINDOWS + V.digest_sql("SELECT * FROM v_window WHERE st IS NULL", "s1", "t1", "s2", "t2", "g2 - g1 + 1")),
+    "pair_rejected_long": (_summed(pair_rejected_long, *KEYS[1:], "pair_width"), "WITH " + WINDOWS + V.numbers_digest_sql("SELECT * FROM v_window WHERE st IS NULL", "s1", "t1", "s2", "t2", "g2 - g1 + 1")),
     "pair_records": (
         _digested(pair_records, *KEYS[1:], "text_md5", "span1_text", "span2_text", "label"),
         f"""WITH {WINDOWS}, v_all AS (SELECT doc_id, list(tok ORDER BY idx) AS toks FROM v_glob GROUP BY doc_id),
@@ -275,28 +285,28 @@ PLANS = {
         (SELECT count(*) FROM v_mention) AS source_mentions, (SELECT count(*) FROM (SELECT DISTINCT doc_id, chain_id FROM v_mention)) AS source_chains FROM v_window""",
     ),
     "pair_train_sample": (
-        _digested(pair_train_sample, *KEYS[1:], "label"),
-        f"""WITH {PAIR}, t AS (SELECT {_K}, label, {V.draw_sql("'seed'", 'doc_id', 's1', 't1', 's2', 't2')} AS o FROM v_pair WHERE split = 'train'),
+        _summed(pair_train_sample, *KEYS[1:], "label"),
+        f"""WITH {PAIR}, t AS (SELECT {_K}, label, {V.pair_draw_sql('seed')} AS o FROM v_pair WHERE split = 'train'),
         n AS (SELECT *, row_number() OVER (ORDER BY o, {_K}) AS k FROM t WHERE NOT label) """
-        + V.digest_sql(f"SELECT {_K}, label FROM t WHERE label UNION ALL SELECT {_K}, label FROM n WHERE k <= (SELECT count(*) FROM t WHERE label)", "s1", "t1", "s2", "t2", "label"),
+        + V.numbers_digest_sql(f"SELECT {_K}, label FROM t WHERE label UNION ALL SELECT {_K}, label FROM n WHERE k <= (SELECT count(*) FROM t WHERE label)", "s1", "t1", "s2", "t2", "label"),
     ),
     "special_token_remap": (
         special_token_remap,
         f"WITH {V.TOK} {GLOBAL} SELECT doc_id, idx AS old_idx, row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS new_idx FROM v_glob WHERE tok NOT IN ('the', 'The', 'de', 'der')",
     ),
     "score_join_strict": (
-        _digested(score_join_strict, *KEYS[1:], "label", "bigint(round(p * 1000))"),
-        "WITH " + SCORED + V.digest_sql(f"SELECT {_K}, label, v_some.p FROM v_pair JOIN v_some USING ({_K})", "s1", "t1", "s2", "t2", "label", _P),
+        _summed(score_join_strict, *KEYS[1:], "label", "bigint(round(p * 1000))"),
+        "WITH " + SCORED + V.numbers_digest_sql(f"SELECT {_K}, label, v_some.p FROM v_pair JOIN v_some USING ({_K})", "s1", "t1", "s2", "t2", "label", _P),
     ),
     "score_join_canonical": (
-        _digested(score_join_canonical, *KEYS[1:], "label", "bigint(round(p * 1000))"),
-        "WITH " + SCORED + V.digest_sql(f"SELECT {_K}, label, v_some.p FROM v_pair JOIN v_some USING ({_K})", "s1", "t1", "s2", "t2", "label", _P),
+        _summed(score_join_canonical, *KEYS[1:], "label", "bigint(round(p * 1000))"),
+        "WITH " + SCORED + V.numbers_digest_sql(f"SELECT {_K}, label, v_some.p FROM v_pair JOIN v_some USING ({_K})", "s1", "t1", "s2", "t2", "label", _P),
     ),
     "score_left_default": (
-        _digested(score_left_default, *KEYS[1:], "label", "bigint(round(p * 1000))", "matched"),
-        "WITH " + SCORED + V.digest_sql(f"SELECT {_K}, label, coalesce(v_some.p, 0) AS p, v_some.p IS NOT NULL AS matched FROM v_pair LEFT JOIN v_some USING ({_K})", "s1", "t1", "s2", "t2", "label", _P, "matched"),
+        _summed(score_left_default, *KEYS[1:], "label", "bigint(round(p * 1000))", "matched"),
+        "WITH " + SCORED + V.numbers_digest_sql(f"SELECT {_K}, label, coalesce(v_some.p, 0) AS p, v_some.p IS NOT NULL AS matched FROM v_pair LEFT JOIN v_some USING ({_K})", "s1", "t1", "s2", "t2", "label", _P, "matched"),
     ),
-    "score_missing": (_digested(score_missing, *KEYS[1:], "label"), "WITH " + SCORED + V.digest_sql(f"SELECT {_K}, label FROM v_pair ANTI JOIN v_some USING ({_K})", "s1", "t1", "s2", "t2", "label")),
+    "score_missing": (_summed(score_missing, *KEYS[1:], "label"), "WITH " + SCORED + V.numbers_digest_sql(f"SELECT {_K}, label FROM v_pair ANTI JOIN v_some USING ({_K})", "s1", "t1", "s2", "t2", "label")),
     "score_gates": (
         score_gates,
         f"""WITH {SCORED} SELECT 'duplicate_pair' AS kind, count(*) AS n FROM (SELECT {_K} FROM v_pair GROUP BY ALL HAVING count(*) > 1)
@@ -360,8 +370,8 @@ PLANS = {
     ),
     "empty_response": (empty_response, f"WITH {V.TOK} SELECT doc_id, sentence_id, token_id, '-' AS coref FROM v_tok"),
     "exact_string_scores": (
-        _digested(exact_string_scores, *KEYS[1:], "int(p_coref)"),
-        "WITH " + PAIR + V.digest_sql(f"SELECT {_K}, CASE WHEN lower(tok1) = lower(tok2) THEN 1 ELSE 0 END AS x FROM v_pair", "s1", "t1", "s2", "t2", "x"),
+        _summed(exact_string_scores, *KEYS[1:], "int(p_coref)"),
+        "WITH " + PAIR + V.numbers_digest_sql(f"SELECT {_K}, CASE WHEN lower(tok1) = lower(tok2) THEN 1 ELSE 0 END AS x FROM v_pair", "s1", "t1", "s2", "t2", "x"),
     ),
     "cluster_map_conflicts": (cluster_map_conflicts, f'WITH {V.MENTION} SELECT doc_id, token_id AS start, token_id AS "end", count(DISTINCT chain_id) AS n_clusters FROM v_mention GROUP BY ALL HAVING count(DISTINCT chain_id) > 1'),
 }

@@ -99,6 +99,44 @@ def digest_sql(source: str, *columns: str) -> str:
     return f"SELECT doc_id, count(*) AS n, sum(('0x' || substr(md5(concat_ws('|', {parts})), 1, 15))::BIGINT)::VARCHAR AS digest FROM ({source}) GROUP BY doc_id"
 
 
+#: A prime, and factors for hashes by arithmetic that stay below 2 to the 63rd.
+PRIME, FACTOR, START = 2147483647, 48271, 69621
+
+
+def numbers_digest(df: DataFrame, *columns: str) -> DataFrame:
+    """digest() over whole numbers and truth values, by arithmetic: a row costs a few multiplications."""
+    h = F.lit(START).cast("long")
+    for c in columns:
+        value = F.coalesce(F.expr(c).cast("long"), F.lit(-1))
+        h = F.pmod(h * FACTOR + value, F.lit(PRIME))
+        h = F.pmod(h * h + START, F.lit(PRIME))
+    return df.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(h).cast("string").alias("digest"))
+
+
+def numbers_digest_sql(source: str, *columns: str) -> str:
+    steps, last = "", "s"
+    for k, c in enumerate(columns):
+        mixed = f"((h * {FACTOR} + coalesce(({c})::BIGINT, -1)) % {PRIME} + {PRIME}) % {PRIME}"
+        steps += f", n{k} AS (SELECT * REPLACE ((({mixed}) * ({mixed}) + {START}) % {PRIME} AS h) FROM {last})"
+        last = f"n{k}"
+    return f"SELECT doc_id, count(*) AS n, sum(h)::VARCHAR AS digest FROM (WITH s AS (SELECT *, {START}::BIGINT AS h FROM ({source})){steps} SELECT * FROM {last}) GROUP BY doc_id"
+
+
+#: Factors of the two mentions' draws for each kind of draw on a pair.
+PAIR_DRAWS = {"score": (48271, 69621), "some": (39373, 16807), "swap": (40692, 40014), "seed": (62089, 45991)}
+
+
+def pair_draw(kind: str) -> Column:
+    """31 bits for a pair out of the draws of its mentions, h1 and h2."""
+    a, b = PAIR_DRAWS[kind]
+    return F.pmod(F.col("h1") * a + F.col("h2") * b, F.lit(PRIME))
+
+
+def pair_draw_sql(kind: str) -> str:
+    a, b = PAIR_DRAWS[kind]
+    return f"((h1 * {a} + h2 * {b}) % {PRIME})"
+
+
 SENT = r"""v_sent AS (
   SELECT doc_id, unnest(range(1, len(a) + 1))::INT AS sentence_id, unnest(a) AS sent
   FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]+[.!?\n]?') AS a FROM documents))"""
