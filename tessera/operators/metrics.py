@@ -65,8 +65,8 @@ def type_diagnostics(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
     return with_prf(filled.withColumn("coverage", ratio("seen", "gold_mentions"))).drop("accuracy")
 
 
-def error_rows(pairs: DataFrame, targets: dict[str, str]) -> DataFrame:
-    """Wrong pairs that involve a target type, a row per target: target, error (FP, FN), endpoint (both, span1, span2), partner_type, bucket, margin."""
+def _involved(targets: dict[str, str]) -> Column:
+    """A struct (target, endpoint, partner_type) for each target type that a pair's mentions have: endpoint is both, span1 or span2."""
     rows = F.array(
         *(
             F.struct(
@@ -80,9 +80,14 @@ def error_rows(pairs: DataFrame, targets: dict[str, str]) -> DataFrame:
             for name, t in targets.items()
         )
     )
+    return F.explode(F.filter(rows, lambda r: r["endpoint"].isNotNull()))
+
+
+def error_rows(pairs: DataFrame, targets: dict[str, str]) -> DataFrame:
+    """Wrong pairs that involve a target type, a row per target: target, error (FP, FN), endpoint (both, span1, span2), partner_type, bucket, margin."""
     return (
         pairs.where(F.col("label") != F.col("pred"))
-        .withColumn("x", F.explode(F.filter(rows, lambda r: r["endpoint"].isNotNull())))
+        .withColumn("x", _involved(targets))
         .select(
             "doc_id", "s1", "t1", "s2", "t2", "p",
             F.col("x.target").alias("target"),
@@ -95,6 +100,15 @@ def error_rows(pairs: DataFrame, targets: dict[str, str]) -> DataFrame:
     )
 
 
+def error_counts(pairs: DataFrame, targets: dict[str, str], *by: str) -> DataFrame:
+    """error_rows() counted: by, target, error, partner_type, bucket, n. Pairs are counted by their types and distance first, so no row is made of a pair."""
+    types = ["mention_type1", "mention_type2"]
+    wide = F.least(F.abs(F.col("s2") - F.col("s1")), F.lit(4)).alias("gap")
+    cells = pairs.where(F.col("label") != F.col("pred")).groupBy(*by, *types, "pred", wide).agg(F.count("*").alias("n"))
+    told = cells.withColumn("x", _involved(targets)).withColumn("bucket", distance_bucket(F.col("gap"))).withColumn("error", F.when(F.col("pred"), "FP").otherwise("FN"))
+    return told.groupBy(*by, "x.target", "error", "x.partner_type", "bucket").agg(F.sum("n").alias("n"))
+
+
 def top_errors(errors: DataFrame, error: str, n: int = 30) -> DataFrame:
     """False positives by falling, false negatives by rising score (8 decimals); ties in pair order."""
     p = F.round("p", 8)

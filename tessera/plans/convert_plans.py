@@ -43,7 +43,7 @@ def token_insert(s, d):
 
 def _mention_map(s, d):
     placed = materialize(_placed(s, d), "placed")
-    return materialize(K.mention_map(placed, K.token_map(V.sentences(s, d), placed)), "mentions")
+    return materialize(K.mention_map(placed), "mentions")
 
 
 def span_to_token(s, d):
@@ -73,7 +73,7 @@ def conversion_summary(s, d):
 def conll_lines(s, d):
     placed = materialize(_placed(s, d), "placed")
     tokens = K.token_map(V.sentences(s, d), placed)
-    m = materialize(K.mention_map(placed, tokens), "mentions")
+    m = materialize(K.mention_map(placed), "mentions")
     ids = K.chain_map(m).select("mode", "doc_id", "chain_pos", "conll_chain_id")
     spans = m.where("is_exported").join(ids, ["mode", "doc_id", "chain_pos"]).select(
         F.struct("mode", "doc_id").alias("doc_id"), "sentence_id", F.col("token_start").alias("start"), F.col("token_end").alias("end"), F.col("conll_chain_id").alias("cid")

@@ -194,7 +194,7 @@ def error_fn_top30(s, d):
 
 
 def error_summary(s, d):
-    counts = error_rows(s, d).groupBy("doc_id", "target", "error", "partner_type", "bucket").agg(F.count("*").alias("n"))
+    counts = M.error_counts(scored(s, d), TARGETS, "doc_id")
     return M.error_summary(counts.withColumn("split", V.split_of("doc_id")), ["split", "partner_type", "bucket"], "n")
 
 

@@ -33,7 +33,7 @@ def write_conversion(docs: DataFrame, folder: str, char_end_mode: str = "inclusi
     sentences, raw = K.flatten_corpus(docs)
     placed = materialize(K.place_mentions(sentences, raw), "placed")
     tokens = materialize(K.token_map(sentences, placed).join(named.select("doc_id", "split"), "doc_id"), "tokens")
-    found = materialize(K.mention_map(placed, tokens.drop("split"), char_end_mode, drop_singletons), "mentions")
+    found = materialize(K.mention_map(placed, char_end_mode, drop_singletons), "mentions")
     chains = materialize(K.chain_map(found, drop_singletons), "chains")
     issues = materialize(K.issues(found, chains, sentences, named.select("doc_id", "text")), "issues")
     K.apply_policy(found, issues, policy)

@@ -32,7 +32,7 @@ def conversion(spark):
     s, m = K.flatten_corpus(docs)
     placed = K.place_mentions(s, m.withColumn("referent_semantics", F.lit("ENTITY")))
     tokens = K.token_map(s, placed)
-    return s, placed, tokens, K.mention_map(placed, tokens)
+    return s, placed, tokens, K.mention_map(placed)
 
 
 def test_fx1_conversion(spark):
@@ -43,7 +43,7 @@ def test_fx1_conversion(spark):
     assert spans == {"王明": (0, 1), "Ø": (0, 0), "他": (0, 0)}
     surface = mm.where("mode = 'surface_only'").collect()
     assert {x.text: x.drop_reason for x in surface} == {"王明": "", "Ø": "surface_only_drop_zero", "他": ""}
-    alone = K.mention_map(placed.where("text <> '他'"), tokens)
+    alone = K.mention_map(placed.where("text <> '他'"))
     gone = K.chain_map(alone).where("mode = 'surface_only'").first()
     assert gone.dropped and gone.drop_reason == "singleton_after_filter" and gone.conll_chain_id is None
 
