@@ -9,7 +9,7 @@ BEGIN, END = r"^#begin document \((.*)\);? ?(?:part (\d+))?\s*$", r"^#end docume
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line_no, line of whole files."""
+    """path, line_no, line of whole files, a row each; splits.conll_lines() gives the same of files of any size."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
 
 
@@ -63,6 +63,53 @@ def tokens(block_lines: DataFrame, numbering: str = "blank_lines") -> DataFrame:
     )
 
 
+def field_gates(block_lines: DataFrame, fields: int = 12) -> DataFrame:
+    """path, line_no, doc_id, part, n_fields of the token lines that don't have exactly so many fields."""
+    n = F.size(F.split(F.trim("line"), r"\s+"))
+    token = (F.trim("line") != "") & ~F.col("line").startswith("#")
+    return block_lines.where(token).select("path", "line_no", "doc_id", "part", n.alias("n_fields")).where(F.col("n_fields") != fields)
+
+
+def literal_mentions(block_lines: DataFrame) -> DataFrame:
+    """doc_id, sentence_id, start, end (token ids in the sentence), cid and problem of the mentions as one reads them from top to bottom.
+
+    A sentence begins at each token 0. Brackets match by a stack for each doc_id
+    and cluster, over all parts and blocks of the id; of mentions with one span
+    the last that closes counts. problem: close_without_open, unclosed or
+    cross_sentence; rows with a problem bear no span.
+    """
+    order = ["path", "line_no"]
+    columns = F.split(F.trim("line"), r"\s+")
+    token = (F.trim("line") != "") & ~F.col("line").startswith("#")
+    words = block_lines.where(token).withColumn("c", columns).withColumn("token_id", F.get("c", F.lit(2)).try_cast("int"))
+    run = Window.partitionBy("path", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    placed = words.withColumn("sentence_id", F.sum((F.col("token_id") == 0).cast("int")).over(run).cast("int"))
+    atoms = placed.withColumn("coref", F.element_at("c", -1)).where("coref <> '-'").select("doc_id", *order, "sentence_id", "token_id", F.posexplode(F.split("coref", r"\|")).alias("k", "atom"))
+    steps = F.array_compact(F.array(F.when(F.col("atom").startswith("("), 1), F.when(F.col("atom").endswith(")"), -1)))
+    step = atoms.withColumn("cid", F.regexp_replace("atom", r"^\(|\)$", "")).withColumn("step", F.explode(steps))
+    w = Window.partitionBy("doc_id", "cid").orderBy(*order, "k", F.desc("step"))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    # a closing without an opening leaves the stack empty: the depth is what is above the lowest point so far
+    summed = step.withColumn("sum", F.sum("step").over(upto)).withColumn("low", F.least(F.lit(0), F.min("sum").over(upto)))
+    level = summed.withColumn("orphan", (F.col("step") == -1) & (F.col("sum") < F.coalesce(F.lag("low").over(w), F.lit(0)))).withColumn(
+        "depth", F.when(F.col("step") == 1, F.col("sum")).otherwise(F.col("sum") + 1)
+    )
+    keys = ["doc_id", "cid", "depth", "nth"]
+    nth = F.row_number().over(Window.partitionBy("doc_id", "cid", "depth", "step").orderBy(*order, "k"))
+    matched = level.where("NOT orphan").withColumn("nth", nth)
+    opened = matched.where("step = 1").select(*keys, F.col("sentence_id").alias("os"), F.col("token_id").alias("start"))
+    closed = matched.where("step = -1").select(*keys, *order, "k", "sentence_id", F.col("token_id").alias("end"))
+    pairs = opened.join(closed, keys, "left")
+    problem = F.when(F.col("sentence_id").isNull(), "unclosed").when(F.col("os") != F.col("sentence_id"), "cross_sentence")
+    told = pairs.withColumn("problem", problem)
+    span = ["doc_id", "sentence_id", "start", "end"]
+    last = told.where("problem IS NULL").groupBy(*span).agg(F.max_by("cid", F.struct(*order, "k")).alias("cid")).withColumn("problem", F.lit(None).cast("string"))
+    none = F.lit(None).cast("int")
+    bad = told.where("problem IS NOT NULL").select("doc_id", F.col("os").alias("sentence_id"), none.alias("start"), none.alias("end"), "cid", "problem")
+    lost = level.where("orphan").select("doc_id", "sentence_id", none.alias("start"), none.alias("end"), "cid", F.lit("close_without_open").alias("problem"))
+    return last.unionByName(bad).unionByName(lost)
+
+
 def mentions(toks: DataFrame) -> DataFrame:
     """doc_id, part, cid, start and end (idx), sentence_id, end_sentence of matched brackets; start or end is null where one is without its partner.
 

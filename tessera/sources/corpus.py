@@ -9,6 +9,7 @@ from pyspark.sql.types import StringType
 
 from tessera import schemas as S
 from tessera.scratch import ship
+from tessera.sources.splits import json_objects
 
 ship(__name__)
 
@@ -35,15 +36,24 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", decode_any("content").alias("text"))
 
 
-def read_corpus(spark: SparkSession, path: str, schema: str = S.DOCUMENT) -> DataFrame:
-    """Documents of JSON-array files with row_index, their place in the array. Sentences may be texts or objects with a text."""
-    parsed = text_files(spark, path).select(F.posexplode(F.from_json("text", "array<string>")).alias("row_index", "raw"))
+def _documents(parsed: DataFrame, schema: str) -> DataFrame:
+    """Documents of row_index and raw, the JSON of each."""
     flat = F.from_json("raw", schema)
     items = F.from_json(F.get_json_object("raw", "$.sentences"), "array<string>")
     sentences = F.transform(items, lambda x: F.coalesce(F.get_json_object(x, "$.text"), x))
     return parsed.select("row_index", flat.alias("d"), sentences.alias("s")).select("row_index", "d.*", "s").withColumn("sentences", F.col("s")).drop("s")
 
 
+def read_corpus(spark: SparkSession, path: str, schema: str = S.DOCUMENT) -> DataFrame:
+    """Documents of JSON-array files with row_index, their place in the array. Sentences may be texts or objects with a text. A file is one row, 2 GB at most."""
+    return _documents(text_files(spark, path).select(F.posexplode(F.from_json("text", "array<string>")).alias("row_index", "raw")), schema)
+
+
+def read_large_corpus(spark: SparkSession, path: str, schema: str = S.DOCUMENT) -> DataFrame:
+    """read_corpus() of UTF-8 files of any size, which are read by byte ranges; arrays hold objects only."""
+    return _documents(json_objects(spark, path).select("row_index", "raw"), schema)
+
+
 def read_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """Delimited text with a header, all values text, a byte-order mark dropped, missing values empty."""
     df = spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"').csv(path)
