@@ -154,10 +154,12 @@ def parse_object(s: Column | str) -> Column:
 
 
 #: Deictic prefixes in the order in which they are tried; the first that fits is taken off.
-DEICTIC = "这项 这种 这位 这一 这个 这些 这 此 该 该项 该举措 该措施 该工程 该决定 该工作 该项目 上述 上述措施 上述行动".split()
+DEICTIC = (
+    "这项", "这种", "这位", "这一", "这个", "这些", "这", "此", "该", "该项", "该举措", "该措施", "该工程", "该决定", "该工作", "该项目", "上述", "上述措施", "上述行动",
+)
 
 
-def normalize_head(s: Column | str, prefixes: list[str] = DEICTIC) -> Column:
+def normalize_head(s: Column | str, prefixes: tuple[str, ...] = DEICTIC) -> Column:
     return F.regexp_replace(strip(s), f"^(?:{'|'.join(prefixes)})", "")
 
 

@@ -166,5 +166,25 @@ def alignment(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return c.select(F.explode(F.array(*(F.struct(F.lit(n).alias("kind"), F.col(n).alias("n")) for n in kinds))).alias("x")).select("x.*")
 
 
+def order_problems(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """doc_id, gold_place, pred_place of the documents (doc_id, place) that don't stand in the same place; null where a side lacks one."""
+    j = gold.select("doc_id", F.col("place").alias("gold_place")).join(pred.select("doc_id", F.col("place").alias("pred_place")), "doc_id", "full_outer")
+    return j.where(~F.col("gold_place").eqNullSafe(F.col("pred_place")))
+
+
+def zero_rows(mentions: DataFrame, tokens: DataFrame, semantics: str | None = None, mode: str = "with_zero") -> tuple[DataFrame, DataFrame]:
+    """(exported zero mentions of the mode, those of them with the semantics if one is asked; what the two maps don't agree on).
+
+    mentions: a mention map; tokens: a token map. The second frame has doc_id,
+    sentence_id, token_id and kind: mention_only or token_only. It must be empty.
+    """
+    key = ["doc_id", "sentence_id", "token_id"]
+    every = mentions.where((F.col("mode") == mode) & F.col("is_exported") & F.col("is_zero")).withColumn("token_id", F.col("token_start"))
+    structural = tokens.where((F.col("mode") == mode) & (F.col("is_zero_token") == 1)).select(key).distinct()
+    wanted = every if semantics is None else every.where(F.col("referent_semantics") == semantics)
+    alone = every.select(key).distinct().join(structural, key, "left_anti").withColumn("kind", F.lit("mention_only"))
+    return wanted, alone.unionByName(structural.join(every.select(key), key, "left_anti").withColumn("kind", F.lit("token_only")))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import YEAR_BEFORE_2025, YEAR_START, safe_int, strip, topic_brief
+from tessera.functions.text import YEAR_BEFORE_2025, YEAR_START, parse_object, safe_int, strip, topic_brief
 from tessera.schemas import CATEGORY_PRIORITY, EVENT_CHAIN, ZERO, ZERO_SIGN
+from tessera.scratch import materialize
 
 
 def validation_reason(
@@ -104,12 +107,14 @@ def plan_topics(space: DataFrame, signature: Column, history: DataFrame, blocked
 
 
 def batch_counts(accepted: DataFrame, order: list[str], by: str, size: int = 50) -> DataFrame:
-    """batch, value, n: counts that start anew every ``size`` accepted. Rows are numbered by ranges of the first order column."""
-    k = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
-    parts = accepted.groupBy("part").agg(F.count("*").alias("m"))
-    before = parts.withColumn("before", F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = accepted.withColumn("k", k).join(F.broadcast(before.select("part", "before")), "part")  # one row per range
-    return numbered.groupBy(F.floor((F.col("k") + F.col("before")) / size).alias("batch"), F.col(by).alias("value")).agg(F.count("*").alias("n"))
+    """batch, value, n: counts that start anew every ``size`` accepted. Rows are numbered by ranges of the order: a row per range is summed up, so nothing that is broadcast grows with the rows."""
+    rows = materialize(accepted.select(*order, by).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "accepted")
+    # one row for each partition
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_before"))
+    k = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    numbered = rows.withColumn("_k", k).join(F.broadcast(base), "_part")
+    return numbered.groupBy(F.floor((F.col("_k") + F.col("_before")) / size).alias("batch"), F.col(by).alias("value")).agg(F.count("*").alias("n"))
 
 
 def recent(df: DataFrame, by: list[str], order: str, value: str, n: int) -> DataFrame:
@@ -127,5 +132,16 @@ def repaired(obj: Column, envelope: bool = True) -> Column:
     return F.when(status.isin("ok", "fixed") & data.startswith("{"), data)
 
 
+def taken_repairs(answers: DataFrame, schema: str, check: Callable[[Column], Column], envelope: bool = True) -> DataFrame:
+    """answers (answer: lenient JSON) with repaired, the document of a repair as this schema, and reason: no_document, or what check says of it (ok if nothing).
+
+    A repaired document is judged anew by the rules that it broke: check gets the
+    struct and gives the first broken rule or ok. Only rows of reason ok may be taken.
+    """
+    raw = repaired(parse_object("answer"), envelope)
+    told = answers.withColumn("repaired", F.from_json(raw, schema))
+    return told.withColumn("reason", F.when(F.col("repaired").isNull(), "no_document").otherwise(F.coalesce(check(F.col("repaired")), F.lit("ok"))))
+
+
 def gen_id(prefix: Column, number: Column, suffix: Column) -> Column:
     return F.format_string("%s-%06d-%s", prefix, number, suffix)

@@ -9,6 +9,7 @@ sentence gap a residual condition bounds them instead.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -92,6 +93,11 @@ def kept_token_index(tokens: DataFrame, special: list[str]) -> DataFrame:
     )
 
 
+def bad_tokens(tokens: DataFrame) -> DataFrame:
+    """doc_id, idx, tok of the tokens that are null, empty or hold white space: a pair's text is split at blanks again."""
+    return tokens.where(F.coalesce((F.col("tok") == "") | F.col("tok").rlike(r"(?U)\s"), F.lit(True))).select("doc_id", "idx", "tok")
+
+
 def remap_spans(spans: DataFrame, kept: DataFrame) -> DataFrame:
     """Spans (doc_id, start, end) in new indexes; status is touches_special or not_contiguous where a span can't be kept."""
     a = kept.select("doc_id", F.col("old_idx").alias("start"), F.col("new_idx").alias("new_start"))
@@ -157,18 +163,29 @@ def canonical(df: DataFrame) -> DataFrame:
     return swapped.select(*(F.col(spans[c]).alias(c) if c in spans else F.col(c) for c in df.columns))
 
 
-def score_gates(pairs: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
-    """Violations of a strict 1:1 score join: kind (duplicate_pair, duplicate_score, missing_score, unknown_score), n."""
+def score_gates(pairs: DataFrame, scores: DataFrame, keys: list[str], mentions: DataFrame | None = None) -> DataFrame:
+    """Violations of a strict 1:1 score join: kind (duplicate_pair, duplicate_score, missing_score, unknown_score), n.
 
-    def dup(df: DataFrame, kind: str) -> DataFrame:
-        return df.groupBy(*keys).count().where("count > 1").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+    With the mentions (doc_id, sentence_id, token_id) also self_pair, scores of a
+    span with itself, and unknown_span, ends of scores that are no mention.
+    """
 
-    return (
-        dup(pairs, "duplicate_pair")
-        .unionByName(dup(scores, "duplicate_score"))
-        .unionByName(pairs.join(scores, keys, "left_anti").agg(F.count("*").alias("n")).select(F.lit("missing_score").alias("kind"), "n"))
-        .unionByName(scores.join(pairs, keys, "left_anti").agg(F.count("*").alias("n")).select(F.lit("unknown_score").alias("kind"), "n"))
-    )
+    def counted(df: DataFrame, kind: str) -> DataFrame:
+        return df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+
+    found = [
+        counted(pairs.groupBy(*keys).count().where("count > 1"), "duplicate_pair"),
+        counted(scores.groupBy(*keys).count().where("count > 1"), "duplicate_score"),
+        counted(pairs.join(scores, keys, "left_anti"), "missing_score"),
+        counted(scores.join(pairs, keys, "left_anti"), "unknown_score"),
+    ]
+    if mentions is not None:
+        span = ["doc_id", "sentence_id", "token_id"]
+        ends = F.explode(F.array(*(F.struct(F.col(f"s{i}").alias("sentence_id"), F.col(f"t{i}").alias("token_id")) for i in (1, 2))))
+        # a span is looked up once, however many pairs it stands in
+        spans = scores.select("doc_id", ends.alias("e")).select("doc_id", "e.*").distinct()
+        found += [counted(self_pairs(scores), "self_pair"), counted(spans.join(mentions.select(span).distinct(), span, "left_anti"), "unknown_span")]
+    return reduce(DataFrame.unionByName, found)
 
 
 def resolve_doc_keys(keys: DataFrame, known: DataFrame, rule: str = "exact_or_stripped") -> DataFrame:

@@ -155,7 +155,12 @@ def score_missing(s, d):
 
 
 def score_gates(s, d):
-    return P.score_gates(mention_pairs(s, d), _scores(s, d), KEYS)
+    """Scores of the pairs and of some mentions with themselves and with tokens that are none."""
+    m = V.mentions(s, d).withColumn("h", V.draw(F.lit("g"), "doc_id", "sentence_id", "token_id"))
+    odd = m.where("h % 61 < 2").select(
+        "doc_id", F.col("sentence_id").alias("s1"), F.col("token_id").alias("t1"), F.col("sentence_id").alias("s2"), F.when(F.col("h") % 61 == 0, F.col("token_id")).otherwise(F.col("token_id") + 100000).alias("t2"), F.lit(0.5).alias("p")
+    )
+    return P.score_gates(mention_pairs(s, d), _scores(s, d).unionByName(odd), KEYS, V.mentions(s, d))
 
 
 def _raw_keys(s, d) -> DataFrame:
@@ -309,9 +314,13 @@ PLANS = {
     "score_missing": (_summed(score_missing, *KEYS[1:], "label"), "WITH " + SCORED + V.numbers_digest_sql(f"SELECT {_K}, label FROM v_pair ANTI JOIN v_some USING ({_K})", "s1", "t1", "s2", "t2", "label")),
     "score_gates": (
         score_gates,
-        f"""WITH {SCORED} SELECT 'duplicate_pair' AS kind, count(*) AS n FROM (SELECT {_K} FROM v_pair GROUP BY ALL HAVING count(*) > 1)
-        UNION ALL SELECT 'duplicate_score', count(*) FROM (SELECT {_K} FROM v_some GROUP BY ALL HAVING count(*) > 1)
-        UNION ALL SELECT 'missing_score', count(*) FROM v_pair ANTI JOIN v_some USING ({_K}) UNION ALL SELECT 'unknown_score', count(*) FROM v_some ANTI JOIN v_pair USING ({_K})""",
+        f"""WITH {SCORED}, v_odd AS (SELECT *, {V.draw_sql("'g'", 'doc_id', 'sentence_id', 'token_id')} % 61 AS g FROM v_mention),
+        v_all AS (SELECT {_K}, p FROM v_some UNION ALL SELECT doc_id, sentence_id, token_id, sentence_id, CASE g WHEN 0 THEN token_id ELSE token_id + 100000 END, 0.5 FROM v_odd WHERE g < 2)
+        SELECT 'duplicate_pair' AS kind, count(*) AS n FROM (SELECT {_K} FROM v_pair GROUP BY ALL HAVING count(*) > 1)
+        UNION ALL SELECT 'duplicate_score', count(*) FROM (SELECT {_K} FROM v_all GROUP BY ALL HAVING count(*) > 1)
+        UNION ALL SELECT 'missing_score', count(*) FROM v_pair ANTI JOIN v_all USING ({_K}) UNION ALL SELECT 'unknown_score', count(*) FROM v_all ANTI JOIN v_pair USING ({_K})
+        UNION ALL SELECT 'self_pair', count(*) FROM v_all WHERE s1 = s2 AND t1 = t2
+        UNION ALL SELECT 'unknown_span', count(*) FROM (SELECT doc_id, s1 AS sentence_id, t1 AS token_id FROM v_all UNION SELECT doc_id, s2, t2 FROM v_all) ANTI JOIN v_mention USING (doc_id, sentence_id, token_id)""",
     ),
     "dockey_resolve": (
         _dockeys("exact_or_stripped"),

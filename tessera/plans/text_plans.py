@@ -192,8 +192,7 @@ def topic_plan(s, d):
 
 
 def batch_type_counts(s, d):
-    rows = _docs(s, d).select("doc_id", "lang", F.floor(F.col("doc_id") / 300).alias("part"))
-    return G.batch_counts(rows, ["doc_id"], "lang")
+    return G.batch_counts(_docs(s, d), ["doc_id"], "lang")
 
 
 def recent_turns(s, d):

@@ -21,12 +21,24 @@ GENERATION_LOG = (
 )
 
 #: Column orders of the relational side tables.
-DOC_MAP = "doc_id split row_index global_doc_index domain category_primary source_model source_file group_id dup_cluster_id n_sentences n_chains n_mentions".split()
-CHAIN_MAP = "mode doc_id split conll_chain_id original_chain_index chain_type n_mentions_original n_mentions_exported dropped drop_reason".split()
-MENTION_MAP = "mode doc_id split mention_id conll_chain_id original_chain_index chain_type sentence_id mention_text role mention_type referent_semantics char_start char_end token_start token_end is_zero is_exported drop_reason".split()
-TOKEN_MAP = "mode doc_id split sentence_id token_id token_text char_start char_end is_zero_token zero_mention_id char_index_before".split()
-TYPE_SLICE_MAP = "mode doc_id split domain category_primary conll_chain_id chain_type mention_id mention_type referent_semantics is_zero sentence_id token_start token_end".split()
-ISSUES = "severity mode split doc_id row_index chain_index mention_id sentence_id error_type message first_sentence".split()
+DOC_MAP = [
+    "doc_id", "split", "row_index", "global_doc_index", "domain", "category_primary", "source_model", "source_file", "group_id", "dup_cluster_id", "n_sentences", "n_chains", "n_mentions",
+]
+CHAIN_MAP = [
+    "mode", "doc_id", "split", "conll_chain_id", "original_chain_index", "chain_type", "n_mentions_original", "n_mentions_exported", "dropped", "drop_reason",
+]
+MENTION_MAP = [
+    "mode", "doc_id", "split", "mention_id", "conll_chain_id", "original_chain_index", "chain_type", "sentence_id", "mention_text", "role", "mention_type", "referent_semantics", "char_start", "char_end", "token_start", "token_end", "is_zero", "is_exported", "drop_reason",
+]
+TOKEN_MAP = [
+    "mode", "doc_id", "split", "sentence_id", "token_id", "token_text", "char_start", "char_end", "is_zero_token", "zero_mention_id", "char_index_before",
+]
+TYPE_SLICE_MAP = [
+    "mode", "doc_id", "split", "domain", "category_primary", "conll_chain_id", "chain_type", "mention_id", "mention_type", "referent_semantics", "is_zero", "sentence_id", "token_start", "token_end",
+]
+ISSUES = [
+    "severity", "mode", "split", "doc_id", "row_index", "chain_index", "mention_id", "sentence_id", "error_type", "message", "first_sentence",
+]
 
 #: Labels.
 ZERO, PERSON, DEMONSTRATIVE, DEFINITE = "零指代", "人称代词", "指示代词", "有定描述"

@@ -59,6 +59,17 @@ def conll_document_lines(lines: DataFrame) -> DataFrame:
     return first.unionByName(lines.select("doc_id", "sentence_id", "token_id", "line")).unionByName(gaps).unionByName(last)
 
 
+def write_sidecar(row: DataFrame, path: str, **known: object) -> None:
+    """A one-row table (a summary, metrics, a configuration) as one pretty JSON object beside a result, after the known values; characters stay as they are.
+
+    Raises where the table hasn't exactly one row.
+    """
+    fixed = [F.lit(value).alias(name) for name, value in known.items()]
+    text = F.to_json(F.struct(*fixed, *(F.col(f"`{c}`") for c in row.columns)), {"pretty": "true", "ignoreNullFields": "false"})
+    one = F.when(F.count("*") == 1, F.first(text)).otherwise(F.raise_error(F.concat(F.lit("a sidecar has one row, not "), F.count("*").cast("string"))))
+    row.agg(one.alias("value")).coalesce(1).write.text(path)
+
+
 def run_manifest(accepted: DataFrame, outputs: dict[str, str], filters: dict[str, float]) -> DataFrame:
     """One row: number accepted, filters and outputs as JSON."""
     pairs = lambda d: F.to_json(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]))
