@@ -238,7 +238,17 @@ PLANS = {
         f"""WITH {PLACED}, a AS (SELECT mode, split, count(*) AS chains, count(*) FILTER (WHERE NOT dropped) AS chains_exported FROM v_cm GROUP BY ALL),
         b AS (SELECT mode, split, count(*) AS mentions, count(*) FILTER (WHERE drop_reason = '') AS mentions_exported, count(*) FILTER (WHERE drop_reason = '' AND is_zero) AS zeros_exported FROM v_map GROUP BY ALL) SELECT * FROM a JOIN b USING (mode, split)""",
     ),
-    "conll_lines": (conll_lines, None),
+    "conll_lines": (
+        lambda s, d: V.digest(conll_lines(s, d), "mode", "sentence_id", "token_id", "line"),
+        f"WITH {PLACED}, v_x AS (SELECT mode, doc_id, sid AS sentence_id, ts, te, cid FROM v_map JOIN v_cm USING (mode, doc_id, chain_id) WHERE v_map.drop_reason = ''), "
+        "v_at AS (SELECT mode, doc_id, sentence_id, ts AS token_id, 0 AS k, -te AS o, cid, '(' || cid AS atom FROM v_x WHERE ts < te UNION ALL SELECT mode, doc_id, sentence_id, ts, 1, 0, cid, '(' || cid || ')' FROM v_x WHERE ts >= te "
+        "UNION ALL SELECT mode, doc_id, sentence_id, te, 2, -ts, cid, cid || ')' FROM v_x WHERE ts < te), "
+        "v_mk AS (SELECT mode, doc_id, sentence_id, token_id, string_agg(atom, '|' ORDER BY k, o, cid, atom) AS coref FROM v_at GROUP BY ALL) "
+        + V.digest_sql(
+            "SELECT mode, doc_id, sentence_id, token_id, concat_ws(' ', doc_id::VARCHAR, '000', token_id::VARCHAR, c, '- * - - - - *', coalesce(coref, '-')) AS line FROM v_t LEFT JOIN v_mk USING (mode, doc_id, sentence_id, token_id)",
+            "mode", "sentence_id", "token_id", "line",
+        ),
+    ),
     "zero_char_removal": (
         zero_char_removal,
         f"""WITH {V.MENTION}, m AS (SELECT m.*, sent, strpos(sent, tok) - 1 AS cs, strpos(sent, tok) + length(tok) - 2 AS ce FROM v_mention m JOIN v_sent USING (doc_id, sentence_id)),
