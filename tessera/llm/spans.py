@@ -11,7 +11,9 @@ or ``long_words`` words; so each sentence of a repeated passage that holds a run
 lies in a run that repeats. Runs are hashed over their words (white space does
 not count) and grouped over all documents; the first occurrence is the one with
 the least (doc_id, hash of the text, position). Sentences covered by any other
-occurrence go.
+occurrence go. As clauses count as sentences here, what remains may begin or end
+inside a sentence in the ordinary sense, and a document that repeats a passage of
+its own keeps it once.
 
 Defined results: null and empty texts, and rows without doc_id, come back as
 they are; rows of one doc_id with different texts are different documents; rows
