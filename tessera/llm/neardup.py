@@ -10,6 +10,11 @@ threshold's angle away. Two cells meet in the vectors that each may send to the
 other, and every pair is compared once. No link is lost, whatever the centroids.
 Cells are dealt to groups of ``block`` vectors and compared group by group: in
 single precision with a margin for its rounding, then the pairs found in double.
+What two cells have in common (or a cell with itself) and would take more than
+``SPLIT`` groups is clustered again, by centroids of its own and the same bounds,
+level after level, so that what a vector is compared with follows the cells near
+it and not the number of vectors; only what no centroids can part is dealt to
+blocks at any size.
 Equal vectors are collapsed before, and a block gives one row for each vector
 with links, never its pairs.
 
@@ -24,6 +29,7 @@ gives no rows; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,6 +48,8 @@ SAMPLE, SAMPLE_BYTES = 20_000, 64 << 20
 BLOCK = 4_096
 CELL = 4_096
 MOST_CELLS = 1_024
+#: What takes more groups than this is clustered again, on about so many vectors of it.
+SPLIT, FIT = 16, 8_192
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 15, seed: int = 3) -> np.ndarray:
@@ -173,6 +181,97 @@ def fit_centroids(reps: DataFrame, n: int, n_labels: int, dim: int, kind: str, s
     return spherical_kmeans(x, k)
 
 
+def _fit_set(kind: str):
+    def run(group: pa.Table) -> pa.Table:
+        x = units(group.column("vector").to_pylist(), kind)
+        k = min(MOST_CELLS, max(2, -(-group.column("n")[0].as_py() // CELL)), max(1, len(x) // 8))
+        return pa.table({"set": group.column("set").slice(0, 1), "centroids": pa.array([spherical_kmeans(x, k).tobytes()], pa.binary())})
+
+    return run
+
+
+def _place_sets(threshold: float, kind: str):
+    """home, own and visits of the rows of each set, whose centroids come before them."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, centroids, place = None, b"", None
+        for part in parts:
+            out = []
+            for name, rows in part.groupby("set", sort=False):
+                if name != now:
+                    now, centroids, place = name, b"", None
+                heads = rows["centroids"].notna()
+                if heads.any():
+                    centroids = rows.loc[heads, "centroids"].iat[0]
+                rows = rows[~heads]
+                if len(rows):
+                    dim = len(rows["vector"].iat[0]) // np.dtype(kind).itemsize
+                    place = place or _place(np.frombuffer(centroids, dtype=np.float64).reshape(-1, dim), threshold, kind)
+                    out += list(place(iter([rows.assign(dim=dim)])))
+            if out:
+                yield pd.concat(out)[["set", "rep", "tag", "copies", "vector", "role", "home", "own", "visits"]]
+
+    return run
+
+
+def _set_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """block, rep, tag, copies, vector, role of sets (with n, their size) that are compared block by block: among themselves (role 2), or role 0 with role 1."""
+    both, mine, other = F.col("role") == 2, F.col("mine"), F.col("other")
+    dealt = (
+        rows.withColumn("groups", F.ceil(F.col("n") / block).cast("int"))
+        .withColumn("mine", F.expr("cast(pmod(xxhash64(rep, tag), groups) as int)"))
+        .withColumn("other", F.explode(F.expr("sequence(0, groups - 1)")))
+    )
+    ahead = F.when(both, mine <= other).otherwise(F.col("role") == 0)
+    name = F.when(ahead, F.concat_ws(".", mine, other)).otherwise(F.concat_ws(".", other, mine))
+    return dealt.select(
+        F.concat_ws("|", F.lit("set"), "set", name).alias("block"), "rep", "tag", "copies", "vector",
+        F.when(both, F.when(mine == other, 2).when(mine < other, 0).otherwise(1)).otherwise(F.col("role")).alias("role"),
+    )
+
+
+def split_sets(sets: DataFrame, threshold: float, kind: str, block: int = BLOCK) -> DataFrame:
+    """_set_blocks() of sets (set, rep, tag, copies, vector, role) of any size, after clustering those that are too large level by level.
+
+    A linked pair meets in the set of its two cells, as each of its vectors visits
+    the other one's. A set from which no level takes a tenth of its vectors is
+    dealt to blocks as it is.
+    """
+    theta = float(np.arccos(min(1.0, max(-1.0, threshold))))
+    angle = lambda c: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(c))))
+    left, out = sets.withColumn("parent", F.lit(None).cast("long")), []
+    while True:
+        left = materialize(left, "sets")
+        sides = [F.count_if(F.col("role") != r).alias(f"side{r}") for r in (1, 0)]
+        sizes = left.groupBy("set").agg(F.count("*").alias("n"), F.max("parent").alias("whole"), *sides).where("side0 > 0 AND side1 > 0")
+        sizes = materialize(sizes.select("set", "n", (F.coalesce(F.col("n") > 0.9 * F.col("whole"), F.lit(False)) | (F.col("n") <= SPLIT * block)).alias("last")), "set-sizes")
+        sized = left.drop("parent").join(sizes, "set")
+        out.append(_set_blocks(sized.where("last").drop("last"), block))
+        if sizes.where("NOT last").isEmpty():
+            return reduce(DataFrame.unionByName, out)
+        rest = sized.where("NOT last").drop("last")
+        drawn = F.expr(f"pmod(xxhash64(rep, tag, 7), greatest(1, cast(ceil(n / {FIT}) as int))) = 0")
+        fitted = materialize(rest.where(drawn).select("set", "n", "vector").groupBy("set").applyInArrow(_fit_set(kind), "set string, centroids binary"), "set-centroids")
+        # the rows of a set go to several tasks, each of which gets its centroids first
+        share = F.ceil(F.col("n") / (SPLIT * block)).cast("int")
+        own = rest.withColumn("part", F.expr(f"cast(pmod(xxhash64(rep, tag, 3), ceil(n / {SPLIT * block})) as int)")).withColumn("centroids", F.lit(None).cast("binary"))
+        heads = fitted.join(sizes, "set").withColumn("part", F.explode(F.sequence(F.lit(0), share - 1)))
+        # no nulls, which would turn whole numbers into floating ones
+        heads = heads.select("set", "part", "centroids", *(F.lit(0).cast(f.dataType).alias(f.name) for f in own.schema.fields if f.name in ("rep", "tag", "copies", "role")), F.lit(b"").alias("vector"))
+        stream = own.select(heads.columns).unionByName(heads).repartition("set", "part").sortWithinPartitions("set", "part", F.col("centroids").isNull())
+        schema = "set string, rep long, tag long, copies long, vector binary, role int, home int, own double, visits array<struct<cell: int, dot: double>>"
+        placed = materialize(stream.mapInPandas(_place_sets(threshold, kind), schema), "set-places")
+        edges = placed.groupBy("set", F.col("home").alias("cell")).agg(F.min("own").alias("edge"))
+        same, both = F.col("home") == F.col("cell"), F.col("role") == 2
+        visits = placed.select("*", F.explode("visits").alias("v")).select("set", "rep", "tag", "copies", "vector", "role", "home", F.col("v.cell").alias("cell"), F.col("v.dot").alias("dot"))
+        kept = visits.join(edges, ["set", "cell"]).where(same | (angle("dot") <= angle("edge") + theta + 1e-6)).join(sizes.select("set", F.col("n").alias("parent")), "set")
+        ahead = F.when(both, F.col("home") <= F.col("cell")).otherwise(F.col("role") == 0)
+        left = kept.select(
+            F.concat_ws("/", "set", F.when(ahead, F.concat_ws(".", "home", "cell")).otherwise(F.concat_ws(".", "cell", "home"))).alias("set"), "rep", "tag", "copies", "vector",
+            F.when(both, F.when(same, 2).when(F.col("home") < F.col("cell"), 0).otherwise(1)).otherwise(F.col("role")).alias("role"), "parent",
+        )
+
+
 def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.93, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """vec_id, n_links, component_id, kept; one row per vector."""
     spark = vectors.sparkSession
@@ -217,13 +316,17 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.93, block: int
     angle = lambda c: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(c))))
     same = F.col("cell") == F.col("home")
     mine, theirs = F.col("mine"), F.col("theirs")
-    dealt = (
+    met = (
         placed.join(cells.select(*key, "home", "groups"), [*key, "home"])
         .withColumn("mine", F.expr("cast(pmod(xxhash64(rep, tag), groups) as int)"))
         .select("*", F.explode("visits").alias("visit"))
-        .select(*key, "rep", "tag", "copies", "vector", "home", "mine", F.col("visit.cell").alias("cell"), F.col("visit.dot").alias("dot"))
+        .select(*key, "rep", "tag", "copies", "vector", "home", "mine", "groups", F.col("visit.cell").alias("cell"), F.col("visit.dot").alias("dot"))
         .join(cells.select(*key, F.col("home").alias("cell"), F.col("groups").alias("others"), "edge"), [*key, "cell"])
         .where(same | (angle("dot") <= angle("edge") + theta + 1e-6))
+    )
+    large = F.greatest("groups", "others") > SPLIT
+    dealt = (
+        met.where(~large)
         .withColumn("theirs", F.explode(F.expr("sequence(0, others - 1)")))
         .withColumn("first", F.when(same, mine <= theirs).otherwise(F.col("home") < F.col("cell")))
         .select(
@@ -238,6 +341,11 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.93, block: int
             F.when(same & (mine == theirs), 2).when(F.col("first"), 0).otherwise(1).alias("role"),
         )
     )
+    if not cells.where(F.col("groups") > SPLIT).isEmpty():
+        pair = F.concat_ws(".", F.least("home", "cell"), F.greatest("home", "cell"), "dim", "label")
+        role = F.when(same, 2).when(F.col("home") < F.col("cell"), 0).otherwise(1)
+        sets = met.where(large).select(pair.alias("set"), "rep", "tag", "copies", "vector", role.alias("role"))
+        dealt = dealt.unionByName(split_sets(sets, threshold, kind, block))
     linked = materialize(
         dealt.repartition("block").sortWithinPartitions("block").mapInPandas(_compare(threshold, kind), "rep long, tag long, root long, root_tag long, linked long"),
         "links",

@@ -49,6 +49,26 @@ def test_matches_brute_force_also_in_small_blocks(spark, monkeypatch, seed):
         assert got == brute(rows)
 
 
+def test_large_cells_are_clustered_again(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    rows, n = [], 0
+    for _ in range(25):
+        base = r.normal(size=8)
+        for _ in range(16):
+            rows.append((n, (base + r.normal(size=8) * 0.12).astype(np.float32).tolist(), 1))
+            n += 1
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    monkeypatch.setattr(neardup, "CELL", 40)
+    monkeypatch.setattr(neardup, "MOST_CELLS", 3)  # at most three cells a level, so that cells stay large
+    monkeypatch.setattr(neardup, "SPLIT", 3)
+    levels = []
+    whole = neardup._set_blocks
+    monkeypatch.setattr(neardup, "_set_blocks", lambda *a: levels.append(a) or whole(*a))
+    got = sorted((tuple(x) for x in neardup.embedding_near_dedup(table, block=8).collect()), key=str)
+    assert got == brute(rows) and sum(x[1] > 0 for x in got) > 100
+    assert len(levels) > 2
+
+
 def test_whole_table_has_every_link(spark):
     rows = [tuple(x) for x in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     got = neardup.embedding_near_dedup(spark.read.parquet(f"{SF}/embeddings.parquet").withColumn("rep", F.lit(1)))
