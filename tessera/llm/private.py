@@ -246,7 +246,7 @@ def disclosing(docs: DataFrame, alpha: float = ALPHA, contexts: int = CONTEXTS)
 
     return (
         candidates.join(found.where("term IS NOT NULL").select("term", "n"), "term")
-        .where(reveals(F.col("joint") / F.col("n")))
+        .where(reveals(F.col("support") / (F.col("support") + F.col("n") - F.col("joint"))))
         .groupBy("term")
         .agg(F.coalesce(F.max(reveals(joint_class / of_class)), F.lit(False)).alias("removed"))
     )

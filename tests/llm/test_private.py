@@ -65,8 +65,8 @@ def brute(rows, alpha=private.ALPHA, contexts=private.CONTEXTS, window=private.W
     total = sum(occurrences.values())
     telling = set()
     for (entity, t), n in joint.items():
-        p = mass[entity] / total
-        if len(seen[entity, t]) >= contexts and math.log2(n / occurrences[t] / p) >= -alpha * math.log2(p) - 1e-12:
+        p, k = mass[entity] / total, len(seen[entity, t])
+        if k >= contexts and math.log2(k / (k + occurrences[t] - n) / p) >= -alpha * math.log2(p) - 1e-12:
             telling.add(t)
     out = []
     for (doc, _), (base, free) in zip(rows, found, strict=True):
@@ -111,6 +111,10 @@ def made(seed):
     rows += [(300 + k, f"{prose(9)} zora {prose(9)}") for k in range(2)] + [(310, "quirk and Quirk's the end")]
     copy = f"{prose(20)} rare17 copy@mail.example.com unusual {prose(20)}"
     rows += [(400 + k, copy) for k in range(30)]
+    # a passage copied often, of which each copy has another word changed, against few occurrences of its word elsewhere
+    parts = copy.replace("copy@", "near@").replace("rare17", "rare18").split()
+    rows += [(700 + k, " ".join(r.choice(words) if j == k % len(parts) and "@" not in x and x != "rare18" else x for j, x in enumerate(parts))) for k in range(40)]
+    rows += [(760 + k, f"{prose(5)} rare18 {prose(5)}") for k in range(12)]
     rows += [(500 + k, t) for k, t in enumerate(TRICKY)]
     return rows + [(None, "x zora"), (600, None), (601, ""), (602, " \n"), rows[125], rows[125], (603, "zora " * 4)]
 
@@ -119,7 +123,7 @@ def made(seed):
 def test_matches_brute_force(spark, seed):
     rows = made(seed)
     want, telling = brute(rows)
-    assert "quirk" in telling and "the" not in telling and "rare17" not in telling
+    assert "quirk" in telling and "the" not in telling and not {"rare17", "rare18"} & telling
     assert run(spark, rows) == want
 
 
