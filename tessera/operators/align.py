@@ -95,7 +95,7 @@ def _places(sent: pd.Series, texts: pd.Series, heads: pd.Series) -> pd.Series:
 def place_spans(sentences: DataFrame, mentions: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """mentions with char_start and char_end (exclusive; both null where there is no place). Placed in ``order`` within keys and sentence_id.
 
-    sentences: keys, sentence_id, sent; mentions: keys, sentence_id, text and order. Their other columns stay; a mention whose
+    sentences: keys, sentence_id, sent, each (keys, sentence_id) once, as a sentence that stands twice doubles its mentions; mentions: keys, sentence_id, text and order. Their other columns stay; a mention whose
     sentence doesn't exist has no place.
     """
     at = [*keys, "sentence_id"]

@@ -226,12 +226,15 @@ def score_pairs(pairs: DataFrame, score: Callable[[pd.DataFrame], np.ndarray], t
     """pairs with p (probability of a link) and pred (p >= threshold), batch by batch in the workers.
 
     score: a batch of pairs to one probability a row, or to two logits a row (no link, link), of which the softmax is taken.
+    A score that isn't a number links nothing (p stays as it is, pred is false); scores that aren't as many as the rows raise.
     """
     columns = pairs.columns
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             raw = np.asarray(score(part), dtype="float64")
+            if len(raw) != len(part):
+                raise ValueError(f"{len(raw)} scores for {len(part)} pairs")
             p = raw if raw.ndim == 1 else 1 / (1 + np.exp(np.clip(raw[:, 0] - raw[:, 1], -700, 700)))
             yield part[columns].assign(p=p, pred=p >= threshold)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import corpus as O
 from tessera.operators import metrics as M
 from tessera.operators import slices as L
+from tessera.operators import tokens as N
 from tessera.plans import views as V
 from tessera.schemas import CATEGORY_PRIORITY, CHAIN_PRIORITY, EVENT_CHAIN, EVENT_MENTION
 
@@ -256,12 +257,11 @@ def slice_problems(s, d):
 
 
 def global_token_index(s, d):
-    w = Window.partitionBy("doc_id").orderBy("sentence_id", "token_id")
-    return V.tokens(s, d).select(*SPAN, (F.row_number().over(w) - 1).alias("idx"))
+    return N.global_index(V.tokens(s, d))
 
 
 def sentence_starts(s, d):
-    return global_token_index(s, d).groupBy("doc_id", "sentence_id").agg(F.min("idx").alias("start"))
+    return N.sentence_starts(V.tokens(s, d)).select("doc_id", "sentence_id", "start")
 
 
 _J = "USING (doc_id, sentence_id, token_id)"

@@ -9,6 +9,7 @@ from tessera.functions.text import norm_text
 from tessera.operators import clusters as C
 from tessera.operators import metrics as M
 from tessera.operators import pairs as P
+from tessera.operators import tokens as N
 from tessera.plans import views as V
 from tessera.schemas import EVENT_MENTION, ZERO
 
@@ -65,8 +66,7 @@ v_err AS (
 
 
 def _global(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy("sentence_id", "token_id")
-    return V.tokens(spark, sf).withColumn("idx", (F.row_number().over(w) - 1).cast("int"))
+    return N.global_index(V.tokens(spark, sf), "tok")
 
 
 GLOBAL = ", v_glob AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY sentence_id, token_id) - 1)::INT AS idx, count(*) OVER (PARTITION BY doc_id)::INT AS n FROM v_tok)"
