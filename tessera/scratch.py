@@ -56,6 +56,12 @@ def _drop_all() -> None:
 atexit.register(_drop_all)
 
 
+def clear() -> None:
+    """Drop all scratch tables now: for sessions that run many queries, once no earlier result is read any more."""
+    _drop_all()
+    _written.clear()
+
+
 def release(df: DataFrame) -> None:
     """Drop the table that materialize() wrote for df, once nothing reads it any more."""
     path = getattr(df, "_scratch", None)
