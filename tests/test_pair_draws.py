@@ -43,3 +43,9 @@ def test_train_sample(spark, table, scored):
     negatives = sorted((x[0] for x in train if not x[1]), key=lambda k: (draw("seed", *k), k))
     assert 0 < len(positives) < len(negatives)
     assert sorted(tuple(r)[:5] for r in pair_plans.pair_train_sample(spark, table).collect()) == sorted(positives + negatives[: len(positives)])
+
+
+def test_confusion(spark, table, scored):
+    got = pair_plans.pair_confusion(spark, table).first()
+    want = Counter((label, p >= 0.5) for _, label, p, _, _ in scored)
+    assert (got.tp, got.fp, got.fn, got.tn) == tuple(want[k] for k in ((True, True), (False, True), (True, False), (False, False))) and min(want.values()) > 0
