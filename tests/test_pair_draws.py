@@ -49,3 +49,9 @@ def test_confusion(spark, table, scored):
     got = pair_plans.pair_confusion(spark, table).first()
     want = Counter((label, p >= 0.5) for _, label, p, _, _ in scored)
     assert (got.tp, got.fp, got.fn, got.tn) == tuple(want[k] for k in ((True, True), (False, True), (True, False), (False, False))) and min(want.values()) > 0
+
+
+def test_type_diagnostics(spark, table, scored):
+    want = Counter((kind, label, p >= 0.5) for _, label, p, a, b in scored for kind in {a.mention_type, b.mention_type})
+    for x in pair_plans.pair_type_diagnostics(spark, table).collect():
+        assert (x.tp, x.fp, x.fn, x.tn) == tuple(want[x.type, *k] for k in ((True, True), (False, True), (True, False), (False, False)))
