@@ -55,3 +55,16 @@ def test_type_diagnostics(spark, table, scored):
     want = Counter((kind, label, p >= 0.5) for _, label, p, a, b in scored for kind in {a.mention_type, b.mention_type})
     for x in pair_plans.pair_type_diagnostics(spark, table).collect():
         assert (x.tp, x.fp, x.fn, x.tn) == tuple(want[x.type, *k] for k in ((True, True), (False, True), (True, False), (False, False)))
+
+
+def wrong(scored):
+    """key, p, target and partner_type of every error."""
+    for key, label, p, a, b in scored:
+        for target, kind in pair_plans.TARGETS.items():
+            if label != (p >= 0.5) and kind in (a.mention_type, b.mention_type):
+                yield key, p, target, b.mention_type if a.mention_type == kind else a.mention_type
+
+
+def test_first_false_negatives(spark, table, scored):
+    want = sorted((p, *key, target) for key, p, target, _ in wrong(scored) if p < 0.5)[:30]
+    assert [(x.p, x.doc_id, x.s1, x.t1, x.s2, x.t2, x.target) for x in pair_plans.error_fn_top30(spark, table).collect()] == want and want
