@@ -68,3 +68,8 @@ def wrong(scored):
 def test_first_false_negatives(spark, table, scored):
     want = sorted((p, *key, target) for key, p, target, _ in wrong(scored) if p < 0.5)[:30]
     assert [(x.p, x.doc_id, x.s1, x.t1, x.s2, x.t2, x.target) for x in pair_plans.error_fn_top30(spark, table).collect()] == want and want
+
+
+def test_summary(spark, table, scored):
+    want = Counter((target, "FP" if p >= 0.5 else "FN", partner) for _, p, target, partner in wrong(scored))
+    assert {(x.target, x.error, x.value): x.n for x in pair_plans.error_summary(spark, table).collect() if x.dimension == "partner_type"} == want
