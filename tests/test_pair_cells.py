@@ -37,3 +37,16 @@ def test_joins_where_the_pairs_lie(spark, tables, how):
         assert not pair_exchanges(joined)
     want = {k: n * known[k] if how == "strict" or known[k] and how == "default" else n for k, n in all_of.items() if how == "default" or (how == "strict") == (known[k] > 0)}
     assert got == want
+
+
+def test_gates_where_the_pairs_lie(spark, tables):
+    pairs, scores = tables
+    n = pairs.rdd.getNumPartitions()
+    odd = spark.createDataFrame([(2, 0, 0, 0, 0, 0, 0, 0.5), (9, 0, 0, 1, 0, 0, 0, 0.5)], scores.schema).repartition(n, "doc_id", "block1", "block2")
+    known, all_of = (Counter(tuple(r)[:5] for r in x.collect()) for x in (scores, pairs))
+    with P.meeting_in_cells(spark):
+        gates = P.score_gates(pairs, scores.unionByName(odd), KEYS)
+        got = {r.kind: r.n for r in gates.collect()}
+        assert not pair_exchanges(gates)
+    repeated = lambda x: sum(k > 1 for k in x.values())
+    assert got == {"duplicate_pair": repeated(all_of), "duplicate_score": repeated(known), "missing_score": sum(v for k, v in all_of.items() if not known[k]), "unknown_score": 2}
