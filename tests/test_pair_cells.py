@@ -50,3 +50,16 @@ def test_gates_where_the_pairs_lie(spark, tables):
         assert not pair_exchanges(gates)
     repeated = lambda x: sum(k > 1 for k in x.values())
     assert got == {"duplicate_pair": repeated(all_of), "duplicate_score": repeated(known), "missing_score": sum(v for k, v in all_of.items() if not known[k]), "unknown_score": 2}
+
+
+def test_texts_come_to_the_pairs(spark):
+    rows = [(d, i // 3, i % 3, i % 4) for d, n in ((1, 23), (2, 1), (3, 7)) for i in range(n)]
+    placed = P.in_blocks(spark.createDataFrame(rows, "doc_id long, sentence_id int, token_id int, chain_id int"), 4)
+    docs = spark.createDataFrame([(d, f"text {d}") for d in (1, 2, 3, 4)], "doc_id long, text string")
+    pairs = P.mention_pairs(placed, cells=5)
+    joined = pairs.join(P.in_cells(docs, placed, 5), P.CELL).select(*pair_plans.KEYS, "text")
+    got = sorted(map(tuple, joined.collect()))
+    assert got == sorted((*tuple(r), f"text {r.doc_id}") for r in pairs.select(*pair_plans.KEYS).collect()) and len(got) == 23 * 11 + 21
+    lines = joined._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert not [x for x, below in zip(lines, lines[1:]) if "Exchange" in x and "s1#" in below and "s2#" in below]
+    # joined by the document alone, the pairs would move
