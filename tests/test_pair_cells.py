@@ -4,9 +4,11 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import pairs as P
 from tessera.plans import pair_plans
+from tessera.plans import views as V
 
 KEYS = pair_plans.CELL_KEYS
 
@@ -63,3 +65,40 @@ def test_texts_come_to_the_pairs(spark):
     lines = joined._jdf.queryExecution().executedPlan().toString().split("\n")
     assert not [x for x, below in zip(lines, lines[1:]) if "Exchange" in x and "s1#" in below and "s2#" in below]
     # joined by the document alone, the pairs would move
+
+
+def exchanges(df):
+    """The lines of the plan's exchanges, without reused ones."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    return [x.lstrip(" :+-") for x in lines if re.match(r"[ :+-]*Exchange ", x)]
+
+
+def test_pairs_and_scores_share_what_is_dealt(spark, monkeypatch):
+    monkeypatch.setattr(pair_plans, "_placed", lambda s, d: (placed := P.in_blocks(s.createDataFrame([(1, i // 3, i % 3, i % 4) for i in range(23)], "doc_id long, sentence_id int, token_id int, chain_id int"), 4), P.joined_cells(placed)))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for query in (pair_plans.score_join_strict, pair_plans.score_join_canonical, pair_plans.score_left_default):
+            with P.meeting_in_cells(spark):
+                found = query(spark, "")
+                plan = found._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("ReusedExchange") >= 2, query
+            assert {(r.s1, r.t1, r.s2, r.t2) for r in found.collect()} <= {(i // 3, i % 3, j // 3, j % 3) for i in range(23) for j in range(i + 1, 23)}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_a_partition_has_few_pairs(spark):
+    # one lookup table of a partition holds thrice JOINED pairs in the worst case: 300 MB
+    assert P.MET**2 <= P.JOINED // 8 and P.JOINED * 3 * 200 <= 320_000_000
+    placed = P.in_blocks(spark.range(3000).selectExpr("1L AS doc_id", "int(id / 9) AS sentence_id", "int(id % 9) AS token_id", "1 AS chain_id"), P.MET)
+    pairs = P.mention_pairs(placed, carry=(), cells=P.joined_cells(placed))
+    sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 3000 * 2999 // 2 and max(sizes) <= 3 * P.JOINED
+
+
+def test_mentions_deal_texts_once(spark, tmp_path):
+    spark.createDataFrame([(i, "Common phrase stands. Common phrase again, phrase.", "en") for i in range(3)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = V.mentions(spark, str(tmp_path))
+    dealt = exchanges(found)
+    assert len(dealt) == 1 and "REPARTITION" in dealt[0]
+    assert found.count() == 3 * 5
