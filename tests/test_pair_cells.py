@@ -96,6 +96,21 @@ def test_a_partition_has_few_pairs(spark):
     assert sum(sizes) == 3000 * 2999 // 2 and max(sizes) <= 3 * P.JOINED
 
 
+def test_ends_of_scores_are_counted_before_they_move(spark, tables):
+    pairs, scores = tables
+    mentions = spark.range(20).selectExpr("1L AS doc_id", "int(id / 3) AS sentence_id", "int(id % 3) AS token_id")  # known to be small
+    with P.meeting_in_cells(spark):
+        gates = P.score_gates(pairs, scores, KEYS, mentions)
+        lines = gates._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        got = {r.kind: r.n for r in gates.collect()}
+    ends = {(r.doc_id, s, t) for r in scores.collect() for s, t in ((r.s1, r.t1), (r.s2, r.t2))}
+    assert got["unknown_span"] == len(ends - {tuple(r) for r in mentions.collect()}) > 0
+    # the rows of all pairs' ends go to an aggregate, not into a join
+    names = [re.sub(r"^[ :+-]*", "", x) for x in lines]
+    users = [next(y for y in reversed(names[:k]) if not y.startswith(("Project", "Filter"))) for k, x in enumerate(names) if x.startswith("Generate explode(array(")]
+    assert users and all(x.startswith("Aggregate") for x in users)
+
+
 def test_mentions_deal_texts_once(spark, tmp_path):
     spark.createDataFrame([(i, "Common phrase stands. Common phrase again, phrase.", "en") for i in range(3)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     found = V.mentions(spark, str(tmp_path))
